@@ -1,0 +1,17 @@
+"""Join-strategy helpers: broadcast only what is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension side is broadcast only below this many rows (checked with a
+# count of the side itself, which is a dimension scan, never the fact table).
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``max_rows`` rows; otherwise
+    leave the join to the planner (sort-merge / AQE runtime conversion)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
