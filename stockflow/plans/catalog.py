@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.operators import cleaning, marts, risk
+from stockflow.operators import cleaning, features, marts, metrics, risk, weekly
 from stockflow.sources.adapters import raw_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,29 @@ class Workspace:
     def risk(self, params: risk.RiskParams | None = None) -> DataFrame:
         return risk.risk_scores(self.latest_inventory, self.sku, self.sales, params)
 
+    @cached_property
+    def grid(self) -> DataFrame:
+        return features.daily_grid(self.sku, self.sales, self.calendar)
+
+    @cached_property
+    def daily_features(self) -> DataFrame:
+        return features.daily_features(self.grid)
+
+    @cached_property
+    def weekly(self) -> DataFrame:
+        """Weekly demand with SKU attributes, codes and the seasonal baseline."""
+        return weekly.with_baseline(weekly.weekly_demand(self.daily_features, self.sku))
+
+    @cached_property
+    def split(self) -> weekly.Split:
+        return weekly.default_split(self.sales, self.weekly)
+
+
+def rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    """Round float columns whose last bits depend on summation order, so two
+    engines agree value for value (the oracle SQL rounds the same columns)."""
+    return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
 
 def query(name: str):
     def deco(fn: Callable[[Workspace], DataFrame]):
@@ -195,7 +218,7 @@ def _markdown_plan(w: Workspace) -> DataFrame:
 
 @query("category_revenue_share")
 def _category_revenue_share(w: Workspace) -> DataFrame:
-    return marts.category_revenue_share(w.sales, w.sku)
+    return rounded(marts.category_revenue_share(w.sales, w.sku), ["revenue", "percent"])
 
 
 @query("reorder_by_category")
@@ -205,7 +228,7 @@ def _reorder_by_category(w: Workspace) -> DataFrame:
 
 @query("executive_kpis")
 def _executive_kpis(w: Workspace) -> DataFrame:
-    return marts.executive_kpis(w.risk())
+    return rounded(marts.executive_kpis(w.risk()), ["total_sales_at_risk", "total_capital_locked"])
 
 
 @query("risk_matrix_points")
@@ -221,3 +244,82 @@ def _inventory_position(w: Workspace) -> DataFrame:
 @query("decision_rationale")
 def _decision_rationale(w: Workspace) -> DataFrame:
     return marts.decision_rationale(w.risk())
+
+
+# ---- daily features ----------------------------------------------------------------
+
+@query("daily_grid")
+def _daily_grid(w: Workspace) -> DataFrame:
+    return rounded(w.grid, ["revenue", "unit_price"], 8)
+
+
+@query("lag_features")
+def _lag_features(w: Workspace) -> DataFrame:
+    return features.lag_features(w.grid.select("sku_id", "date", "units_sold"))
+
+
+@query("rolling_features")
+def _rolling_features(w: Workspace) -> DataFrame:
+    return rounded(features.rolling_features(w.grid.select("sku_id", "date", "units_sold")),
+                   ["rolling_std_7", "rolling_std"])
+
+
+@query("calendar_features")
+def _calendar_features(w: Workspace) -> DataFrame:
+    c = w.calendar.select("date", "is_holiday", "promo_event")
+    hol, promo = features.flag_columns(c)
+    return features.calendar_features(c).select("*", hol.alias("holiday_flag"), promo.alias("promo_flag"))
+
+
+@query("daily_features")
+def _daily_features(w: Workspace) -> DataFrame:
+    return rounded(rounded(w.daily_features, ["revenue", "unit_price"], 8), ["rolling_std_7", "rolling_std"])
+
+
+# ---- weekly demand -------------------------------------------------------------------
+
+@query("weekly_demand")
+def _weekly_demand(w: Workspace) -> DataFrame:
+    return rounded(w.weekly, weekly.MEAN_COLS)
+
+
+@query("week_calendar_flags")
+def _week_calendar_flags(w: Workspace) -> DataFrame:
+    return weekly.week_calendar_flags(w.calendar)
+
+
+@query("label_encode")
+def _label_encode(w: Workspace) -> DataFrame:
+    enc, _ = weekly.label_encode(w.sku.select("sku_id", "category", "subcategory"), ["category", "subcategory"])
+    return enc
+
+
+@query("seasonal_naive")
+def _seasonal_naive(w: Workspace) -> DataFrame:
+    return w.weekly.select("sku_id", "date", "actual_sales", "baseline_forecast")
+
+
+@query("backtest_metrics")
+def _backtest_metrics(w: Workspace) -> DataFrame:
+    """Seasonal-naive error over the backtest weeks."""
+    sp = w.split
+    bt = w.weekly.filter((F.col("date") >= sp.start) & (F.col("date") <= sp.end))
+    m = metrics.forecast_metrics(bt, "actual_sales", "baseline_forecast")
+    return m.select(F.lit("seasonal_naive").alias("model"), "*")
+
+
+@query("cv_folds")
+def _cv_folds(w: Workspace) -> DataFrame:
+    return weekly.cv_folds(w.weekly.filter(F.col("date") < w.split.start))
+
+
+@query("forecast_result_union")
+def _forecast_result_union(w: Workspace) -> DataFrame:
+    """History, backtest and future rows with actuals and the baseline; the
+    future baseline looks up actuals 52 weeks back (0 when absent)."""
+    sp = w.split
+    wk = w.weekly.select("date", "sku_id", "actual_sales", "baseline_forecast")
+    hist = wk.filter(F.col("date") < sp.start).withColumn("segment", F.lit("history"))
+    bt = wk.filter((F.col("date") >= sp.start) & (F.col("date") <= sp.end)).withColumn("segment", F.lit("backtest"))
+    fut = weekly.future_baseline(w.weekly, sp.last_week).withColumn("segment", F.lit("future"))
+    return hist.unionByName(bt).unionByName(fut)
