@@ -29,8 +29,9 @@ def sales_daily(sales: DataFrame) -> DataFrame:
 
 
 def date_spine(sales: DataFrame):
-    """(first, last) sale date as scalar-subquery columns."""
-    return sales.select(F.min("date")).scalar(), sales.select(F.max("date")).scalar()
+    """(first, last) sale date from one scalar subquery (a struct)."""
+    b = sales.select(F.struct(F.min("date").alias("d0"), F.max("date").alias("d1"))).scalar()
+    return b.getField("d0"), b.getField("d1")
 
 
 def daily_grid(sku: DataFrame, sales: DataFrame, calendar: DataFrame,

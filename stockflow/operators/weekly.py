@@ -96,7 +96,9 @@ def default_split(sales: DataFrame, weekly: DataFrame, backtest_weeks: int = BAC
     last_sale = sales.select(F.max("date")).scalar()
     end = F.date_sub(F.date_trunc("week", F.date_add(last_sale, 1)).cast("date"), 1)
     start = F.date_sub(end, 7 * backtest_weeks - 1)
-    return Split(start=start, end=end, last_week=weekly.select(F.max("date")).scalar())
+    # The daily grid ends on the last sale, so the last weekly date is the
+    # Sunday closing that day: no pass over the weekly table is needed.
+    return Split(start=start, end=end, last_week=week_end(last_sale))
 
 
 def week_calendar_flags(calendar: DataFrame) -> DataFrame:

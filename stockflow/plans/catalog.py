@@ -14,7 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.operators import cleaning, features, marts, metrics, risk, weekly
+from stockflow.operators import cleaning, features, forecast, marts, metrics, risk, weekly
+from stockflow.session import ensure_checkpoint_dir
 from stockflow.sources.adapters import raw_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SCENARIO_LEAD_DAYS = [None, 7, 14, 21, 30]
 SCENARIO_SAFETY_WEEKS = [1.0, 1.5, 2.0, 3.0, 4.0]
 FILTER_CATEGORY = "Kitchenware"
+# Forest size of the registered forecast queries: the reference's 100 trees /
+# 50 per CV fold; depth is MLlib-bounded.
+FORECAST_PARAMS = forecast.ForecastParams(num_trees=100, cv_trees=50, max_depth=10)
+PLOT_WEEKS_BEFORE_BACKTEST = 16
+_FORECAST_RUNS: dict = {}
 
 
 class Workspace:
@@ -31,6 +37,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ensure_checkpoint_dir(spark)
 
     @cached_property
     def raw(self):
@@ -76,6 +83,24 @@ class Workspace:
         """Weekly demand with SKU attributes, codes and the seasonal baseline."""
         return weekly.with_baseline(weekly.weekly_demand(self.daily_features, self.sku))
 
+    @cached_property
+    def sku_enc(self) -> DataFrame:
+        return weekly.label_encode(self.sku, ["category", "subcategory"])[0]
+
+    @cached_property
+    def week_flags(self) -> DataFrame:
+        return weekly.week_calendar_flags(self.calendar)
+
+    @property
+    def forecast_run(self) -> forecast.ForecastRun:
+        """One fitted forest per (application, data set), shared by the
+        forecast queries — like a saved model artifact, training runs once."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _FORECAST_RUNS:
+            _FORECAST_RUNS[key] = forecast.train_and_forecast(self.weekly, self.sku_enc, self.week_flags,
+                                                              self.split, FORECAST_PARAMS)
+        return _FORECAST_RUNS[key]
+
     @cached_property
     def split(self) -> weekly.Split:
         return weekly.default_split(self.sales, self.weekly)
@@ -323,3 +348,47 @@ def _forecast_result_union(w: Workspace) -> DataFrame:
     bt = wk.filter((F.col("date") >= sp.start) & (F.col("date") <= sp.end)).withColumn("segment", F.lit("backtest"))
     fut = weekly.future_baseline(w.weekly, sp.last_week).withColumn("segment", F.lit("future"))
     return hist.unionByName(bt).unionByName(fut)
+
+
+# ---- forecasting (MLlib; rows-only checks) ---------------------------------------------
+
+@query("recursive_features")
+def _recursive_features(w: Workspace) -> DataFrame:
+    """Model inputs of the first projected week for every SKU (no model)."""
+    last = w.split.last_week
+    state = forecast.initial_history(w.weekly, last)
+    f = forecast.recursive_features(state, F.date_add(last, 7), w.sku_enc, w.week_flags)
+    return f.select("sku_id", "date", *forecast.FEATURE_COLS)
+
+
+@query("rf_forecast")
+def _rf_forecast(w: Workspace) -> DataFrame:
+    """Forecast result table: history, backtest with predictions and bands,
+    recursive future."""
+    return w.forecast_run.results
+
+
+@query("recursive_forecast")
+def _recursive_forecast(w: Workspace) -> DataFrame:
+    return w.forecast_run.results.filter(F.col("actual_sales").isNull() & F.col("ml_forecast").isNotNull())
+
+
+@query("forecast_metrics_record")
+def _forecast_metrics_record(w: Workspace) -> DataFrame:
+    return w.forecast_run.metrics
+
+
+@query("rf_cv_metrics")
+def _rf_cv_metrics(w: Workspace) -> DataFrame:
+    """Pooled expanding-window CV metrics of the forest and the baseline."""
+    train = forecast.training_table(w.weekly).filter(F.col("date") < w.split.start)
+    return forecast.cross_validate(train, FORECAST_PARAMS)
+
+
+@query("forecast_series")
+def _forecast_series(w: Workspace) -> DataFrame:
+    """Chart series of every SKU from a plot start date; band rows are those
+    without an actual."""
+    start = F.date_sub(w.split.start, 7 * PLOT_WEEKS_BEFORE_BACKTEST)
+    r = w.forecast_run.results.filter(F.col("date") >= start)
+    return r.select("*", F.col("actual_sales").isNull().alias("is_band_row")).orderBy("sku_id", "date")

@@ -33,6 +33,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.master(master)
     for k, v in SESSION_DEFAULTS.items():
         b = b.config(k, v)
+    if master and master.startswith("local"):
+        # Local mode: the driver JVM is the only executor (ignored if a JVM
+        # is already running).
+        b = b.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
