@@ -14,7 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.operators import cleaning, features, forecast, marts, metrics, risk, weekly
+from stockflow.operators import cleaning, features, forecast, marts, metrics, profile, risk, weekly
+from stockflow.functions.columns import week_end
 from stockflow.session import ensure_checkpoint_dir
 from stockflow.sources.adapters import raw_tables
 
@@ -392,3 +393,70 @@ def _forecast_series(w: Workspace) -> DataFrame:
     start = F.date_sub(w.split.start, 7 * PLOT_WEEKS_BEFORE_BACKTEST)
     r = w.forecast_run.results.filter(F.col("date") >= start)
     return r.select("*", F.col("actual_sales").isNull().alias("is_band_row")).orderBy("sku_id", "date")
+
+
+# ---- profiling and dimensions ---------------------------------------------------------
+
+def _raw_dict(w: Workspace) -> dict[str, DataFrame]:
+    r = w.raw
+    return {"sales_daily": r.sales, "inventory_snapshots": r.inventory, "calendar": r.calendar,
+            "sku_master": r.sku_master}
+
+
+@query("profile_shape")
+def _profile_shape(w: Workspace) -> DataFrame:
+    return profile.profile_shape(_raw_dict(w))
+
+
+@query("profile_schema")
+def _profile_schema(w: Workspace) -> DataFrame:
+    return profile.profile_schema(_raw_dict(w))
+
+
+@query("profile_nulls")
+def _profile_nulls(w: Workspace) -> DataFrame:
+    return profile.profile_nulls(_raw_dict(w))
+
+
+@query("profile_duplicates")
+def _profile_duplicates(w: Workspace) -> DataFrame:
+    return profile.profile_duplicates(_raw_dict(w))
+
+
+@query("profile_describe")
+def _profile_describe(w: Workspace) -> DataFrame:
+    """describe() of the raw sales: numeric columns (order-dependent mean /
+    std rounded) and the SKU column."""
+    s = w.raw.sales
+    num = rounded(profile.describe_numeric(s, "sales_daily", ["units_sold", "revenue", "unit_price", "promo_flag"]),
+                  ["mean", "std", "p25", "p50", "p75"])
+    cat = profile.describe_categorical(s, "sales_daily", ["sku_id"])
+    return num.unionByName(cat, allowMissingColumns=True)
+
+
+@query("dimension_values")
+def _dimension_values(w: Workspace) -> DataFrame:
+    """Distinct category, subcategory and SKU values of the clean master
+    (the filter lists), plus the distinct weekly dates."""
+    sku = w.sku
+    parts = [sku.select(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")).distinct()
+             for d in ("category", "subcategory", "sku_id")]
+    parts.append(w.weekly.select(F.lit("week").alias("dimension"), F.col("date").cast("string").alias("value"))
+                 .distinct())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("weekly_total")
+def _weekly_total(w: Workspace) -> DataFrame:
+    """Total clean units per Sunday-ending week, empty weeks as 0. The week
+    spine is generated from the (bounded) first / last week."""
+    s = w.sales.select(week_end(F.col("date")).alias("week_end"), "units_sold")
+    tot = s.groupBy("week_end").agg(F.sum("units_sold").alias("total_units"))
+    b = s.select(F.struct(F.min("week_end").alias("a"), F.max("week_end").alias("b"))).scalar()
+    spine = w.spark.range(1).select(F.explode(F.sequence(b.getField("a"), b.getField("b"),
+                                                         F.expr("INTERVAL 7 DAYS"))).alias("week_end"))
+    return spine.join(tot, "week_end", "left").select(
+        "week_end", F.coalesce("total_units", F.lit(0.0)).alias("total_units"))
