@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stockflow.operators import cleaning, features, forecast, marts, metrics, profile, risk, weekly
 from stockflow.functions.columns import week_end
-from stockflow.session import ensure_checkpoint_dir
+from stockflow.session import ensure_checkpoint_dir, materialize
 from stockflow.sources.adapters import raw_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,9 +44,15 @@ class Workspace:
     def raw(self):
         return raw_tables(self.spark, self.sf_dir)
 
+    # The clean layer is materialised once per query as Parquet tables in the
+    # session's checkpoint folder: every later use — joins, scalar subqueries
+    # for date bounds, windows — scans the stored rows (with pruning) instead
+    # of re-running the cleaning, and a lost executor recomputes nothing
+    # before it.
+
     @cached_property
     def sku(self) -> DataFrame:
-        return cleaning.clean_sku_master(self.raw.sku_master)
+        return materialize(cleaning.clean_sku_master(self.raw.sku_master), "clean_sku_master")
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -54,7 +60,7 @@ class Workspace:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return cleaning.clean_inventory(self.raw.inventory, self.sku)
+        return materialize(cleaning.clean_inventory(self.raw.inventory, self.sku), "clean_inventory")
 
     @cached_property
     def annotated_sales(self) -> DataFrame:
@@ -62,7 +68,7 @@ class Workspace:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return cleaning.finish_sales(self.annotated_sales)
+        return materialize(cleaning.finish_sales(self.annotated_sales), "clean_sales")
 
     @cached_property
     def latest_inventory(self) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC dates, ANSI arithmetic, adaptive execution
 # (runtime broadcast conversion, partition coalescing, skew-join splitting).
@@ -61,3 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table under the session's checkpoint
+    folder (shared storage on a cluster) and return the scan of it.
+
+    This cuts the lineage like ``checkpoint()`` but keeps the data columnar:
+    later reads get column pruning and row-group pruning on pushed filters.
+    """
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
