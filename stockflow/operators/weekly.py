@@ -133,8 +133,12 @@ def future_baseline(weekly: DataFrame, last_week: Column, horizon: int = HORIZON
     skus = weekly.select("sku_id").distinct()
     fut = skus.select("sku_id", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     fut = fut.select("sku_id", "step", F.date_add(last_week, F.col("step") * 7).alias("date"))
-    past = weekly.select("sku_id", F.date_add(F.col("date"), days).alias("date"),
-                         F.col("actual_sales").alias("_past"))
+    # Only the weeks exactly ``days`` before the horizon are looked up: the
+    # filter is applied before the join, so one row per SKU and step crosses
+    # the exchange instead of the whole weekly history.
+    lo, hi = F.date_sub(F.date_add(last_week, 7), days), F.date_sub(F.date_add(last_week, 7 * horizon), days)
+    past = weekly.filter((F.col("date") >= lo) & (F.col("date") <= hi)).select(
+        "sku_id", F.date_add(F.col("date"), days).alias("date"), F.col("actual_sales").alias("_past"))
     return fut.join(past, ["sku_id", "date"], "left").select(
         "date", "sku_id", F.lit(None).cast("double").alias("actual_sales"),
         F.coalesce(F.col("_past"), F.lit(0.0)).alias("baseline_forecast"))
