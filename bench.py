@@ -2,7 +2,8 @@
 ``local[$BENCH_CPUS]`` and print one JSON line with per-query seconds.
 
 Each query is executed completely into Spark's ``noop`` sink (no collection
-to Python), after one untimed warm-up query that pays JVM / codegen start-up.
+to Python). The clean layer is built first and timed as ``clean_layer``;
+the queries then read it, like the reference's cached clean tables.
 """
 
 from __future__ import annotations
@@ -28,8 +29,18 @@ def main() -> None:
     from stockflow.plans.catalog import QUERIES
     from stockflow.session import build_session
     spark = build_session(f"local[{cpus}]", cpus * 2)
-    QUERIES["latest_inventory"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+    spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up only
     times = {}
+    # The clean layer (SKU master, inventory, annotated and clean sales) is
+    # built once per application and input version, as the cleaning job does;
+    # its cost is timed as its own entry so the total stays whole.
+    from stockflow.plans.catalog import Workspace
+    t0 = time.time()
+    w = Workspace(spark, sf_dir)
+    for t in (w.sku, w.inventory, w.sales):
+        t.write.format("noop").mode("overwrite").save()
+    times["clean_layer"] = round(time.time() - t0, 3)
+    print(f"# clean_layer: {times['clean_layer']}s", file=sys.stderr, flush=True)
     for name in only or HEADLINE:
         t0 = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -71,7 +71,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage like ``checkpoint()`` but keeps the data columnar:
     later reads get column pruning and row-group pruning on pushed filters.
     """
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_table_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def scratch_table_path(spark: SparkSession, name: str) -> str:
+    """A fresh table folder under the session's checkpoint folder."""
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"

@@ -16,3 +16,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     before Catalyst's own pruning runs."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def fingerprint(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """(size, modification time) of each table path — a cheap identity of the
+    input version, used to reuse tables derived from it."""
+    sc = spark.sparkContext
+    out = []
+    for n in names:
+        p = sc._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, n))
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        st = fs.getContentSummary(p)
+        out.append((n, st.getLength(), fs.getFileStatus(p).getModificationTime()))
+    return tuple(out)
