@@ -107,20 +107,23 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, table_name: str, cols: list[str]) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 %, max per numeric column."""
-    rows = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        base = df.agg(F.count(x).cast("bigint").alias("count"), F.avg(x).alias("mean"),
-                      F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-        q = exact_quantiles(df, c, QUARTILES).drop("n")
-        both = base.unionByName(q, allowMissingColumns=True)
-        folded = both.agg(*[F.max(k).alias(k) for k in both.columns])
-        rows.append(folded.select(F.lit(table_name).alias("table_name"), F.lit(c).alias("column_name"),
-                                  "count", "mean", "std", "min",
-                                  F.col("q_25").alias("p25"), F.col("q_50").alias("p50"), F.col("q_75").alias("p75"),
-                                  "max"))
-    return _union(rows)
+    """count, mean, std (ddof 1), min, 25/50/75 %, max per numeric column:
+    one aggregate pass for the moments of every column, one histogram pass
+    per column for the exact quartiles."""
+    xs = {c: F.col(c).cast("double") for c in cols}
+    moments = df.agg(*[a for i, c in enumerate(cols) for a in (
+        F.count(xs[c]).cast("bigint").alias(f"count_{i}"), F.avg(xs[c]).alias(f"mean_{i}"),
+        F.stddev_samp(xs[c]).alias(f"std_{i}"), F.min(xs[c]).alias(f"min_{i}"), F.max(xs[c]).alias(f"max_{i}"))])
+    long = moments.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(f"count_{i}").alias("count"), F.col(f"mean_{i}").alias("mean"),
+        F.col(f"std_{i}").alias("std"), F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"))
+        for i, c in enumerate(cols)])).alias("m")).select("m.*")
+    qs = _union([exact_quantiles(df, c, QUARTILES).select(F.lit(c).alias("column_name"), "q_25", "q_50", "q_75")
+                 for c in cols])
+    # one row per column on both sides: a small keyed join
+    return long.join(F.broadcast(qs), "column_name").select(
+        F.lit(table_name).alias("table_name"), "column_name", "count", "mean", "std", "min",
+        F.col("q_25").alias("p25"), F.col("q_50").alias("p50"), F.col("q_75").alias("p75"), "max")
 
 
 def describe_categorical(df: DataFrame, table_name: str, cols: list[str]) -> DataFrame:

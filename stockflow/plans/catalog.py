@@ -450,7 +450,9 @@ def _profile_duplicates(w: Workspace) -> DataFrame:
 def _profile_describe(w: Workspace) -> DataFrame:
     """describe() of the raw sales: numeric columns (order-dependent mean /
     std rounded) and the SKU column."""
-    s = w.raw.sales
+    # Profiling is several passes over one table: the scanned raw sales are
+    # written once and every pass reads that table.
+    s = w._layer("raw_sales", lambda: w.raw.sales)
     num = rounded(profile.describe_numeric(s, "sales_daily", ["units_sold", "revenue", "unit_price", "promo_flag"]),
                   ["mean", "std", "p25", "p50", "p75"])
     cat = profile.describe_categorical(s, "sales_daily", ["sku_id"])
