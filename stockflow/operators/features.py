@@ -46,10 +46,11 @@ def daily_grid(sku: DataFrame, sales: DataFrame, calendar: DataFrame,
     skus = sku.select("sku_id").distinct()
     grid = skus.select("sku_id", F.explode(F.sequence(d0, d1)).alias("date"))
     daily = sales_daily(sales)
-    if num_partitions:
-        grid, daily = grid.repartition(num_partitions, "sku_id"), daily.repartition(num_partitions, "sku_id")
-    else:
-        grid, daily = grid.repartition("sku_id"), daily.repartition("sku_id")
+    # An explicit partition count: the SKU list is tiny next to its grid, so a
+    # size-based (AQE-coalesced) partitioning would put the whole exploded grid
+    # and every window over it into one task.
+    n = num_partitions or grid_partitions(sku.sparkSession)
+    grid, daily = grid.repartition(n, "sku_id"), daily.repartition(n, "sku_id")
     g = grid.join(daily, ["sku_id", "date"], "left")
     cal = F.broadcast(calendar.select("date", "is_holiday"))
     g = g.join(cal, "date", "left")
@@ -63,6 +64,12 @@ def daily_grid(sku: DataFrame, sales: DataFrame, calendar: DataFrame,
     )
 
 
+def grid_partitions(spark) -> int:
+    """Partitions of the SKU × day grid: the session's shuffle partitions,
+    at least the default parallelism."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _w(key: str, order: str):
     return Window.partitionBy(key).orderBy(order)
 
