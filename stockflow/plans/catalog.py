@@ -119,7 +119,7 @@ class Workspace:
     def forecast_run(self) -> forecast.ForecastRun:
         """One fitted forest per (application, data set), shared by the
         forecast queries — like a saved model artifact, training runs once."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (*self._key, "forecast")
         if key not in _FORECAST_RUNS:
             _FORECAST_RUNS[key] = forecast.train_and_forecast(self.weekly, self.sku_enc, self.week_flags,
                                                               self.split, FORECAST_PARAMS)
