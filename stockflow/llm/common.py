@@ -68,7 +68,7 @@ class WordHashes(dict):
     """Word (bytes) -> XXH64, computed once per word; emptied when it grows
     beyond ``most`` entries so that memory stays bounded."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 18):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -162,7 +162,7 @@ def _expand(owner: np.ndarray, begin: np.ndarray, key: np.ndarray) -> tuple[np.n
 class _Terms(dict):
     """Raw word (bytes) -> term id, -1 outside the index, -2 without letters or digits."""
 
-    def __init__(self, term: dict, most: int = 1 << 20):
+    def __init__(self, term: dict, most: int = 1 << 18):
         self.term, self.most = term, most
 
     def __missing__(self, raw: bytes) -> int:

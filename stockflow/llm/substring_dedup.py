@@ -35,7 +35,8 @@ from stockflow.llm.common import WordHashes, keyed_texts, mix64, pack_sorted, pe
 ROWS = 2                 # hash rows of the sketch
 MIN_LOG_CELLS, MAX_LOG_CELLS = 16, 29
 LOG_SLICE = 21           # cells merged by one group
-WORDS_PER_GROUP = 4_000_000  # of the exact pass, by which it is split
+WORDS_PER_GROUP = 2_000_000  # of the exact pass, by which it is split
+SKETCHED = 4_000_000     # windows that a task sketches before it sends the cells
 
 _FACTOR = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -55,6 +56,16 @@ def _cells(h: np.ndarray, row: int, log_cells: int) -> np.ndarray:
     return ((h if row == 0 else mix64(h * np.uint64(0xA0761D6478BD642F) + np.uint64(row))) >> np.uint64(64 - log_cells)).astype(np.int64)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Small integers in two bytes each if they fit, else in four; the last byte tells."""
+    wide = bool(len(x) and x.max() >= 1 << 16)
+    return x.astype(np.uint32 if wide else np.uint16).tobytes() + bytes([4 if wide else 2])
+
+
+def _widen(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[:-1], np.uint32 if data[-1] == 4 else np.uint16).astype(np.int64)
+
+
 def _chunk_windows(cols: dict, cache: WordHashes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a chunk one document after the other, the number of words
     of each, and where windows inside one document start."""
@@ -75,24 +86,16 @@ def sketch_bits(texts: DataFrame, size: int, log_cells: int) -> DataFrame:
     log_slice = min(LOG_SLICE, log_cells)
     schema = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
 
-    def sketch(cache: WordHashes):
-        def of(cols: dict) -> dict | None:
-            flat, _, starts = _chunk_windows(cols, cache, size)
-            if not len(starts):
-                return None
-            h = window_hashes(flat, size, 0)[starts]
-            part, cells = [], []
-            for row in range(ROWS):
-                c = np.sort(_cells(h, row, log_cells))
-                again = np.concatenate([[False, False], (c[2:] == c[:-2])]) if len(c) > 2 else np.zeros(len(c), bool)
-                c = c[~again]  # a count of two is all that matters
-                cuts = np.searchsorted(c, np.arange(0, (1 << log_cells) + 1, 1 << log_slice))
-                for k in range(len(cuts) - 1):
-                    if cuts[k + 1] > cuts[k]:
-                        part.append(row << (log_cells - log_slice) | k)
-                        cells.append(pack_sorted(c[cuts[k]:cuts[k + 1]] - (k << log_slice)))
-            return {"part": part, "cells": cells}
-        return of
+    def sketch(h: np.ndarray) -> pa.RecordBatch:
+        part, cells = [], []
+        for row in range(ROWS):
+            c = np.sort(_cells(h, row, log_cells))
+            c = np.delete(c, 2 + np.flatnonzero(c[2:] == c[:-2]))  # a count of two is all that matters
+            cuts = np.searchsorted(c, np.arange(0, (1 << log_cells) + 1, 1 << log_slice))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                part.append(row << (log_cells - log_slice) | k)
+                cells.append(pack_sorted(c[cuts[k]:cuts[k + 1]] - (k << log_slice)))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells, pa.binary())], schema=schema)
 
     def merge(key, table):
         seen, twice = np.zeros(1 << log_slice, bool), np.zeros(1 << log_slice, bool)
@@ -104,20 +107,33 @@ def sketch_bits(texts: DataFrame, size: int, log_cells: int) -> DataFrame:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
     def run(batches):
-        yield from per_batch(sketch(WordHashes()), schema)(batches)
+        cache, held = WordHashes(), []
+
+        def hashes(cols: dict) -> None:
+            flat, _, starts = _chunk_windows(cols, cache, size)
+            held.append(window_hashes(flat, size, 0)[starts])
+
+        for batch in batches:
+            for _ in per_batch(hashes, schema)([batch]):
+                pass
+            if sum(map(len, held)) >= SKETCHED:
+                yield sketch(np.concatenate(held))
+                held.clear()
+        if held:
+            yield sketch(np.concatenate(held))
 
     return texts.mapInArrow(run, "part int, cells binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
 
 
 def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
-    """doc_id, text_key, starts (gap-coded positions of the removed windows), a few
-    rows for a document with removals."""
+    """doc_id, text_key, starts (lists of gap-coded positions of the removed windows),
+    one row per document with removals."""
     spark = docs.sparkSession
     texts = keyed_texts(docs)
     # Half the bytes bounds the words from above; it sizes the sketch only.
     total = texts.agg(F.sum(F.length("body"))).first()[0] or 0
     words = max(1, total // 6)
-    log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(2.5 * words))))
+    log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(1.5 * words))))
     groups = max(1, math.ceil(words / WORDS_PER_GROUP))
     log_slice = min(LOG_SLICE, log_cells)
     per_row = 1 << (log_cells - log_slice)
@@ -165,8 +181,8 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
                     out["part"].append(int(p))
                     out["doc_ids"].append(ids[used])
                     out["text_keys"].append([cols["text_key"][k] for k in used])
-                    out["doc"].append(local.astype(np.uint32).tobytes())
-                    out["start"].append(at[r].astype(np.uint32).tobytes())
+                    out["doc"].append(_narrow(local))
+                    out["start"].append(_narrow(at[r]))
                     out["h"].append(b"" if known else h[r].tobytes())
                     out["check"].append(b"" if known else check[r].tobytes())
                     out["known"].append(known)
@@ -182,12 +198,13 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
 
     def decide(key, table):
         got = table.to_pydict()
-        sizes = [len(x) // 4 for x in got["doc"]]
+        docs_of, starts_of = [_widen(x) for x in got["doc"]], [_widen(x) for x in got["start"]]
+        sizes = [len(x) for x in docs_of]
         base = np.concatenate([[0], np.cumsum([len(x) for x in got["doc_ids"]])])
         ids = np.array([i for x in got["doc_ids"] for i in x], np.int64)
-        keys = [k for x in got["text_keys"] for k in x]
-        doc = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in got["doc"]]) + np.repeat(base[:-1], sizes)
-        at = np.concatenate([np.frombuffer(x, np.uint32) for x in got["start"]])
+        keys = np.array([k for x in got["text_keys"] for k in x], np.int64)
+        doc = np.concatenate(docs_of) + np.repeat(base[:-1], sizes)
+        at = np.concatenate(starts_of)
         known = np.repeat(np.array(got["known"], bool), sizes)
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in got["h"]])
         check = np.concatenate([np.frombuffer(x, np.uint32) for x in got["check"]])
@@ -203,20 +220,36 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         used, first = np.unique(doc, return_index=True)
-        last = np.append(first[1:], len(doc))
-        return pa.table({"doc_id": pa.array(ids[used], pa.int64()), "text_key": pa.array([keys[k] for k in used], pa.int64()),
-                         "starts": pa.array([pack_sorted(at[a:b]) for a, b in zip(first, last)], pa.binary())})
+        packed = [pack_sorted(at[a:b]) for a, b in zip(first, np.append(first[1:], len(doc)))]
+        bucket = (mix64(ids[used].astype(np.uint64) ^ mix64(keys[used].astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
+        out = {"bucket": [], "doc_ids": [], "text_keys": [], "starts": []}
+        for k in np.unique(bucket).tolist():
+            mine = np.flatnonzero(bucket == k)
+            for name, v in zip(out, (k, ids[used[mine]], keys[used[mine]], [packed[i] for i in mine])):
+                out[name].append(v)
+        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "doc_ids": pa.array(out["doc_ids"], pa.list_(pa.int64())),
+                         "text_keys": pa.array(out["text_keys"], pa.list_(pa.int64())),
+                         "starts": pa.array(out["starts"], pa.list_(pa.binary()))})
+
+    def by_document(key, table):
+        got = table.to_pydict()
+        found: dict = {}
+        for ids, keys, starts in zip(got["doc_ids"], got["text_keys"], got["starts"]):
+            for doc, text_key, s in zip(ids, keys, starts):
+                found.setdefault((doc, text_key), []).append(s)
+        return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "text_key": pa.array([k for _, k in found], pa.int64()),
+                         "starts": pa.array(list(found.values()), pa.list_(pa.binary()))})
 
-    return texts.mapInArrow(run, "part int, doc_ids array<long>, text_keys array<long>, doc binary, start binary, h binary, check binary, known boolean") \
-        .groupBy("part").applyInArrow(decide, "doc_id long, text_key long, starts binary")
+    asked = texts.mapInArrow(run, "part int, doc_ids array<long>, text_keys array<long>, doc binary, start binary, h binary, check binary, known boolean")
+    return asked.groupBy("part").applyInArrow(decide, "bucket int, doc_ids array<long>, text_keys array<long>, starts array<binary>") \
+        .groupBy("bucket").applyInArrow(by_document, "doc_id long, text_key long, starts array<binary>")
 
 
 def substring_dedup(docs: DataFrame, size: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words joined by one space);
     one row per input row."""
     texts = keyed_texts(docs)
-    gone = repeated_words(docs, size).groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")) \
-        .agg(F.collect_list("starts").alias("starts"))  # at most one entry a group of the exact pass and a chunk
+    gone = repeated_words(docs, size).withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
     both = texts.join(gone, (texts.doc_id == gone.of_id) & (texts.text_key == gone.of_key), "left").select("doc_id", "body", "starts")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
