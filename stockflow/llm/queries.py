@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import decontam, line_dedup, packing, quality, simhash, substring_dedup, url_filter, warc
+from stockflow.llm import (decontam, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup, url_filter,
+                           warc)
 from stockflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the attention model and the unigram base."""
+    return lm_scoring.lm_scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
