@@ -7,21 +7,23 @@ within its class from the class before:
 
     P(id | past) = softmax(bigram[previous class] + attention(past))[class(id)]
                    * P(id | class(id), previous class)
+    P(word | past) = MIX * (c + 1) / (N + V + 1) [0 for unknown words]
+                     + (1 - MIX) * product of P(id | past) over its ids
 
-The most frequent ids are classes of their own, the rest share classes by
-frequency. Class bigrams and ids within classes are counted over all training
-documents. The attention part (embeddings, one causal head, output) starts at
-zero output and is trained by Adam in every partition on one window in
+The most frequent ids are classes of their own; the others are clustered by the
+classes that stand before them. Class bigrams, ids within classes and words
+are counted over all training documents. The attention part (embeddings, one
+causal head, output) is trained by Adam in every partition on one window in
 ``EVERY`` of each training document, chosen by hash, and averaged over the
-partitions, weighted by tokens: its data grow with the input, its size not.
+partitions, weighted by ids: its data grow with the input, its size not.
 
 Scoring runs over windows of ``WINDOW`` ids that overlap by ``WINDOW - STEP``;
 each id is scored once, in the window that gives it at least that much past
 (or all there is), many windows at a time with masked attention.
 
-The word base (unigram) joins word counts: the ``FREQUENT`` most counted words
-are looked up in a bounded broadcast, the others by a shuffled join of
-(document, word) with the counts. Words are known by 64-bit hashes.
+Words are known by a 64-bit hash of their ids. The ``FREQUENT`` most counted
+are looked up in a bounded broadcast; the others' occurrences go, with their
+attention probability, through a shuffled join with the counts.
 
 Defined cases: null text is empty and has the end token only; a null doc_id is
 in training (its remainder is unknown); repeated rows count each and get the
@@ -39,117 +41,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm.bpe import WordEncoder
-from stockflow.llm.common import WordHashes, keyed_texts, materialize, per_batch
+from stockflow.llm.common import chunks, keyed_texts, materialize, mix64, per_batch
 
 FREQUENT = 1 << 20
-OWN, SHARED = 112, 16           # classes of one id, and classes of many
+OWN, SHARED = 24, 40            # classes of one id, and classes of many
 CLASSES = OWN + SHARED
 WINDOW, STEP, WIDTH = 16, 12, 16
-EVERY = 16                      # one training window in so many
+EVERY = 64                      # one training window in so many
 SLICES = 16                     # of the id range, for counts
 PRIOR = 50.0                    # weight of P(id | class) in P(id | class, previous class)
+MIX = 0.5                       # weight of the word's own share
 SEND = 2_000_000                # words whose counts a task adds up before sending
 
-END_WORD = 0  # the hash that stands for the end token (words hash to XXH64)
 
-
-# ---- pass 1: ids and word counts
+# ---- ids and word counts
 
 def encoded(docs: DataFrame, tokenizer: str, modulus: int, remainder: int) -> DataFrame:
-    """Rows of documents (doc_id, text_key, held_out, n_tokens, ids) and rows of
-    word counts of training documents (words, counts)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                        ("ids", pa.binary()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    """doc_id, text_key, held_out, n_tokens, ids (two bytes each)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     texts = keyed_texts(docs).withColumn("held_out", F.coalesce(
         F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False)))
 
-    def run(batches):
-        encoder, hashes, held = WordEncoder(tokenizer, word_ends=False, most=1 << 19), WordHashes(), []
-        end_id = encoder.size - 1
-
-        def rows(cols: dict) -> dict:
+    def encode(encoder: WordEncoder):
+        def of(cols: dict) -> dict:
             words = [(b or b"").lower().split() for b in cols["body"]]
             flat, n_ids = encoder.of([w for ws in words for w in ws])
             at = np.concatenate([[0], np.cumsum(n_ids)])[np.cumsum([0] + [len(ws) for ws in words])]
-            training = [i for i, h in enumerate(cols["held_out"]) if not h]
-            if training:
-                h = hashes.of([w for i in training for w in words[i]])
-                held.append(np.concatenate([h, np.full(len(training), END_WORD, np.uint64)]))
             return {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "held_out": cols["held_out"],
                     "n_tokens": [len(ws) + 1 for ws in words],
-                    "ids": [np.append(flat[a:b], end_id).astype(np.uint16).tobytes() for a, b in zip(at[:-1], at[1:])],
-                    "words": [None] * len(words), "counts": [None] * len(words)}
+                    "ids": [np.append(flat[a:b], encoder.size - 1).astype(np.uint16).tobytes() for a, b in zip(at[:-1], at[1:])]}
+        return of
 
-        def counts() -> pa.RecordBatch:
-            word, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            cut = range(0, len(word), 50_000)
-            none = [None] * len(cut)
-            return pa.RecordBatch.from_arrays([pa.array(none, x.type) for x in list(schema)[:5]] + [
-                pa.array([word[k:k + 50_000].view(np.int64) for k in cut], schema.field("words").type),
-                pa.array([n[k:k + 50_000].astype(np.int64) for k in cut], schema.field("counts").type)], schema=schema)
+    def run(batches):
+        yield from per_batch(encode(WordEncoder(tokenizer, word_ends=False, most=1 << 19)), schema)(batches)
 
-        for batch in batches:
-            yield from per_batch(rows, schema)([batch])
-            if sum(map(len, held)) >= SEND:
-                yield counts()
-        if held:
-            yield counts()
+    return texts.mapInArrow(run, "doc_id long, text_key long, held_out boolean, n_tokens long, ids binary")
 
-    return texts.mapInArrow(run, "doc_id long, text_key long, held_out boolean, n_tokens long, ids binary, words array<long>, counts array<long>")
 
+def word_starts(tokenizer: str) -> np.ndarray:
+    """Of each id whether it begins a word: a space is its first byte, or it is the end."""
+    vocab = WordEncoder(tokenizer, word_ends=False).library.get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
+    out[-1] = True
+    return out
 
-def word_counts(coded: DataFrame) -> DataFrame:
-    return coded.filter("words is not null").select(F.explode(F.arrays_zip("words", "counts")).alias("x")) \
-        .groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"))
 
+def word_keys(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in a run of ids, and a 64-bit hash of each word's ids."""
+    first = np.flatnonzero(starts[flat])
+    place = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
+    return first, np.add.reduceat(mix64(flat.astype(np.uint64) * np.uint64(0x1000193) + (place.astype(np.uint64) << np.uint64(40)) + np.uint64(1)), first)
 
-# ---- the word base
 
-def word_base(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_known, base_score and train_tokens of each different row."""
-    spark = docs.sparkSession
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    most = counts.orderBy(F.desc("c"), "word").limit(FREQUENT)  # a bounded table
-    frequent = np.array([(r.word, r.c) for r in most.toLocalIterator()], np.int64).reshape(-1, 2)
-    frequent = frequent[np.argsort(frequent[:, 0].view(np.uint64) if len(frequent) else [])]
-    below = math.log10(total.n + total.v + 1) if total.n + total.v else 0.0
-    shared = spark.sparkContext.broadcast((np.ascontiguousarray(frequent[:, 0]).view(np.uint64), np.log10(frequent[:, 1] + 1.0)))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()),
-                        ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
-
-    def look_up(hashes: WordHashes, word: np.ndarray, logs: np.ndarray):
-        def of(cols: dict) -> dict:
-            out = {x.name: [] for x in schema}
-            parts = [np.append(hashes.of((b or b"").lower().split()), np.uint64(END_WORD)) for b in cols["body"]]
-            flat = np.concatenate(parts)
-            at = np.minimum(np.searchsorted(word, flat), max(0, len(word) - 1))
-            found = word[at] == flat if len(word) else np.zeros(len(flat), bool)
-            value = np.where(found, logs[at], 0.0) if len(word) else np.zeros(len(flat))
-            end = 0
-            for i, p in enumerate(parts):
-                begin, end = end, end + len(p)
-                f = found[begin:end]
-                rare, times = np.unique(p[~f], return_counts=True)
-                for name, v in zip(out, (cols["doc_id"][i], cols["text_key"][i], int(f.sum()), float(value[begin:end].sum()),
-                                         rare.view(np.int64), times.astype(np.int32))):
-                    out[name].append(v)
-            return out
-        return of
+def word_counts(coded: DataFrame, starts) -> DataFrame:
+    """word (hash of its ids), c, over all training documents; a task adds up before it sends."""
+    schema = pa.schema([("word", pa.int64()), ("c", pa.int64())])
 
     def run(batches):
-        yield from per_batch(look_up(WordHashes(), *shared.value), schema)(batches)
+        held = []
+
+        def counts() -> pa.RecordBatch:
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+
+        for batch in batches:
+            ids = _ids(batch.column("ids").to_pylist())
+            for k in range(0, len(ids), 1000):
+                held.append(word_keys(np.concatenate(ids[k:k + 1000]), starts.value)[1])
+            if sum(map(len, held)) >= SEND:
+                yield counts()
+        if held:
+            yield counts()
 
-    looked = materialize(keyed_texts(docs).mapInArrow(run, "doc_id long, text_key long, known long, logs double, words array<long>, times array<int>"), "frequent_words")
-    rare = looked.select("doc_id", "text_key", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
-        "doc_id", "text_key", F.col("x.words").alias("word"), F.col("x.times").alias("times")).distinct()
-    joined = rare.join(counts, "word").groupBy("doc_id", "text_key").agg(
-        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    joined = joined.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
-    once = looked.select("doc_id", "text_key", "known", "logs").distinct()
-    return once.join(joined, once.doc_id.eqNullSafe(joined.of_id) & (once.text_key == joined.of_key), "left").select(
-        "doc_id", "text_key", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("logs"), F.lit(below).alias("below"), F.lit(total.n).cast("long").alias("train_tokens"))
+    return coded.filter("not held_out").select("ids").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 # ---- the model
@@ -174,20 +140,34 @@ class Attention:
         self.w = weights
         self.mask = np.where(np.tri(WINDOW, dtype=bool), 0, -1e9).astype(np.float32)
 
-    def forward(self, past: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Class logits (windows, WINDOW, CLASSES) from the classes before each place."""
-        w = self.w
+    def hidden(self, past: np.ndarray) -> tuple:
+        """What each place knows of the classes before it: its embedding and the
+        attention's sum; also the inner values that the gradients need."""
+        w, shape = self.w, (len(past), WINDOW, WIDTH)
         x = w["embed"][past] + w["place"]
-        q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-        a = softmax_rows(q @ k.transpose(0, 2, 1) * np.float32(WIDTH ** -0.5) + self.mask)
-        h = np.concatenate([x, a @ v], axis=-1)
-        return h @ w["out"] + self.bigram[past], (past, x, q, k, v, a, h)
+        flat = x.reshape(-1, WIDTH)
+        q, k, v = ((flat @ w[n]).reshape(shape) for n in ("query", "key", "value"))
+        a = q @ k.transpose(0, 2, 1)
+        a *= np.float32(WIDTH ** -0.5)
+        a += self.mask
+        np.exp(a, out=a)  # small logits: no need to shift
+        a /= a.sum(axis=-1, keepdims=True)
+        return x, q, k, v, a, np.concatenate([x, a @ v], axis=-1)
+
+    def log_likelihood(self, past: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Natural log of P(class) at the scored places."""
+        h, before, goal = self.hidden(past)[-1][scored], past[scored], target[scored]
+        z = h @ self.w["out"]
+        z += self.bigram[before]
+        got = z[np.arange(len(z)), goal]
+        np.exp(z, out=z)
+        return got - np.log(z.sum(axis=-1))
 
     def gradients(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of the targets and its gradients."""
         w = self.w
-        logits, (_, x, q, k, v, a, h) = self.forward(past)
-        p = softmax_rows(logits)
+        x, q, k, v, a, h = self.hidden(past)
+        p = softmax_rows((h.reshape(-1, 2 * WIDTH) @ w["out"]).reshape(*past.shape, CLASSES) + self.bigram[past])
         n = max(1.0, float(weight.sum()))
         picked = np.take_along_axis(p, target[..., None], axis=-1)[..., 0]
         loss = float(-(np.log(picked + 1e-30) * weight).sum() / n)
@@ -233,23 +213,21 @@ class Attention:
         return self
 
 
-def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts as classes: what stands before each place, the place's class, whether
-    this window scores it, and the text of each window. The start of a text is
-    class ``CLASSES``; ids before the overlap's end belong to the window before."""
-    n = np.array([len(c) for c in classes], np.int64)
+def windows(classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as classes, one after the other, ``n`` ids each (one at least): what
+    stands before each place, the place's class, whether this window scores it,
+    and the text of each window. The start of a text is class ``CLASSES``; ids
+    before the overlap's end belong to the window before."""
     per = np.maximum(1, -(-(n - (WINDOW - STEP)) // STEP))
     owner = np.repeat(np.arange(len(n)), per)
     first = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * STEP
     base = np.cumsum(n + 1) - (n + 1)
     flat = np.full(int((n + 1).sum()) + WINDOW + 1, CLASSES, np.int64)
-    inside = np.arange(int(n.sum())) + np.repeat(np.arange(len(n)) + 1, n)
-    if len(inside):
-        flat[inside] = np.concatenate(classes)
+    flat[np.arange(len(classes)) + np.repeat(np.arange(len(n)) + 1, n)] = classes
     at = (base[owner] + first)[:, None] + np.arange(WINDOW)
     place = first[:, None] + np.arange(WINDOW)
     live = place < n[owner][:, None]
-    scored = live & ((place >= WINDOW - STEP) & (np.arange(WINDOW) >= WINDOW - STEP) | (first == 0)[:, None])
+    scored = live & ((np.arange(WINDOW) >= WINDOW - STEP) | (first == 0)[:, None])
     return np.where(live, flat[at], CLASSES), np.where(live, flat[at + 1], 0), scored, owner
 
 
@@ -257,13 +235,30 @@ class Model:
     """Classes, counted parts and attention weights; of bounded size."""
 
     def __init__(self, counts: np.ndarray):
-        """``counts``: (CLASSES or fewer rows are added later) id counts."""
+        """First classes, from id counts: by frequency."""
+        self.counts = counts
         order = np.argsort(-counts, kind="stable")
+        self.rest = order[OWN:]
         self.of = np.empty(len(counts), np.int64)
         self.of[order[:OWN]] = np.arange(OWN)
-        rest = order[OWN:]
-        share = np.cumsum(counts[rest] + 1e-9)  # shared classes hold about equal mass
-        self.of[rest] = OWN + np.minimum(SHARED - 1, (share / max(share[-1], 1e-9) * SHARED).astype(np.int64)) if len(rest) else OWN
+        share = np.cumsum(counts[self.rest] + 1e-9)  # shared classes hold about equal mass
+        self.of[self.rest] = OWN + np.minimum(SHARED - 1, (share / share[-1] * SHARED).astype(np.int64))
+
+    def cluster(self, pairs: np.ndarray, rounds: int = 12) -> None:
+        """Shared classes by what stands before: k-means over the square roots of
+        the shares of previous classes, smoothed towards all ids'."""
+        f = pairs[:, self.rest].T
+        mean = (f.sum(axis=0) + 1) / (f.sum() + f.shape[1])
+        x = np.sqrt((f + 20 * mean) / (f.sum(axis=1, keepdims=True) + 20)).astype(np.float32)
+        weight = self.counts[self.rest] + 0.01
+        often = np.argsort(-weight, kind="stable")[:4000]
+        centre = x[np.random.default_rng(0).choice(often, SHARED, replace=False)]
+        for _ in range(rounds):
+            near = (-2 * x @ centre.T + (centre ** 2).sum(axis=1)).argmin(axis=1)
+            for k in range(SHARED):
+                if (mine := near == k).any():
+                    centre[k] = (x[mine] * weight[mine, None]).sum(axis=0) / weight[mine].sum()
+        self.of[self.rest] = OWN + near
 
     def finish(self, pairs: np.ndarray) -> None:
         """``pairs``: counts of (previous class or start, id)."""
@@ -280,23 +275,17 @@ class Model:
         inside = (pairs + PRIOR * prior) / (onehot[:, self.of] + PRIOR)
         self.inside = np.log(inside).astype(np.float32)
 
-    def score(self, attention: Attention, ids: list[np.ndarray], block: int = 4096) -> np.ndarray:
-        """log10 probability of each text."""
-        classes = [self.of[i] for i in ids]
-        past, target, scored, owner = windows(classes)
-        total = np.zeros(len(ids))
-        for k in range(0, len(past), block):
-            rows = slice(k, k + block)
-            logits, _ = attention.forward(past[rows])
-            use = scored[rows]
-            z = logits[use]
-            top = z.max(axis=-1)
-            log_sum = np.log(np.exp(z - top[:, None]).sum(axis=-1)) + top
-            got = z[np.arange(len(z)), target[rows][use]] - log_sum
-            total += np.bincount(np.broadcast_to(owner[rows][:, None], use.shape)[use], weights=got, minlength=len(ids))
-        for i, (c, x) in enumerate(zip(classes, ids)):
-            total[i] += self.inside[np.concatenate([[CLASSES], c[:-1]]), x].sum(dtype=np.float64)
-        return total / math.log(10)
+    def score(self, attention: Attention, ids: list[np.ndarray], block: int = 256) -> np.ndarray:
+        """Natural log of P(id | past) of each id of some texts, one text after the
+        other; blocks of windows fit the processor's cache."""
+        flat = np.concatenate(ids)
+        n = np.array([len(i) for i in ids])
+        classes = self.of[flat]
+        before = np.concatenate([[CLASSES], classes[:-1]])
+        before[np.cumsum(n)[:-1]] = CLASSES
+        past, target, scored, _ = windows(classes, n)
+        got = [attention.log_likelihood(past[k:k + block], target[k:k + block], scored[k:k + block]) for k in range(0, len(past), block)]
+        return np.concatenate(got) + self.inside[before, flat]  # scored places are in the order of the texts
 
 
 def _sum_slices(rows: DataFrame, name: str) -> dict[int, np.ndarray]:
@@ -315,14 +304,14 @@ def _sum_slices(rows: DataFrame, name: str) -> dict[int, np.ndarray]:
     return {r.part: np.frombuffer(r.data, np.float32).astype(np.float64) * r.weight for r in out} | {-1 - r.part: np.array([r.weight]) for r in out}
 
 
-def _ids(cols: dict) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint16).astype(np.int64) for b in cols["ids"]]
+def _ids(column: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint16).astype(np.int64) for b in column]
 
 
 def train(coded: DataFrame, vocabulary: int) -> tuple[Model, np.ndarray]:
     """Counts over all training documents, then attention weights."""
     spark = coded.sparkSession
-    texts = coded.filter("ids is not null and not held_out").select("text_key", "ids")
+    texts = coded.filter("not held_out").select("text_key", "ids")
     ddl = "part int, data binary, weight double"
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary()), ("weight", pa.float64())])
 
@@ -335,39 +324,42 @@ def train(coded: DataFrame, vocabulary: int) -> tuple[Model, np.ndarray]:
         def run(batches):
             total = np.zeros(size)
             for batch in batches:
-                ids = [np.frombuffer(b.as_py(), np.uint16).astype(np.int64) for b in batch.column("ids")]
-                if ids:
-                    total += counter(ids)
+                if batch.num_rows:
+                    total += counter(_ids(batch.column("ids").to_pylist()))
             yield send(total)
         got = _sum_slices(texts.mapInArrow(run, ddl), name)
         return np.concatenate([got[k] for k in range(SLICES)]) if got else np.zeros(size)
 
-    model = Model(summed(lambda ids: np.bincount(np.concatenate(ids), minlength=vocabulary), vocabulary, "id_counts"))
-    of = spark.sparkContext.broadcast(model.of)
+    def pairs(of: np.ndarray, name: str) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(of)
 
-    def pairs(ids: list[np.ndarray]) -> np.ndarray:
-        flat = np.concatenate(ids)
-        before = of.value[np.concatenate([[0], flat[:-1]])]
-        n = np.cumsum([len(i) for i in ids])
-        before[np.concatenate([[0], n[:-1]])] = CLASSES
-        return np.bincount(before * vocabulary + flat, minlength=(CLASSES + 1) * vocabulary)
+        def count(ids: list[np.ndarray]) -> np.ndarray:
+            flat = np.concatenate(ids)
+            before = np.concatenate([[CLASSES], shared.value[flat[:-1]]])
+            before[np.cumsum([len(i) for i in ids])[:-1]] = CLASSES
+            return np.bincount(before * vocabulary + flat, minlength=(CLASSES + 1) * vocabulary)
+        return summed(count, (CLASSES + 1) * vocabulary, name).reshape(CLASSES + 1, vocabulary)
 
-    model.finish(summed(pairs, (CLASSES + 1) * vocabulary, "class_pairs").reshape(CLASSES + 1, vocabulary))
-    bigram = spark.sparkContext.broadcast(model.bigram)
+    model = Model(summed(lambda ids: np.bincount(np.concatenate(ids), minlength=vocabulary), vocabulary, "id_counts"))
+    model.cluster(pairs(model.of, "first_pairs"))
+    model.finish(pairs(model.of, "class_pairs"))
+    known = spark.sparkContext.broadcast((model.of, model.bigram))
 
     def fit(batches):
-        chosen = []
+        chosen, (of, bigram) = [], known.value
         for batch in batches:
-            cols = batch.to_pydict()
-            past, target, scored, owner = windows([of.value[i] for i in _ids(cols)])
-            key = np.array(cols["text_key"], np.int64)[owner] * 31 + np.arange(len(owner)) - np.searchsorted(owner, owner)
-            pick = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(EVERY) == 0
+            if not batch.num_rows:
+                continue
+            ids = _ids(batch.column("ids").to_pylist())
+            past, target, scored, owner = windows(of[np.concatenate(ids)], np.array([len(i) for i in ids]))
+            key = batch.column("text_key").to_numpy()[owner].view(np.uint64) + np.arange(len(owner), dtype=np.uint64) - np.searchsorted(owner, owner).astype(np.uint64)
+            pick = mix64(key) % np.uint64(EVERY) == 0
             chosen.append((past[pick].astype(np.int16), target[pick].astype(np.int16), scored[pick]))
-        if not chosen or not sum(len(c[0]) for c in chosen):
+        if not sum(len(c[0]) for c in chosen):
             return
         past, target, scored = (np.concatenate(x) for x in zip(*chosen))
         mix = np.random.default_rng(2).permutation(len(past))
-        attention = Attention(np.vstack([bigram.value]))
+        attention = Attention(bigram)
         attention.fit(past[mix].astype(np.int64), target[mix].astype(np.int64), scored[mix].astype(np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([attention.vector().astype(np.float32).tobytes()]),
                                           pa.array([float(scored.sum())])], schema=schema)
@@ -381,30 +373,61 @@ def lm_scores(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row
     per input row. Documents whose crc32 has the remainder are held out."""
     spark = docs.sparkSession
+    begins = word_starts(tokenizer)
+    starts = spark.sparkContext.broadcast(begins)
     coded = materialize(encoded(docs, tokenizer, modulus, remainder), "subword_ids")
-    counts = materialize(word_counts(coded), "word_counts")
-    base = word_base(docs, counts).withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"})
-    model, weights = train(coded, WordEncoder(tokenizer, word_ends=False).size)
-    shared = spark.sparkContext.broadcast((model, weights))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+    counts = materialize(word_counts(coded, starts), "word_counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    most = counts.orderBy(F.desc("c"), "word").limit(FREQUENT)  # a bounded table
+    frequent = np.array([(r.word, r.c) for r in most.toLocalIterator()], np.int64).reshape(-1, 2)
+    frequent = frequent[np.argsort(frequent[:, 0].copy().view(np.uint64))]
+    scale = math.log(total.n + total.v + 1)
+    shared = spark.sparkContext.broadcast((*train(coded, len(begins)), frequent[:, 0].copy().view(np.uint64), np.log(frequent[:, 1] + 1.0) - scale))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                        ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+                        ("words", pa.list_(pa.int64())), ("logs", pa.list_(pa.float32()))])
+
+    def scored(batch: pa.RecordBatch, attention: Attention, model: Model, word: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
+        """Scores of frequent words summed by text; the others' hashes and log P."""
+        ids = _ids(batch.column("ids").to_pylist())
+        first, key = word_keys(np.concatenate(ids), starts.value)
+        logs = np.add.reduceat(model.score(attention, ids), first, dtype=np.float64)
+        at = np.minimum(np.searchsorted(word, key), max(0, len(word) - 1))
+        found = word[at] == key if len(word) else np.zeros(len(key), bool)
+        own = np.where(found, share[at], 0.0) if len(word) else np.zeros(len(key))
+        mixed = np.where(found, np.logaddexp(own + math.log(MIX), logs + math.log(1 - MIX)), 0.0)
+        end = np.cumsum(batch.column("n_tokens").to_numpy())
+        begin = np.concatenate([[0], end[:-1]])
+        rare = np.concatenate([[0], np.cumsum(~found)])
+        cuts = pa.array(np.append(rare[begin], rare[-1]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (key[~found].view(np.int64), logs[~found].astype(np.float32))]
+        return pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [
+            pa.array(np.add.reduceat(found, begin, dtype=np.int64)), pa.array(np.add.reduceat(own, begin)),
+            pa.array(np.add.reduceat(mixed, begin))] + [x.cast(f.type) for x, f in zip(lists, list(schema)[7:])], schema=schema)
 
     def run(batches):
-        model, weights = shared.value
+        model, weights, word, share = shared.value
         attention = Attention(model.bigram).load(weights)
         for batch in batches:
-            cols = batch.to_pydict()
-            ids, scores, k = _ids(cols), [], 0
-            while k < len(ids):  # about half a million ids at once
-                end, total = k, 0
-                while end < len(ids) and (end == k or total + len(ids[end]) <= 1 << 19):
-                    total, end = total + len(ids[end]), end + 1
-                scores.append(model.score(attention, ids[k:end]))
-                k = end
-            yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type) for x in list(schema)[:4]]
-                                             + [pa.array(np.concatenate(scores) if scores else [], pa.float64())], schema=schema)
-
-    scored = coded.filter("ids is not null").select("doc_id", "text_key", "held_out", "n_tokens", "ids").mapInArrow(
-        run, "doc_id long, text_key long, held_out boolean, n_tokens long, score double")
-    return scored.join(base, scored.doc_id.eqNullSafe(base.of_id) & (scored.text_key == base.of_key)).select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
-        (F.col("logs") - F.col("n_tokens") * F.col("below")).alias("base_score"), "score")
+            size = batch.column("ids").to_pylist()
+            for a, b in chunks(size, 1 << 20):  # half a million ids
+                yield scored(batch.slice(a, b - a), attention, model, word, share)
+
+    looked = materialize(coded.mapInArrow(run, "doc_id long, text_key long, held_out boolean, n_tokens long, known long, base double, "
+                                               "score double, words array<long>, logs array<float>"), "frequent_words")
+    rare = looked.select("doc_id", "text_key", F.explode(F.arrays_zip("words", "logs")).alias("x")).select(
+        "doc_id", "text_key", F.col("x.words").alias("word"), F.col("x.logs").cast("double").alias("p"))
+    own = F.log(F.col("c") + 1.0) - scale
+    high, low = F.greatest(own + math.log(MIX), F.col("p") + math.log(1 - MIX)), F.least(own + math.log(MIX), F.col("p") + math.log(1 - MIX))
+    more = rare.join(counts, "word", "left").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(
+        F.count("c").alias("known_more"), F.sum(F.coalesce(own, F.lit(-scale))).alias("base_more"),
+        F.sum(F.when(F.col("c").isNull(), F.col("p") + math.log(1 - MIX)).otherwise(high + F.log1p(F.exp(low - high)))).alias("score_more"))
+    copies = looked.groupBy(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).agg(F.count("*").alias("copies"))
+    more = more.join(copies, more.of_id.eqNullSafe(copies.c_id) & (more.of_key == copies.c_key)).drop("c_id", "c_key")
+    both = looked.drop("words", "logs").join(more, looked.doc_id.eqNullSafe(more.of_id) & (looked.text_key == more.of_key), "left")
+
+    def plus(kept: str, added: str):  # rows of a repeated row share what the join summed over all of them
+        return F.col(kept) + F.coalesce(F.col(added) / F.col("copies"), F.lit(0.0))
+    return both.select("doc_id", "held_out", "n_tokens", F.round(plus("known", "known_more")).cast("long").alias("n_known"),
+                       F.lit(total.n).cast("long").alias("train_tokens"), (plus("base", "base_more") / math.log(10)).alias("base_score"),
+                       (plus("score", "score_more") / math.log(10)).alias("score"))
