@@ -50,7 +50,7 @@ WINDOW, STEP, WIDTH = 16, 12, 16
 EVERY = 64                      # one training window in so many
 SLICES = 16                     # of the id range, for counts
 PRIOR = 50.0                    # weight of P(id | class) in P(id | class, previous class)
-MIX = 0.5                       # weight of the word's own share
+MIX = 0.6                       # weight of the word's own share
 SEND = 2_000_000                # words whose counts a task adds up before sending
 
 

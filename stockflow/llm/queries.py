@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import (decontam, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup, url_filter,
+from stockflow.llm import (decontam, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter,
                            warc)
 from stockflow.llm.common import documents
 
@@ -85,3 +85,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the attention model and the unigram base."""
     return lm_scoring.lm_scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by repeated strings of 400 bytes are removed."""
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), 400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
