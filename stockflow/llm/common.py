@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stockflow.session import materialize
 
 __all__ = ["CHUNK_BYTES", "WordHashes", "chunks", "connected_components", "documents", "keyed_texts", "materialize",
-           "pack_sorted", "per_batch", "unpack_sorted"]
+           "mix64", "narrow", "pack_sorted", "per_batch", "unpack_sorted", "widen"]
 
 # Text bytes that a Python task works on at once; longer texts are a chunk of their own.
 CHUNK_BYTES = 8 << 20
@@ -106,6 +106,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Small integers in two bytes each if they fit, else in four; the last byte tells."""
+    wide = bool(len(x) and x.max() >= 1 << 16)
+    return x.astype(np.uint32 if wide else np.uint16).tobytes() + bytes([4 if wide else 2])
+
+
+def widen(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[:-1], np.uint32 if data[-1] == 4 else np.uint16).astype(np.int64)
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long), root being the smallest
     node of its component. Alternating large-star and small-star rounds: each

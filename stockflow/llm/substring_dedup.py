@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import WordHashes, keyed_texts, mix64, pack_sorted, per_batch, unpack_sorted
+from stockflow.llm.common import WordHashes, keyed_texts, mix64, narrow, pack_sorted, per_batch, unpack_sorted, widen
 
 ROWS = 2                 # hash rows of the sketch
 MIN_LOG_CELLS, MAX_LOG_CELLS = 16, 29
@@ -56,16 +56,6 @@ def _cells(h: np.ndarray, row: int, log_cells: int) -> np.ndarray:
     return ((h if row == 0 else mix64(h * np.uint64(0xA0761D6478BD642F) + np.uint64(row))) >> np.uint64(64 - log_cells)).astype(np.int64)
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Small integers in two bytes each if they fit, else in four; the last byte tells."""
-    wide = bool(len(x) and x.max() >= 1 << 16)
-    return x.astype(np.uint32 if wide else np.uint16).tobytes() + bytes([4 if wide else 2])
-
-
-def _widen(data: bytes) -> np.ndarray:
-    return np.frombuffer(data[:-1], np.uint32 if data[-1] == 4 else np.uint16).astype(np.int64)
-
-
 def _chunk_windows(cols: dict, cache: WordHashes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a chunk one document after the other, the number of words
     of each, and where windows inside one document start."""
@@ -181,8 +171,8 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
                     out["part"].append(int(p))
                     out["doc_ids"].append(ids[used])
                     out["text_keys"].append([cols["text_key"][k] for k in used])
-                    out["doc"].append(_narrow(local))
-                    out["start"].append(_narrow(at[r]))
+                    out["doc"].append(narrow(local))
+                    out["start"].append(narrow(at[r]))
                     out["h"].append(b"" if known else h[r].tobytes())
                     out["check"].append(b"" if known else check[r].tobytes())
                     out["known"].append(known)
@@ -198,7 +188,7 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
 
     def decide(key, table):
         got = table.to_pydict()
-        docs_of, starts_of = [_widen(x) for x in got["doc"]], [_widen(x) for x in got["start"]]
+        docs_of, starts_of = [widen(x) for x in got["doc"]], [widen(x) for x in got["start"]]
         sizes = [len(x) for x in docs_of]
         base = np.concatenate([[0], np.cumsum([len(x) for x in got["doc_ids"]])])
         ids = np.array([i for x in got["doc_ids"] for i in x], np.int64)

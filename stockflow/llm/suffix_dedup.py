@@ -14,13 +14,14 @@ inserts one more symbol in front of each document's last suffix, its place
 following from the symbol and the rank of that suffix, and the common
 prefixes with both neighbours are updated from range minima of the round
 before. Rounds are at most 2 * size / SYMBOL. Strings whose common prefix with
-a neighbour has ``size`` bytes are repeated. A segment that stands at two places
-or more is inserted twice, which tells as much as all of them. A bucket is some
-MB, so its columns are arrays in a task's memory, not files.
+a neighbour has ``size`` bytes are repeated. Equal segments are one document of
+the collection with a weight; all strings of a weight over one are repeated.
+A bucket is some MB, so its columns are arrays in a task's memory, not files.
 
 An anchor with more than ``HOT`` places would fill a bucket with segments that
 share it but differ around it. Its strings are grouped one by one instead, by
-128 bits of hash, counted before the shuffle.
+128 bits of hash; a chunk of documents sends a string once, known as repeated
+if the chunk has it twice.
 
 Defined cases: null text is empty; shorter texts than ``size`` stay whole;
 overlapping repeats within a document count; repeated rows are places of their
@@ -35,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import keyed_texts, materialize, mix64, per_batch
+from stockflow.llm.common import keyed_texts, materialize, mix64, narrow, per_batch, widen
 
 GRAM = 40
 SYMBOL = 100
 HOT = 2_000
 BLOCK = 1 << 20          # strings whose hashes are held at once
 BUCKET = 2 << 20         # bytes of segments in a bucket, on average
+STRINGS = 500_000        # strings of hot anchors in a group, on average
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -174,26 +176,20 @@ def suffix_order(symbols: np.ndarray, begin: np.ndarray, step: int) -> tuple[np.
     return where, lcp
 
 
-def repeated_strings(segments: list[bytes], twice: list[bool], size: int) -> list[np.ndarray]:
-    """Of each segment, which of its strings of ``size`` bytes (by start) also start
-    elsewhere in the segments; segments marked ``twice`` stand for two."""
-    rows = [x for x, t in zip(segments, twice) for _ in range(2 if t else 1)]
-    data, begin, _ = _joined(rows)
+def repeated_strings(segments: list[bytes], weighty: list[bool], size: int) -> list[np.ndarray]:
+    """Of each segment (all different), which of its strings of ``size`` bytes (by
+    start) also start elsewhere; ``weighty`` segments stand at two places or more."""
+    data, begin, _ = _joined(segments)
     symbol = substring_hash(prefix_hash(data), np.arange(max(0, len(data) - SYMBOL + 1)), SYMBOL)
     symbol = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
-    phase = np.arange(SYMBOL)
-    first = (begin[:-1, None] + phase).ravel()
+    first = (begin[:-1, None] + np.arange(SYMBOL)).ravel()
     end = np.maximum(first, np.repeat(begin[1:] - SYMBOL + 1, SYMBOL))
     where, lcp = suffix_order(symbol, np.stack([first, end]), SYMBOL)
     hit = lcp >= size // SYMBOL
-    again = np.zeros(len(data), bool)
+    again = np.repeat(np.array(weighty, bool), np.diff(begin))
     again[where[hit]] = True
     again[where[:-1][hit[1:]]] = True
-    out, row = [], 0
-    for x, t in zip(segments, twice):
-        out.append(again[begin[row]:begin[row] + len(x) - size + 1])
-        row += 2 if t else 1
-    return out
+    return [again[a:b - size + 1] for a, b in zip(begin[:-1], begin[1:])]
 
 
 def _runs(mask: np.ndarray, at: int, size: int) -> list[tuple[int, int]]:
@@ -234,37 +230,47 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
     wanted = found.join(often, "anchor").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(
         F.collect_set(F.struct("at", "n", "anchor", (F.col("places") > HOT).alias("hot"))).alias("found"))
     asked = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.of_id) & (texts.text_key == wanted.of_key)).select("doc_id", "text_key", "body", "found")
-    total = found.join(often, "anchor").agg(F.sum(F.col("n") + size)).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET))
+    total = found.join(often, "anchor").agg(F.sum(F.col("n") + size).alias("bytes"), F.sum(F.when(F.col("places") > HOT, F.col("n"))).alias("hot")).first()
+    buckets, hot_parts = max(1, -(-(total.bytes or 0) // BUCKET)), max(1, -(-(total.hot or 0) // STRINGS))
     groups = max(1, buckets // 4)
     out = pa.schema([("part", pa.int32()), ("segment", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())),
-                     ("ats", pa.list_(pa.int64())), ("keys_a", pa.binary()), ("keys_b", pa.binary())])
+                     ("ats", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("doc", "start", "a", "b", "known"))])
 
     def send(cols: dict) -> dict | None:
-        """Segments of repeated anchors, equal ones once; of hot anchors (part -1)
-        two hashes of every string."""
+        """Segments of repeated anchors, equal ones once (part from 0); of the strings
+        of hot anchors the hashes and places (part below 0)."""
         rows: dict = {}
         result = {x.name: [] for x in out}
-        for doc, key, body, found in zip(*(cols[k] for k in ("doc_id", "text_key", "body", "found"))):
-            hot = [x for x in found if x["hot"]]
-            if hot:
-                data = np.frombuffer(body, np.uint8)
-                hashes = [prefix_hash(data, salt) for salt in (1, 2)]
-                starts = np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in hot])
-                a, b = (substring_hash(h, starts, size) for h in hashes)
-                for name, v in zip(result, (-1, None, [doc], [key], starts, a.tobytes(), b.tobytes())):
-                    result[name].append(v)
+        hot = []
+        for i, (doc, key, body, found) in enumerate(zip(*(cols[k] for k in ("doc_id", "text_key", "body", "found")))):
+            starts = [np.arange(x["at"], x["at"] + x["n"]) for x in found if x["hot"]]
+            if starts:
+                data, starts = np.frombuffer(body, np.uint8), np.concatenate(starts)
+                hot.append((np.full(len(starts), i), starts, *(substring_hash(prefix_hash(data, salt), starts, size) for salt in (1, 2))))
             for x in found:
                 if not x["hot"]:
-                    segment = body[x["at"]:x["at"] + x["n"] + size - 1]
-                    rows.setdefault((x["anchor"], segment), []).append((doc, key, x["at"]))
+                    rows.setdefault((x["anchor"], body[x["at"]:x["at"] + x["n"] + size - 1]), []).append((doc, key, x["at"]))
         for (anchor, segment), places in rows.items():
-            docs_, keys, ats = zip(*places)
-            for name, v in zip(result, (anchor % (1 << 64) % buckets, segment, docs_, keys, ats, None, None)):
+            for name, v in zip(result, (anchor % (1 << 64) % buckets, segment, *zip(*places), *[None] * 5)):
                 result[name].append(v)
+        if hot:
+            doc, start, a, b = (np.concatenate(x) for x in zip(*hot))
+            order = np.lexsort((b, a))
+            doc, start, a, b = doc[order], start[order], a[order], b[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            many = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
+            part = (a >> np.uint64(32)).astype(np.int64) * hot_parts >> 32  # a is sorted, so parts are
+            cuts = np.searchsorted(part, np.arange(hot_parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                r = slice(cuts[p], cuts[p + 1])
+                used, local = np.unique(doc[r], return_inverse=True)
+                for name, v in zip(result, (-1 - p, None, [cols["doc_id"][d] for d in used], [cols["text_key"][d] for d in used], None, narrow(local),
+                                            narrow(start[r]), a[r][new[r]].tobytes(), b[r][new[r]].tobytes(), (2 * many[r] + new[r]).astype(np.uint8).tobytes())):
+                    result[name].append(v)
         return result if result["part"] else None
 
-    sent = asked.mapInArrow(per_batch(send, out), "part int, segment binary, doc_ids array<long>, text_keys array<long>, ats array<long>, keys_a binary, keys_b binary")
+    sent = asked.mapInArrow(per_batch(send, out), "part int, segment binary, doc_ids array<long>, text_keys array<long>, ats array<long>, "
+                                                  "doc binary, start binary, a binary, b binary, known binary")
     sent = materialize(sent, "segments")
     hit_ddl = "bucket int, doc_ids array<long>, text_keys array<long>, starts array<long>, ends array<long>"
 
@@ -287,21 +293,36 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
                                                                        zip(("doc_ids", "text_keys", "starts", "ends"), columns)}})
 
     hits = sent.filter("part >= 0").select("part", "segment", "doc_ids", "text_keys", "ats").groupBy("part").applyInArrow(decide, hit_ddl)
-    strings = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int64())])
-
-    def single(cols: dict) -> dict | None:
-        a = np.frombuffer(b"".join(cols["keys_a"]), np.int64)
-        n = [len(x) for x in cols["ats"]]
-        return {"a": a, "b": np.frombuffer(b"".join(cols["keys_b"]), np.int64), "at": [x for ats in cols["ats"] for x in ats],
-                "doc_id": [d[0] for d, k in zip(cols["doc_ids"], n) for _ in range(k)],
-                "text_key": [t[0] for t, k in zip(cols["text_keys"], n) for _ in range(k)]} if len(a) else None
-
-    hot = sent.filter("part < 0").mapInArrow(per_batch(single, strings), "a long, b long, doc_id long, text_key long, at long")
-    twice = hot.groupBy("a", "b").agg(F.count("*").alias("places")).filter("places > 1").drop("places")
-    hot_hits = hot.join(twice, ["a", "b"]).groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("starts")).select(
-        F.pmod("text_key", F.lit(groups)).cast("int").alias("bucket"),
-        F.transform("starts", lambda x: F.col("doc_id")).alias("doc_ids"), F.transform("starts", lambda x: F.col("text_key")).alias("text_keys"),
-        "starts", F.transform("starts", lambda x: x + size).alias("ends"))
+
+    def decide_hot(key, table):
+        got = table.to_pydict()
+        docs_of = [widen(x) for x in got["doc"]]
+        base = np.cumsum([0] + [len(x) for x in got["doc_ids"]])
+        doc = np.concatenate([x + k for x, k in zip(docs_of, base)])
+        start = np.concatenate([widen(x) for x in got["start"]])
+        flags = np.frombuffer(b"".join(got["known"]), np.uint8)
+        a, b = (np.frombuffer(b"".join(got[k]), np.uint64) for k in ("a", "b"))
+        order = np.lexsort((b, a))
+        same = (np.diff(a[order]) == 0) & (np.diff(b[order]) == 0)
+        again = np.zeros(len(a), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        goes = flags >= 2
+        goes[np.flatnonzero(flags & 1)] |= again
+        ids, keys = (np.array([x for row in got[k] for x in row]) for k in ("doc_ids", "text_keys"))
+        order = np.lexsort((start[goes], doc[goes]))
+        doc, start = doc[goes][order], start[goes][order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(start) > 1)])) if len(doc) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(doc))[:len(first)] - 1
+        owner = doc[first]
+        bucket = keys[owner] % groups if len(owner) else owner
+        lists = pa.list_(pa.int64())
+        used = np.unique(bucket)
+        return pa.table({"bucket": pa.array(used, pa.int32()), "doc_ids": pa.array([ids[owner[bucket == k]].tolist() for k in used], lists),
+                         "text_keys": pa.array([keys[owner[bucket == k]] for k in used], lists),
+                         "starts": pa.array([start[first[bucket == k]] for k in used], lists),
+                         "ends": pa.array([start[last[bucket == k]] + size for k in used], lists)})
+
+    hot_hits = sent.filter("part < 0").select("part", "doc_ids", "text_keys", "doc", "start", "a", "b", "known").groupBy("part").applyInArrow(decide_hot, hit_ddl)
 
     def by_document(key, table):
         spans: dict = {}
