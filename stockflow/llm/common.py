@@ -48,16 +48,16 @@ def chunks(bodies: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(bodies)
 
 
-def per_batch(f: Callable[[dict], dict | None], schema: pa.Schema) -> Callable:
+def per_batch(f: Callable[[dict], dict | None], schema: pa.Schema, limit: int = CHUNK_BYTES) -> Callable:
     """A mapInArrow function from one over the columns of a chunk of rows.
 
-    ``f`` gets ``{column: list}`` of at most ``CHUNK_BYTES`` of ``body`` and
+    ``f`` gets ``{column: list}`` of at most ``limit`` bytes of ``body`` and
     returns the columns of its output rows, or None for none."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
             size_by = cols.get("body") or [None] * batch.num_rows
-            for a, b in chunks(size_by):
+            for a, b in chunks(size_by, limit):
                 out = f({k: v[a:b] for k, v in cols.items()})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in schema], schema=schema)

@@ -36,14 +36,18 @@ from pyspark.sql import functions as F
 from stockflow.llm.common import keyed_texts, per_batch
 
 SHARD = 20_000
+CHUNK = 1 << 20     # bytes of text searched at once
+DENSE = 1 << 22     # sums of a chunk that are kept in a plain array
 BLOCK = 64          # items whose maxima are kept together
 K1, LENGTH_WEIGHT = 1.2, 0.75
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_COMMON = ".,;:!?\"'()[]{}|#*$%&<>-_=+/"
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def plain(word: str) -> str:
-    return _EDGES.sub("", word.lower())
+    word = word.lower().strip(_COMMON)
+    return word if word.isalnum() else _EDGES.sub("", word)
 
 
 def words_of(text: str) -> list[str]:
@@ -132,25 +136,33 @@ class Index:
     def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Passages, items and scores of all pairs at the threshold or above, from
         the different (passage, term) pairs of a chunk, sorted by passage."""
-        need = self.required[term]
+        need, n_passages = self.required[term], int(passage[-1]) + 1 if len(passage) else 0
         p, slot = _expand(passage[need], self.top_begin, term[need])
-        key, at = np.unique(p * self.n_blocks + self.top_block[slot], return_inverse=True)
-        bound = np.bincount(at, weights=self.top[slot], minlength=len(key)) + self.block_help[key % self.n_blocks]
-        key = key[bound >= self.threshold - 1e-9]  # the pivots: blocks to open
+        key, bound = _sums(p * self.n_blocks + self.top_block[slot], self.top[slot], n_passages * self.n_blocks)
+        key = key[bound + self.block_help[key % self.n_blocks] >= self.threshold - 1e-9]  # the pivots: blocks to open
         if not len(key):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        opened = np.unique(key // self.n_blocks)
-        mine = np.isin(passage, opened)
+        opened = np.zeros((n_passages, self.n_blocks), bool)
+        opened.ravel()[key] = True
+        mine = opened.any(axis=1)[passage]
         p, slot = _expand(passage[mine], self.begin, term[mine])
         item = self.post_item[slot]
-        mine = np.isin(p * self.n_blocks + item // BLOCK, key)
-        p, item, slot = p[mine], item[mine], slot[mine]
-        pair, at = np.unique(p * len(self.items) + item, return_inverse=True)
-        score = np.bincount(at, weights=self.post_weight[slot], minlength=len(pair))
+        mine = opened[p, item // BLOCK]
+        pair, score = _sums(p[mine] * len(self.items) + item[mine], self.post_weight[slot[mine]], n_passages * len(self.items))
         good = score >= self.threshold - 1e-9
         return pair[good] // len(self.items), pair[good] % len(self.items), score[good]
 
 
+def _sums(key: np.ndarray, weight: np.ndarray, domain: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and the sum of weights of each."""
+    if domain <= DENSE:
+        total = np.bincount(key, weights=weight, minlength=domain)
+        key = np.flatnonzero(total)
+        return key, total[key]
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, weights=weight, minlength=len(key))
+
+
 def _expand(owner: np.ndarray, begin: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each owner once for each list entry of its key, and the entry's place."""
     n = begin[key + 1] - begin[key]
@@ -193,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overl
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            yield from per_batch(_searcher(shared.value, overlap), schema)(batches)
+            yield from per_batch(_searcher(shared.value, overlap), schema, CHUNK)(batches)
 
         found = texts.mapInArrow(run, columns)
         out = found if out is None else out.unionAll(found)
@@ -220,12 +232,16 @@ def _searcher(index: Index, overlap: float):
         at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
         known = flat >= 0
         cell = base[doc[known]] + at[known] // half
-        key = np.unique(cell * len(index.term) + flat[known])
-        cell, term = key // len(index.term), key % len(index.term)
+        n_terms, n_cells = len(index.term), int(halves.sum())
         # Window w covers half-windows w and w + 1.
-        both = np.unique(np.concatenate([cell, cell - 1]) * len(index.term) + np.concatenate([term, term])) if len(key) else key
-        both = both[both >= 0]
-        window, item, score = index.retrieve(both // len(index.term), both % len(index.term))
+        if n_cells * n_terms <= 16 * DENSE:
+            there = np.zeros((n_cells + 1, n_terms), bool)
+            there[cell, flat[known]] = True
+            both = np.flatnonzero(there[:-1] | there[1:])
+        else:
+            key = cell * n_terms + flat[known]
+            both = np.unique(np.concatenate([key, key[key >= n_terms] - n_terms]))
+        window, item, score = index.retrieve(both // n_terms, both % n_terms)
         out = {x: [] for x in ("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start_word")}
         for w, i, s in zip(window.tolist(), item.tolist(), score.tolist()):
             d = int(np.searchsorted(base, w, "right")) - 1

@@ -42,12 +42,13 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
         F.expr(rf"""transform(filter(transform(split(text, '\n', -1), (line, i) -> struct(i, line)),
                                      x -> x.line rlike r'{HAS_WORD}'),
-                              x -> struct(x.i AS i, xxhash64(x.line) AS a, xxhash64(1, x.line) AS b))""").alias("h")) \
-        .filter(F.size("h") >= run)
+                              (x, k) -> struct(xxhash64(x.line) AS a, k + 1 AS at, xxhash64(1, x.line) AS b, x.i AS i))""").alias("h"))
+    least = ", ".join(f"get(h, s + {k})" for k in range(run))
     chosen = hashed.withColumn("chosen", F.expr(f"""
-        array_distinct(transform(sequence(1, greatest(1, size(h) - {run - 1})),
-            s -> array_min(transform(slice(h, s, {run}), (x, k) -> struct(x.a AS a, s + k AS at)))))"""))
-    return chosen.select("doc_id", "text_key", "h", F.explode("chosen").alias("c")).select(
+        CASE WHEN size(h) >= {run} THEN array_distinct(transform(sequence(0, greatest(0, size(h) - {run})),
+            s -> {f'least({least})' if run > 1 else least})) END"""))
+    # The outer form and the late filter keep Spark from computing the arrays once more to drop rows without any.
+    return chosen.select("doc_id", "text_key", "h", F.explode_outer("chosen").alias("c")).filter("c is not null").select(
         "doc_id", "text_key", F.col("c.a").alias("fingerprint"),
         F.expr(f"slice(h, greatest(1, c.at - {run - 1}), c.at + {run - 1} - greatest(0, c.at - {run}))").alias("around"))
 
