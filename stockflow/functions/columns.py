@@ -38,10 +38,20 @@ def title_case(c) -> Column:
     ``initcap`` only splits on spaces, so the text is cut into alternating
     letter / non-letter runs, each run initcapped, and glued back.
     """
-    runs = F.regexp_extract_all(F.lower(F.trim(_c(c))), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    runs = F.regexp_extract_all(F.lower(strip(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
     return F.array_join(F.transform(runs, lambda t: F.initcap(t)), "")
 
 
+def strip(c) -> Column:
+    """Text without white space of any kind (tabs, line ends, no-break spaces) at its ends."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
+def fixed(c, digits: int) -> Column:
+    """A number with so many decimals, halves to even."""
+    return F.bround(_c(c).cast("decimal(38,10)"), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def clip_keep_null(c, lo: float | None = None, hi: float | None = None) -> Column:
     """pandas ``clip``: bounds applied, NULL stays NULL (``greatest``/``least``
     alone would turn NULL into the bound)."""
@@ -69,5 +79,5 @@ def rupees(c) -> Column:
     """Currency display: values >= 1,00,000 as lakhs with two decimals
     (``₹1.23L``), smaller ones with thousands separators (``₹12,345``)."""
     c = _c(c)
-    return (F.when(c >= 100000, F.format_string("₹%.2fL", c / 100000.0))
-             .otherwise(F.concat(F.lit("₹"), F.format_number(c, 0))))
+    return (F.when(c >= 100000, F.concat(F.lit("₹"), fixed(c / 100000.0, 2), F.lit("L")))
+             .otherwise(F.concat(F.lit("₹"), F.format_number(F.bround(c.cast("decimal(38,10)"), 0), 0))))

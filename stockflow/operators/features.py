@@ -43,14 +43,15 @@ def daily_grid(sku: DataFrame, sales: DataFrame, calendar: DataFrame,
     calendar side is one row per day of the spine, so it is broadcast.
     """
     d0, d1 = date_spine(sales)
-    skus = sku.select("sku_id").distinct()
+    # The list is dealt out before the explode: the grid itself is never exchanged.
+    skus = sku.select("sku_id").distinct().repartition(num_partitions or grid_partitions(sku.sparkSession), "sku_id")
     grid = skus.select("sku_id", F.explode(F.sequence(d0, d1)).alias("date"))
     daily = sales_daily(sales)
     # An explicit partition count: the SKU list is tiny next to its grid, so a
     # size-based (AQE-coalesced) partitioning would put the whole exploded grid
     # and every window over it into one task.
     n = num_partitions or grid_partitions(sku.sparkSession)
-    grid, daily = grid.repartition(n, "sku_id"), daily.repartition(n, "sku_id")
+    daily = daily.repartition(n, "sku_id")
     g = grid.join(daily, ["sku_id", "date"], "left")
     cal = F.broadcast(calendar.select("date", "is_holiday"))
     g = g.join(cal, "date", "left")

@@ -71,38 +71,53 @@ def profile_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
                    for name, df in tables.items()])
 
 
+ACCURACY = 100_000  # of the approximate percentiles that bracket an exact one
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles (pandas / NumPy default) without
-    gathering the column in one task.
+    """Exact linearly interpolated quantiles (pandas / NumPy default) in two scans.
 
-    The value histogram (partial aggregate) is range-partitioned; running
-    counts are taken inside each range partition plus an offset from the
-    (few) partition totals; the two order statistics around each position are
-    then picked by a filter aggregate. One row: ``n`` and ``q_<p>`` columns.
+    Approximate percentiles a little below and above each position give a
+    bracket (rank error at most 1 / ACCURACY of the rows). The second scan
+    counts the values below each bracket and keeps a histogram inside it, a few
+    hundred-thousandths of the rows, over which running counts find the two
+    order statistics. One row: ``n`` and ``q_<p>`` columns.
     """
     v = df.select(F.col(col).cast("double").alias("v")).dropna()
-    h = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    r = h.repartitionByRange("v").withColumn("pid", F.spark_partition_id())
-    totals = r.groupBy("pid").agg(F.sum("c").alias("pc"))
-    off = totals.select("pid",
-                        F.coalesce(F.sum("pc").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
-                                   F.lit(0)).alias("off"),
-                        F.sum("pc").over(Window.partitionBy()).alias("n"))
-    run = F.sum("c").over(Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    cum = r.join(F.broadcast(off), "pid").select("v", "c", "n", (F.col("off") + run).alias("end"))
-    cum = cum.withColumn("start", F.col("end") - F.col("c"))
+    margin = 3.0 / ACCURACY
+    edges = [min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)]
+    bounds = v.agg(F.percentile_approx("v", edges, ACCURACY).alias("e"), F.count("*").alias("n"),
+                   F.min("v").alias("least"), F.max("v").alias("most"))
+
+    def bound(c):  # one row, evaluated once
+        return bounds.select(c).scalar()
+
+    n = bound(F.col("n"))
+    # A bracket at an end of the column is closed by its extreme value.
+    low = [bound(F.col("least") if p <= margin else F.col("e")[2 * i]) for i, p in enumerate(probs)]
+    high = [bound(F.col("most") if p + margin + 2.0 / ACCURACY >= 1 else F.col("e")[2 * i + 1]) for i, p in enumerate(probs)]
+    # Positions floor and floor + 1 may lie one row beyond the bracket in tiny columns, whose whole histogram is kept.
+    small = n <= 10 * ACCURACY
+    inside = [small | F.col("v").between(a, b) for a, b in zip(low, high)]
+    places = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(inside)]))
+    counts = v.groupBy("v").agg(F.count("*").alias("c")).withColumn("places", places)
+    below = v.agg(*[F.coalesce(F.sum(F.when(~small & (F.col("v") < a), 1)), F.lit(0)).alias(f"b{i}") for i, a in enumerate(low)])
+    hist = counts.filter(F.size("places") > 0).select("v", "c", F.explode("places").alias("i"))
+    run = F.sum("c").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    cum = hist.withColumn("end", run)
     picks = []
     for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("n") - 1)
-        k = F.floor(pos)
-        picks += [F.max(F.when((F.col("start") <= k) & (k < F.col("end")), F.col("v"))).alias(f"_lo{i}"),
-                  F.max(F.when((F.col("start") <= k + 1) & (k + 1 < F.col("end")), F.col("v"))).alias(f"_hi{i}"),
-                  F.max(pos - k).alias(f"_f{i}")]
-    a = cum.agg(F.max("n").alias("n"), *picks)
-    out = [F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")]
+        k = F.floor(F.lit(p) * (n - 1))
+        end = F.col("end") + below.select(f"b{i}").scalar()
+        mine = F.col("i") == i
+        picks += [F.max(F.when(mine & (end - F.col("c") <= k) & (k < end), F.col("v"))).alias(f"_lo{i}"),
+                  F.max(F.when(mine & (end - F.col("c") <= k + 1) & (k + 1 < end), F.col("v"))).alias(f"_hi{i}")]
+    a = cum.agg(*picks)
+    out = [F.coalesce(n, F.lit(0)).cast("bigint").alias("n")]
     for i, p in enumerate(probs):
-        lo, hi, fr = F.col(f"_lo{i}"), F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}")), F.col(f"_f{i}")
-        out.append((lo + (hi - lo) * fr).alias(f"q_{int(p * 100)}"))
+        lo, hi = F.col(f"_lo{i}"), F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}"))
+        pos = F.lit(p) * (n - 1)
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"q_{int(p * 100)}"))
     return a.select(*out)
 
 

@@ -26,14 +26,15 @@ def _p(base: str, name: str) -> str:
 
 def run_cleaning_job(spark: SparkSession, raw: RawTables, out_dir: str, fmt: str = "parquet") -> DataFrame:
     """Clean the four raw tables, write them and the run log; returns the
-    run-log row. Counters come from the same annotated sales plan that
-    produces the clean sales, materialised once."""
-    sku = files.load_or_build(spark, _p(out_dir, "clean_sku_master"), lambda: cleaning.clean_sku_master(raw.sku_master))
+    run-log row. All tables are written anew on every run; counters come from
+    the written tables."""
+    files.write_table(cleaning.clean_sku_master(raw.sku_master), _p(out_dir, "clean_sku_master"))
+    sku = spark.read.parquet(_p(out_dir, "clean_sku_master"))
     ann_path = _p(out_dir, "_annotated_sales")
     files.write_table(cleaning.annotate_sales(raw.sales, sku), ann_path)
     ann = spark.read.parquet(ann_path)
-    sales = cleaning.finish_sales(ann)
-    files.write_table(sales, _p(out_dir, "clean_sales"))
+    files.write_table(cleaning.finish_sales(ann), _p(out_dir, "clean_sales"))
+    sales = spark.read.parquet(_p(out_dir, "clean_sales"))
     files.write_table(cleaning.clean_calendar(raw.calendar), _p(out_dir, "clean_calendar"))
     files.write_table(cleaning.clean_inventory(raw.inventory, sku), _p(out_dir, "clean_inventory"))
     if fmt == "csv":   # header CSV copies of the clean layer, as the reference hands over
@@ -41,7 +42,7 @@ def run_cleaning_job(spark: SparkSession, raw: RawTables, out_dir: str, fmt: str
             files.write_table(spark.read.parquet(_p(out_dir, f"clean_{n}")), _p(out_dir, f"csv/clean_{n}"), "csv")
     log = cleaning.cleaning_audit(ann, sales)
     files.write_record(log, _p(out_dir, "logs/pipeline_run_log"))
-    return log
+    return spark.read.schema(log.schema).json(_p(out_dir, "logs/pipeline_run_log"))
 
 
 def read_clean_tables(spark: SparkSession, clean_dir: str) -> cleaning.CleanTables:

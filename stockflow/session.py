@@ -52,12 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value is
-    always used. Only when it is unset (local tests) a fresh scratch folder is
-    created and registered.
+    always used. Only when it is unset in local mode (tests) a fresh scratch
+    folder is created and registered; on a cluster a machine-local folder would
+    be lost to the other machines, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="stockflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)

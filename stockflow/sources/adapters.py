@@ -28,12 +28,8 @@ from pyspark.sql import functions as F
 from stockflow.functions.columns import null_if_na_token
 from stockflow.sources.tables import read_table
 
-# Category names by s_suppkey % 5, holiday month-day codes and
-# promotion event names of the adapter calendar.
+# Category names by s_suppkey % 5.
 CATEGORIES = ["Small Appliances", "Furnishings", "Home Decor", "Kitchenware", "Décor"]
-HOLIDAY_MMDD = [101, 126, 315, 316, 815, 1101, 1102, 1103, 1225]
-PROMO_EVENTS = {101: "New Year", 315: "Spring Fest", 316: "Spring Fest", 815: "Summer Special",
-                1101: "Autumn Sale", 1102: "Autumn Sale", 1103: "Autumn Sale", 1225: "Winter Sale"}
 INVENTORY_WEEKS = 8
 
 
@@ -123,10 +119,9 @@ def calendar_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = li.select(F.min(F.col("l_shipdate").cast("date")).alias("d0"),
                   F.max(F.col("l_shipdate").cast("date")).alias("d1"))
     day = F.col("date")
-    mmdd = F.month(day) * 100 + F.dayofmonth(day)
-    promo = F.lit("None")
-    for code, name in sorted(PROMO_EVENTS.items(), reverse=True):
-        promo = F.when(mmdd == code, F.lit(name)).otherwise(promo)
+    # The last Friday of a quarter is a holiday with a closing sale.
+    closing = (F.month(day) % 3 == 0) & (F.dayofweek(day) == 6) & (F.dayofmonth(F.last_day(day)) - F.dayofmonth(day) < 7)
+    promo = F.when(closing, F.concat(F.lit("Closing Q"), F.quarter(day).cast("string"))).otherwise("None")
     return (d.select(F.explode(F.sequence("d0", "d1")).alias("date"))
              .select(
                  day,
@@ -134,7 +129,7 @@ def calendar_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.month(day).cast("int").alias("month"),
                  F.when(F.month(day).isin(12, 1, 2), "Winter").when(F.month(day).isin(3, 4, 5), "Spring")
                   .when(F.month(day).isin(6, 7, 8), "Summer").otherwise("Autumn").alias("season"),
-                 F.when(mmdd.isin(HOLIDAY_MMDD), 1).otherwise(0).alias("is_holiday"),
+                 F.when(closing, 1).otherwise(0).alias("is_holiday"),
                  promo.alias("promo_event"),
              ))
 

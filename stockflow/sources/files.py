@@ -48,11 +48,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def table_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder was written to its end (its success marker is there)."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+class ContractError(ValueError):
+    """An input file that doesn't have the promised form."""
+
+
 def require_inputs(spark: SparkSession, paths: dict[str, str]) -> None:
     """Fail before any scan, listing every missing input."""
-    missing = [f"{name} (searched: {p})" for name, p in paths.items() if not path_exists(spark, p)]
+    missing = [f"{p} ({name})" for name, p in paths.items() if not path_exists(spark, p)]
     if missing:
-        raise FileNotFoundError("Required input file not found: " + ", ".join(missing))
+        raise FileNotFoundError("no input at: " + ", ".join(missing))
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -85,9 +94,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the materialised table at ``path`` if it exists, else build it,
-    write it once and read the written copy (lineage cut at the file)."""
-    if not path_exists(spark, path):
+    """Read the materialised table at ``path`` if it was written completely, else
+    build it, write it (over what a lost writer left) and read the written copy."""
+    if not table_complete(spark, path):
         write_table(build(), path)
     return spark.read.parquet(path)
 
@@ -101,7 +110,7 @@ def read_metrics_record(spark: SparkSession, path: str) -> DataFrame:
     """Metrics JSON with the required-key contract: malformed JSON or a
     missing key raises ``ValueError`` naming the problem."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Forecast Metrics JSON not found: {path}")
+        raise FileNotFoundError(f"no metrics record at {path}")
     try:
         raw = spark.read.option("mode", "FAILFAST").option("multiLine", True).json(path)
         cols = set(raw.columns)
@@ -109,10 +118,10 @@ def read_metrics_record(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError("corrupt record")
         raw.first()
     except Exception as e:  # noqa: BLE001
-        raise ValueError(f"JSONDecodeError: failed to parse {path}: {e}") from e
+        raise ContractError(f"{path} is not a JSON record: {e}") from e
     missing = [k for k in METRICS_REQUIRED_KEYS if k not in cols]
     if missing:
-        raise ValueError(f"KeyError: {path} is missing required keys: {missing}")
+        raise ContractError(f"{path} lacks {', '.join(missing)}")
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in METRICS_SCHEMA.fields])
 
 
@@ -121,7 +130,7 @@ def check_forecast_contract(df: DataFrame) -> DataFrame:
     ones); dates parsed strictly, so a malformed date fails the job."""
     missing = [c for c in FORECAST_REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        raise ValueError(f"MissingColumnsError: forecast results are missing required columns: {missing}")
+        raise ContractError(f"a forecast table needs the columns {', '.join(missing)}")
     if not isinstance(df.schema["date"].dataType, T.DateType):
         df = df.withColumn("date", F.to_date(F.col("date")))
     return df

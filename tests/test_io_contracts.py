@@ -10,7 +10,7 @@ from stockflow.sources import files
 def test_require_inputs_lists_all_missing(spark, tmp_dir):
     with pytest.raises(FileNotFoundError) as e:
         files.require_inputs(spark, {"a": tmp_dir + "/a.csv", "b": tmp_dir + "/b.csv"})
-    assert "a (searched" in str(e.value) and "b (searched" in str(e.value)
+    assert "a.csv (a)" in str(e.value) and "b.csv (b)" in str(e.value)
 
 
 def test_csv_scan_nulls_na_tokens(spark, tmp_dir):
