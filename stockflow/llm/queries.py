@@ -78,7 +78,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op3_lm_scoring")
@@ -92,3 +92,56 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by repeated strings of 400 bytes are removed."""
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir), 400).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ---- the same in DuckDB SQL, where it can express it
+
+ORACLE_SQL["op1_line_dedup"] = r"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+  from documents where text is not null),
+worded as (
+  select doc_id, i, line, row_number() over (partition by doc_id order by i) as k
+  from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+runs as (
+  select doc_id, k, line as a, lead(line) over w as b, lead(line, 2) over w as c
+  from worded window w as (partition by doc_id order by k)),
+ranked as (
+  select doc_id, k, row_number() over (partition by a, b, c order by doc_id, k) as place from runs where c is not null),
+gone as (
+  select distinct w.doc_id, w.i from ranked r join worded w on w.doc_id = r.doc_id and w.k between r.k and r.k + 2 where r.place > 1),
+kept as (
+  select l.doc_id, count(*) as n_lines, count(g.i) as n_removed,
+    coalesce(string_agg(l.line, chr(10) order by l.i) filter (where g.i is null), '') as text
+  from lines l left join gone g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id)
+select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed, sha256(k.text) as kept_sha256
+from documents d left join kept k on k.doc_id = d.doc_id
+"""
+
+ORACLE_SQL["op2_substring_dedup"] = r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as s
+  from (select doc_id, w, unnest(range(1, cast(len(w) as bigint) - 11)) as i from words where len(w) >= 13)),
+later as (
+  select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as first from windows) where doc_id > first),
+gone as (
+  select distinct doc_id, i + o as i from (select doc_id, i, unnest(range(0, 13)) as o from later)),
+each as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from words),
+kept as (
+  select e.doc_id, count(g.i) as n_removed, coalesce(string_agg(e.word, ' ' order by e.i) filter (where g.i is null), '') as text
+  from each e left join gone g on g.doc_id = e.doc_id and g.i = e.i group by e.doc_id)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from words w left join kept k on k.doc_id = w.doc_id
+"""
+
+ORACLE_SQL["op7_warc"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+r as (select page_id, strlen(h) as n, sha256(h) as digest, min(page_id) over (partition by h) as first from p)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when n >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id > first then first end as refers_to
+from r
+"""
