@@ -213,14 +213,18 @@ class Attention:
         return self
 
 
-def windows(classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(classes: np.ndarray, n: np.ndarray, choose=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts as classes, one after the other, ``n`` ids each (one at least): what
     stands before each place, the place's class, whether this window scores it,
     and the text of each window. The start of a text is class ``CLASSES``; ids
-    before the overlap's end belong to the window before."""
+    before the overlap's end belong to the window before. ``choose`` (text and
+    number in the text of each window -> mask) leaves the other windows out."""
     per = np.maximum(1, -(-(n - (WINDOW - STEP)) // STEP))
     owner = np.repeat(np.arange(len(n)), per)
     first = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * STEP
+    if choose is not None:
+        keep = choose(owner, first // STEP)
+        owner, first = owner[keep], first[keep]
     base = np.cumsum(n + 1) - (n + 1)
     flat = np.full(int((n + 1).sum()) + WINDOW + 1, CLASSES, np.int64)
     flat[np.arange(len(classes)) + np.repeat(np.arange(len(n)) + 1, n)] = classes
@@ -351,10 +355,10 @@ def train(coded: DataFrame, vocabulary: int) -> tuple[Model, np.ndarray]:
             if not batch.num_rows:
                 continue
             ids = _ids(batch.column("ids").to_pylist())
-            past, target, scored, owner = windows(of[np.concatenate(ids)], np.array([len(i) for i in ids]))
-            key = batch.column("text_key").to_numpy()[owner].view(np.uint64) + np.arange(len(owner), dtype=np.uint64) - np.searchsorted(owner, owner).astype(np.uint64)
-            pick = mix64(key) % np.uint64(EVERY) == 0
-            chosen.append((past[pick].astype(np.int16), target[pick].astype(np.int16), scored[pick]))
+            key = batch.column("text_key").to_numpy().view(np.uint64)
+            past, target, scored, _ = windows(of[np.concatenate(ids)], np.array([len(i) for i in ids]), lambda text, number: mix64(
+                key[text] + number.astype(np.uint64)) % np.uint64(EVERY) == 0)
+            chosen.append((past.astype(np.int16), target.astype(np.int16), scored))
         if not sum(len(c[0]) for c in chosen):
             return
         past, target, scored = (np.concatenate(x) for x in zip(*chosen))
