@@ -7,11 +7,17 @@ within its class from the class before:
 
     P(id | past) = softmax(bigram[previous class] + attention(past))[class(id)]
                    * P(id | class(id), previous class)
-    P(word | past) = MIX * (c + 1) / (N + V + 1) [0 for unknown words]
-                     + (1 - MIX) * product of P(id | past) over its ids
-
-The most frequent ids are classes of their own; the others are clustered by the
-classes that stand before them. Class bigrams, ids within classes and words
+    P(word | past) = P(first id | past, a word begins)
+                     * (k * c(word) / c(first id)
+                        + (1 - k) * product of P(id | past) over its later ids
+                          * P(a word begins | past of the next word))
+
+so the context chooses how a word begins, and counts or spelling how it goes on.
+1 - k is the share of words counted once (Good-Turing's share of unseen words).
+These add up to one over all words. The most frequent ids are classes of
+their own; the others are clustered by the classes that stand before them,
+ids that begin words apart from those that don't, so P(a word begins) is a sum
+over classes. Class bigrams, ids within classes and words
 are counted over all training documents. The attention part (embeddings, one
 causal head, output) is trained by Adam in every partition on one window in
 ``EVERY`` of each training document, chosen by hash, and averaged over the
@@ -44,13 +50,13 @@ from stockflow.llm.bpe import WordEncoder
 from stockflow.llm.common import chunks, keyed_texts, materialize, mix64, per_batch
 
 FREQUENT = 1 << 20
-OWN, SHARED = 24, 40            # classes of one id, and classes of many
+OWN, SHARED = 24, 40            # classes of one id, and classes of many (half of them begin words)
 CLASSES = OWN + SHARED
 WINDOW, STEP, WIDTH = 16, 12, 16
 EVERY = 64                      # one training window in so many
 SLICES = 16                     # of the id range, for counts
 PRIOR = 50.0                    # weight of P(id | class) in P(id | class, previous class)
-MIX = 0.6                       # weight of the word's own share
+UNSEEN = 0.02, 0.5              # least and most weight of spelling
 SEND = 2_000_000                # words whose counts a task adds up before sending
 
 
@@ -154,14 +160,16 @@ class Attention:
         a /= a.sum(axis=-1, keepdims=True)
         return x, q, k, v, a, np.concatenate([x, a @ v], axis=-1)
 
-    def log_likelihood(self, past: np.ndarray, target: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) at the scored places."""
+    def log_likelihood(self, past: np.ndarray, target: np.ndarray, scored: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Natural logs of P(class) and of P(a word begins) at the scored places.
+        ``sums``: ones, and ones at the classes that begin words, as columns."""
         h, before, goal = self.hidden(past)[-1][scored], past[scored], target[scored]
         z = h @ self.w["out"]
         z += self.bigram[before]
         got = z[np.arange(len(z)), goal]
         np.exp(z, out=z)
-        return got - np.log(z.sum(axis=-1))
+        total = np.log(z @ sums)
+        return np.stack([got - total[:, 0], total[:, 1] - total[:, 0]])
 
     def gradients(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of the targets and its gradients."""
@@ -238,31 +246,36 @@ def windows(classes: np.ndarray, n: np.ndarray, choose=None) -> tuple[np.ndarray
 class Model:
     """Classes, counted parts and attention weights; of bounded size."""
 
-    def __init__(self, counts: np.ndarray):
-        """First classes, from id counts: by frequency."""
+    def __init__(self, counts: np.ndarray, begins: np.ndarray):
+        """First classes, from id counts: by frequency. ``begins``: ids that begin words."""
         self.counts = counts
         order = np.argsort(-counts, kind="stable")
-        self.rest = order[OWN:]
         self.of = np.empty(len(counts), np.int64)
         self.of[order[:OWN]] = np.arange(OWN)
-        share = np.cumsum(counts[self.rest] + 1e-9)  # shared classes hold about equal mass
-        self.of[self.rest] = OWN + np.minimum(SHARED - 1, (share / share[-1] * SHARED).astype(np.int64))
+        rest, half = order[OWN:], SHARED // 2
+        self.kinds = [(OWN, rest[begins[rest]]), (OWN + half, rest[~begins[rest]])]
+        for at, ids in self.kinds:
+            share = np.cumsum(counts[ids] + 1e-9)  # shared classes hold about equal mass
+            self.of[ids] = at + np.minimum(half - 1, (share / share[-1] * half).astype(np.int64))
+        opening = np.append(begins[order[:OWN]], np.repeat([True, False], half))
+        self.sums = np.stack([np.ones(CLASSES), opening], axis=1).astype(np.float32)
 
     def cluster(self, pairs: np.ndarray, rounds: int = 12) -> None:
         """Shared classes by what stands before: k-means over the square roots of
         the shares of previous classes, smoothed towards all ids'."""
-        f = pairs[:, self.rest].T
-        mean = (f.sum(axis=0) + 1) / (f.sum() + f.shape[1])
-        x = np.sqrt((f + 20 * mean) / (f.sum(axis=1, keepdims=True) + 20)).astype(np.float32)
-        weight = self.counts[self.rest] + 0.01
-        often = np.argsort(-weight, kind="stable")[:4000]
-        centre = x[np.random.default_rng(0).choice(often, SHARED, replace=False)]
-        for _ in range(rounds):
-            near = (-2 * x @ centre.T + (centre ** 2).sum(axis=1)).argmin(axis=1)
-            for k in range(SHARED):
-                if (mine := near == k).any():
-                    centre[k] = (x[mine] * weight[mine, None]).sum(axis=0) / weight[mine].sum()
-        self.of[self.rest] = OWN + near
+        for at, ids in self.kinds:
+            f = pairs[:, ids].T
+            mean = (f.sum(axis=0) + 1) / (f.sum() + f.shape[1])
+            x = np.sqrt((f + 20 * mean) / (f.sum(axis=1, keepdims=True) + 20)).astype(np.float32)
+            weight = self.counts[ids] + 0.01
+            often = np.argsort(-weight, kind="stable")[:2000]
+            centre = x[np.random.default_rng(0).choice(often, SHARED // 2, replace=False)]
+            for _ in range(rounds):
+                near = (-2 * x @ centre.T + (centre ** 2).sum(axis=1)).argmin(axis=1)
+                for k in range(SHARED // 2):
+                    if (mine := near == k).any():
+                        centre[k] = (x[mine] * weight[mine, None]).sum(axis=0) / weight[mine].sum()
+            self.of[ids] = at + near
 
     def finish(self, pairs: np.ndarray) -> None:
         """``pairs``: counts of (previous class or start, id)."""
@@ -280,16 +293,18 @@ class Model:
         self.inside = np.log(inside).astype(np.float32)
 
     def score(self, attention: Attention, ids: list[np.ndarray], block: int = 256) -> np.ndarray:
-        """Natural log of P(id | past) of each id of some texts, one text after the
-        other; blocks of windows fit the processor's cache."""
+        """Natural logs of P(id | past) and P(a word begins | past) of each id of some
+        texts, one text after the other; blocks of windows fit the processor's cache."""
         flat = np.concatenate(ids)
         n = np.array([len(i) for i in ids])
         classes = self.of[flat]
         before = np.concatenate([[CLASSES], classes[:-1]])
         before[np.cumsum(n)[:-1]] = CLASSES
         past, target, scored, _ = windows(classes, n)
-        got = [attention.log_likelihood(past[k:k + block], target[k:k + block], scored[k:k + block]) for k in range(0, len(past), block)]
-        return np.concatenate(got) + self.inside[before, flat]  # scored places are in the order of the texts
+        got = np.concatenate([attention.log_likelihood(*(x[k:k + block] for x in (past, target, scored)), self.sums)
+                              for k in range(0, len(past), block)], axis=1)  # scored places are in the order of the texts
+        got[0] += self.inside[before, flat]
+        return got
 
 
 def _sum_slices(rows: DataFrame, name: str) -> dict[int, np.ndarray]:
@@ -312,9 +327,9 @@ def _ids(column: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint16).astype(np.int64) for b in column]
 
 
-def train(coded: DataFrame, vocabulary: int) -> tuple[Model, np.ndarray]:
+def train(coded: DataFrame, begins: np.ndarray) -> tuple[Model, np.ndarray]:
     """Counts over all training documents, then attention weights."""
-    spark = coded.sparkSession
+    spark, vocabulary = coded.sparkSession, len(begins)
     texts = coded.filter("not held_out").select("text_key", "ids")
     ddl = "part int, data binary, weight double"
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary()), ("weight", pa.float64())])
@@ -344,7 +359,7 @@ def train(coded: DataFrame, vocabulary: int) -> tuple[Model, np.ndarray]:
             return np.bincount(before * vocabulary + flat, minlength=(CLASSES + 1) * vocabulary)
         return summed(count, (CLASSES + 1) * vocabulary, name).reshape(CLASSES + 1, vocabulary)
 
-    model = Model(summed(lambda ids: np.bincount(np.concatenate(ids), minlength=vocabulary), vocabulary, "id_counts"))
+    model = Model(summed(lambda ids: np.bincount(np.concatenate(ids), minlength=vocabulary), vocabulary, "id_counts"), begins)
     model.cluster(pairs(model.of, "first_pairs"))
     model.finish(pairs(model.of, "class_pairs"))
     known = spark.sparkContext.broadcast((model.of, model.bigram))
@@ -381,54 +396,66 @@ def lm_scores(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int
     starts = spark.sparkContext.broadcast(begins)
     coded = materialize(encoded(docs, tokenizer, modulus, remainder), "subword_ids")
     counts = materialize(word_counts(coded, starts), "word_counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     most = counts.orderBy(F.desc("c"), "word").limit(FREQUENT)  # a bounded table
     frequent = np.array([(r.word, r.c) for r in most.toLocalIterator()], np.int64).reshape(-1, 2)
     frequent = frequent[np.argsort(frequent[:, 0].copy().view(np.uint64))]
     scale = math.log(total.n + total.v + 1)
-    shared = spark.sparkContext.broadcast((*train(coded, len(begins)), frequent[:, 0].copy().view(np.uint64), np.log(frequent[:, 1] + 1.0) - scale))
+    unseen = min(max(total.once / max(total.n, 1), UNSEEN[0]), UNSEEN[1])
+    counted, spelled = math.log(1 - unseen), math.log(unseen)
+    shared = spark.sparkContext.broadcast((*train(coded, begins), frequent[:, 0].copy().view(np.uint64), frequent[:, 1].astype(np.float64)))
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                         ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-                        ("words", pa.list_(pa.int64())), ("logs", pa.list_(pa.float32()))])
+                        ("words", pa.list_(pa.int64())), ("begun", pa.list_(pa.float32())), ("spelled", pa.list_(pa.float32()))])
 
-    def scored(batch: pa.RecordBatch, attention: Attention, model: Model, word: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
-        """Scores of frequent words summed by text; the others' hashes and log P."""
+    def scored(batch: pa.RecordBatch, attention: Attention, model: Model, word: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        """Scores of frequent words summed by text; the others' hashes and log P by
+        spelling, and by counting but for the word's count."""
         ids = _ids(batch.column("ids").to_pylist())
-        first, key = word_keys(np.concatenate(ids), starts.value)
-        logs = np.add.reduceat(model.score(attention, ids), first, dtype=np.float64)
+        flat = np.concatenate(ids)
+        first, key = word_keys(flat, starts.value)
+        end = np.cumsum(batch.column("n_tokens").to_numpy())
+        logs, opens = model.score(attention, ids)
+        ends = np.append(opens[first[1:]], 0.0)
+        ends[end - 1] = 0.0  # nothing follows a text's end
+        lead = logs[first] - opens[first]
+        by_spelling = np.add.reduceat(logs, first, dtype=np.float64) - opens[first] + ends + spelled
+        by_count = lead - np.log(np.maximum(model.counts[flat[first]], 1)) + counted
         at = np.minimum(np.searchsorted(word, key), max(0, len(word) - 1))
         found = word[at] == key if len(word) else np.zeros(len(key), bool)
-        own = np.where(found, share[at], 0.0) if len(word) else np.zeros(len(key))
-        mixed = np.where(found, np.logaddexp(own + math.log(MIX), logs + math.log(1 - MIX)), 0.0)
-        end = np.cumsum(batch.column("n_tokens").to_numpy())
+        n = np.where(found, c[at], 1.0) if len(word) else np.ones(len(key))
+        own = np.where(found, np.log1p(n) - scale, 0.0)
+        mixed = np.where(found, np.logaddexp(by_count + np.log(n), by_spelling), 0.0)
         begin = np.concatenate([[0], end[:-1]])
         rare = np.concatenate([[0], np.cumsum(~found)])
         cuts = pa.array(np.append(rare[begin], rare[-1]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (key[~found].view(np.int64), logs[~found].astype(np.float32))]
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (
+            key[~found].view(np.int64), by_count[~found].astype(np.float32), by_spelling[~found].astype(np.float32))]
         return pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + [
             pa.array(np.add.reduceat(found, begin, dtype=np.int64)), pa.array(np.add.reduceat(own, begin)),
             pa.array(np.add.reduceat(mixed, begin))] + [x.cast(f.type) for x, f in zip(lists, list(schema)[7:])], schema=schema)
 
     def run(batches):
-        model, weights, word, share = shared.value
+        model, weights, word, c = shared.value
         attention = Attention(model.bigram).load(weights)
         for batch in batches:
             size = batch.column("ids").to_pylist()
             for a, b in chunks(size, 1 << 20):  # half a million ids
-                yield scored(batch.slice(a, b - a), attention, model, word, share)
+                yield scored(batch.slice(a, b - a), attention, model, word, c)
 
     looked = materialize(coded.mapInArrow(run, "doc_id long, text_key long, held_out boolean, n_tokens long, known long, base double, "
-                                               "score double, words array<long>, logs array<float>"), "frequent_words")
-    rare = looked.select("doc_id", "text_key", F.explode(F.arrays_zip("words", "logs")).alias("x")).select(
-        "doc_id", "text_key", F.col("x.words").alias("word"), F.col("x.logs").cast("double").alias("p"))
+                                               "score double, words array<long>, begun array<float>, spelled array<float>"), "frequent_words")
+    rare = looked.select("doc_id", "text_key", F.explode(F.arrays_zip("words", "begun", "spelled")).alias("x")).select(
+        "doc_id", "text_key", F.col("x.words").alias("word"), F.col("x.begun").cast("double").alias("p"), F.col("x.spelled").cast("double").alias("q"))
     own = F.log(F.col("c") + 1.0) - scale
-    high, low = F.greatest(own + math.log(MIX), F.col("p") + math.log(1 - MIX)), F.least(own + math.log(MIX), F.col("p") + math.log(1 - MIX))
+    by_count = F.col("p") + F.log(F.col("c").cast("double"))
+    high, low = F.greatest(by_count, "q"), F.least(by_count, "q")
     more = rare.join(counts, "word", "left").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(
         F.count("c").alias("known_more"), F.sum(F.coalesce(own, F.lit(-scale))).alias("base_more"),
-        F.sum(F.when(F.col("c").isNull(), F.col("p") + math.log(1 - MIX)).otherwise(high + F.log1p(F.exp(low - high)))).alias("score_more"))
+        F.sum(F.when(F.col("c").isNull(), F.col("q")).otherwise(high + F.log1p(F.exp(low - high)))).alias("score_more"))
     copies = looked.groupBy(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).agg(F.count("*").alias("copies"))
     more = more.join(copies, more.of_id.eqNullSafe(copies.c_id) & (more.of_key == copies.c_key)).drop("c_id", "c_key")
-    both = looked.drop("words", "logs").join(more, looked.doc_id.eqNullSafe(more.of_id) & (looked.text_key == more.of_key), "left")
+    both = looked.drop("words", "begun", "spelled").join(more, looked.doc_id.eqNullSafe(more.of_id) & (looked.text_key == more.of_key), "left")
 
     def plus(kept: str, added: str):  # rows of a repeated row share what the join summed over all of them
         return F.col(kept) + F.coalesce(F.col(added) / F.col("copies"), F.lit(0.0))

@@ -305,6 +305,22 @@ def test_lm_base_and_probability(spark, docs, rows, empty):
     assert lm_scoring.lm_scores(empty, path).count() == 0
 
 
+def test_lm_beats_the_unigram_base_on_held_out_texts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    kinds = [["".join(rng.choice(list("aeiou" if k else "bdgkt"), 2)) + s for s in ("n", "ra", "lo", "mi")] for k in (0, 1) for _ in range(30)]
+    half = [sum(kinds[:30], []), sum(kinds[30:], [])]
+    texts = [(d, " ".join(rng.choice(half[d % 2], 60))) for d in range(300)]
+    held = spark.createDataFrame(texts, "doc_id long, text string")
+    args = held, public_tokenizers.path("byte_bpe_50k.json")
+    out = lm_scoring.lm_scores(*args).filter("held_out").collect()
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 3)  # most words by the join
+    joined = {r.doc_id: r for r in lm_scoring.lm_scores(*args).filter("held_out").collect()}
+    for r in out:
+        assert joined[r.doc_id].n_known == r.n_known and math.isclose(joined[r.doc_id].score, r.score, rel_tol=1e-4)
+        assert math.isclose(joined[r.doc_id].base_score, r.base_score, rel_tol=1e-9)
+
+
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(0)
     model = lm_scoring.Attention(rng.normal(size=(lm_scoring.CLASSES + 1, lm_scoring.CLASSES)))
@@ -320,10 +336,13 @@ def test_attention_gradients_and_causality():
         low, _ = model.gradients(past, target, weight)
         model.w[name][at] += 1e-4
         assert abs((high - low) / 2e-4 - g[name][at]) < 1e-3, name
-    scored = np.ones(past.shape, bool)
-    a = model.log_likelihood(past, target, scored).reshape(past.shape)
+    scored, sums = np.ones(past.shape, bool), np.ones((lm_scoring.CLASSES, 2))
+    sums[10:, 1] = 0
+    a = model.log_likelihood(past, target, scored, sums).reshape(2, *past.shape)
+    each = [model.log_likelihood(past, np.full(past.shape, k), scored, sums)[0] for k in range(lm_scoring.CLASSES)]
+    assert np.allclose(np.exp(each).sum(axis=0), 1) and np.allclose(np.exp(each[:10]).sum(axis=0), np.exp(a[1].ravel()))
     past[:, 9:] = 0
-    assert np.allclose(a[:, :9], model.log_likelihood(past, target, scored).reshape(past.shape)[:, :9])
+    assert np.allclose(a[..., :9], model.log_likelihood(past, target, scored, sums).reshape(2, *past.shape)[..., :9])
 
 
 def test_windows_score_each_id_once():
