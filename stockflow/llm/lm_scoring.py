@@ -58,6 +58,7 @@ SLICES = 16                     # of the id range, for counts
 PRIOR = 50.0                    # weight of P(id | class) in P(id | class, previous class)
 UNSEEN = 0.02, 0.5              # least and most weight of spelling
 SEND = 2_000_000                # words whose counts a task adds up before sending
+CHUNK = 2 << 20                 # bytes of ids worked on at once in training
 
 
 # ---- ids and word counts
@@ -113,11 +114,10 @@ def word_counts(coded: DataFrame, starts) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
         for batch in batches:
-            ids = _ids(batch.column("ids").to_pylist())
-            for k in range(0, len(ids), 1000):
-                held.append(word_keys(np.concatenate(ids[k:k + 1000]), starts.value)[1])
-            if sum(map(len, held)) >= SEND:
-                yield counts()
+            for a, b in chunks(coded_ids := batch.column("ids").to_pylist(), CHUNK):
+                held.append(word_keys(np.concatenate(_ids(coded_ids[a:b])), starts.value)[1])
+                if sum(map(len, held)) >= SEND:
+                    yield counts()
         if held:
             yield counts()
 
@@ -343,8 +343,8 @@ def train(coded: DataFrame, begins: np.ndarray) -> tuple[Model, np.ndarray]:
         def run(batches):
             total = np.zeros(size)
             for batch in batches:
-                if batch.num_rows:
-                    total += counter(_ids(batch.column("ids").to_pylist()))
+                for a, b in chunks(coded_ids := batch.column("ids").to_pylist(), CHUNK):
+                    total += counter(_ids(coded_ids[a:b]))
             yield send(total)
         got = _sum_slices(texts.mapInArrow(run, ddl), name)
         return np.concatenate([got[k] for k in range(SLICES)]) if got else np.zeros(size)
@@ -367,13 +367,12 @@ def train(coded: DataFrame, begins: np.ndarray) -> tuple[Model, np.ndarray]:
     def fit(batches):
         chosen, (of, bigram) = [], known.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = _ids(batch.column("ids").to_pylist())
-            key = batch.column("text_key").to_numpy().view(np.uint64)
-            past, target, scored, _ = windows(of[np.concatenate(ids)], np.array([len(i) for i in ids]), lambda text, number: mix64(
-                key[text] + number.astype(np.uint64)) % np.uint64(EVERY) == 0)
-            chosen.append((past.astype(np.int16), target.astype(np.int16), scored))
+            keys = batch.column("text_key").to_numpy().view(np.uint64)
+            for a, b in chunks(coded_ids := batch.column("ids").to_pylist(), CHUNK):
+                ids, key = _ids(coded_ids[a:b]), keys[a:b]
+                past, target, scored, _ = windows(of[np.concatenate(ids)], np.array([len(i) for i in ids]), lambda text, number: mix64(
+                    key[text] + number.astype(np.uint64)) % np.uint64(EVERY) == 0)
+                chosen.append((past.astype(np.int16), target.astype(np.int16), scored))
         if not sum(len(c[0]) for c in chosen):
             return
         past, target, scored = (np.concatenate(x) for x in zip(*chosen))
