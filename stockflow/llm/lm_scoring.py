@@ -160,13 +160,28 @@ class Attention:
         a /= a.sum(axis=-1, keepdims=True)
         return x, q, k, v, a, np.concatenate([x, a @ v], axis=-1)
 
-    def log_likelihood(self, past: np.ndarray, target: np.ndarray, scored: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Natural logs of P(class) and of P(a word begins) at the scored places.
-        ``sums``: ones, and ones at the classes that begin words, as columns."""
-        h, before, goal = self.hidden(past)[-1][scored], past[scored], target[scored]
-        z = h @ self.w["out"]
-        z += self.bigram[before]
-        got = z[np.arange(len(z)), goal]
+    def tables(self, sums: np.ndarray) -> tuple:
+        """What depends on a place and its class alone: query, key and value (with a
+        one, for the sum of weights) side by side, and the logits without the
+        attention's part. ``sums``: ones, and ones at the classes that begin words."""
+        w = self.w
+        x = (w["embed"] + w["place"][:, None]).reshape(-1, WIDTH)
+        qkv = np.concatenate([x @ w["query"] * WIDTH ** -0.5, x @ w["key"], x @ w["value"], np.ones((len(x), 1))], axis=1)
+        logits = x @ w["out"][:WIDTH] + np.tile(self.bigram, (WINDOW, 1))
+        return tuple(np.ascontiguousarray(t, np.float32) for t in (qkv, logits, w["out"][WIDTH:], sums))
+
+    def log_likelihood(self, past: np.ndarray, target: np.ndarray, scored: np.ndarray, tables: tuple) -> np.ndarray:
+        """Natural logs of P(class) and of P(a word begins) at the scored places."""
+        qkv, logits, out, sums = tables
+        at = past + np.arange(WINDOW) * (CLASSES + 1)
+        x = qkv[at]
+        a = x[..., :WIDTH] @ x[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
+        a += self.mask
+        np.exp(a, out=a)  # small logits: no need to shift
+        c = (a @ x[..., 2 * WIDTH:])[scored]
+        z = (c[:, :WIDTH] / c[:, WIDTH:]) @ out
+        z += logits[at[scored]]
+        got = z[np.arange(len(z)), target[scored]]
         np.exp(z, out=z)
         total = np.log(z @ sums)
         return np.stack([got - total[:, 0], total[:, 1] - total[:, 0]])
@@ -301,7 +316,8 @@ class Model:
         before = np.concatenate([[CLASSES], classes[:-1]])
         before[np.cumsum(n)[:-1]] = CLASSES
         past, target, scored, _ = windows(classes, n)
-        got = np.concatenate([attention.log_likelihood(*(x[k:k + block] for x in (past, target, scored)), self.sums)
+        tables = attention.tables(self.sums)
+        got = np.concatenate([attention.log_likelihood(*(x[k:k + block] for x in (past, target, scored)), tables)
                               for k in range(0, len(past), block)], axis=1)  # scored places are in the order of the texts
         got[0] += self.inside[before, flat]
         return got

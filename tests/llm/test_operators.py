@@ -338,11 +338,15 @@ def test_attention_gradients_and_causality():
         assert abs((high - low) / 2e-4 - g[name][at]) < 1e-3, name
     scored, sums = np.ones(past.shape, bool), np.ones((lm_scoring.CLASSES, 2))
     sums[10:, 1] = 0
-    a = model.log_likelihood(past, target, scored, sums).reshape(2, *past.shape)
-    each = [model.log_likelihood(past, np.full(past.shape, k), scored, sums)[0] for k in range(lm_scoring.CLASSES)]
-    assert np.allclose(np.exp(each).sum(axis=0), 1) and np.allclose(np.exp(each[:10]).sum(axis=0), np.exp(a[1].ravel()))
+    tables = model.tables(sums)
+    a = model.log_likelihood(past, target, scored, tables).reshape(2, *past.shape)
+    hidden = model.hidden(past)[-1] @ model.w["out"] + model.bigram[past]
+    chosen = np.take_along_axis(np.log(lm_scoring.softmax_rows(hidden)), target[..., None], axis=-1)[..., 0]
+    assert np.allclose(a[0], chosen, atol=1e-4)
+    each = [model.log_likelihood(past, np.full(past.shape, k), scored, tables)[0] for k in range(lm_scoring.CLASSES)]
+    assert np.allclose(np.exp(each).sum(axis=0), 1, atol=1e-4) and np.allclose(np.exp(each[:10]).sum(axis=0), np.exp(a[1].ravel()), atol=1e-4)
     past[:, 9:] = 0
-    assert np.allclose(a[..., :9], model.log_likelihood(past, target, scored, sums).reshape(2, *past.shape)[..., :9])
+    assert np.allclose(a[..., :9], model.log_likelihood(past, target, scored, tables).reshape(2, *past.shape)[..., :9], atol=1e-4)
 
 
 def test_windows_score_each_id_once():
