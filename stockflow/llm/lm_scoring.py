@@ -58,7 +58,7 @@ SLICES = 16                     # of the id range, for counts
 PRIOR = 50.0                    # weight of P(id | class) in P(id | class, previous class)
 UNSEEN = 0.02, 0.5              # least and most weight of spelling
 SEND = 2_000_000                # words whose counts a task adds up before sending
-CHUNK = 2 << 20                 # bytes of ids worked on at once in training
+CHUNK = 2 << 20                 # bytes of text or ids worked on at once
 
 
 # ---- ids and word counts
@@ -80,7 +80,7 @@ def encoded(docs: DataFrame, tokenizer: str, modulus: int, remainder: int) -> Da
         return of
 
     def run(batches):
-        yield from per_batch(encode(WordEncoder(tokenizer, word_ends=False, most=1 << 19)), schema)(batches)
+        yield from per_batch(encode(WordEncoder(tokenizer, word_ends=False, most=1 << 19)), schema, CHUNK)(batches)
 
     return texts.mapInArrow(run, "doc_id long, text_key long, held_out boolean, n_tokens long, ids binary")
 
