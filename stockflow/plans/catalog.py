@@ -71,7 +71,7 @@ class Workspace:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return cleaning.clean_calendar(self.raw.calendar)
+        return self._layer("clean_calendar", lambda: cleaning.clean_calendar(self.raw.calendar))
 
     @cached_property
     def inventory(self) -> DataFrame:
@@ -247,22 +247,22 @@ def _risk_scenarios(w: Workspace) -> DataFrame:
 
 @query("top_reorders")
 def _top_reorders(w: Workspace) -> DataFrame:
-    return marts.top_reorders(w.risk()).drop("sales_at_risk_display")
+    return marts.top_reorders(w.risk())
 
 
 @query("top_markdowns")
 def _top_markdowns(w: Workspace) -> DataFrame:
-    return marts.top_markdowns(w.risk()).drop("capital_locked_display")
+    return marts.top_markdowns(w.risk())
 
 
 @query("reorder_plan")
 def _reorder_plan(w: Workspace) -> DataFrame:
-    return marts.reorder_plan(w.risk()).drop("revenue_protected_display")
+    return marts.reorder_plan(w.risk())
 
 
 @query("markdown_plan")
 def _markdown_plan(w: Workspace) -> DataFrame:
-    return marts.markdown_plan(w.risk()).drop("weeks_of_supply_label", "capital_released_display")
+    return marts.markdown_plan(w.risk())
 
 
 @query("category_revenue_share")
@@ -282,7 +282,7 @@ def _executive_kpis(w: Workspace) -> DataFrame:
 
 @query("risk_matrix_points")
 def _risk_matrix_points(w: Workspace) -> DataFrame:
-    return marts.risk_matrix_points(w.risk()).drop("sales_at_risk_display", "capital_locked_display")
+    return marts.risk_matrix_points(w.risk())
 
 
 @query("inventory_position")
