@@ -216,6 +216,18 @@ def test_quality_rejects_what_the_language_does_not_do(spark):
     assert not out[99] and sum(out[i] for i in range(60)) >= 59
 
 
+def test_quality_bands_reject_planted_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").filter("lang = 'en' and doc_id < 5000")
+    plain = docs.filter("length(text) between 1200 and 9000 and not text rlike '[|#*$%&<>]|!!'").orderBy("doc_id").limit(6).collect()
+    junk = [lambda w: " ".join(x + "!!" for x in w), lambda w: " ".join(x + "***" for x in w), lambda w: " ".join((x + " ") * 4 for x in w),
+            lambda w: "\n".join("| " + " | ".join(w[i:i + 3]) + " |" for i in range(0, len(w), 3))]
+    planted = [(10 ** 6 * (k + 1) + r.doc_id, f(r.text.split()), "en") for k, f in enumerate(junk) for r in plain]
+    out = quality.quality_rules(docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string")))
+    rows_ = {r.doc_id: r for r in out.filter(F.col("doc_id").isin([r.doc_id for r in plain] + [d for d, _, _ in planted])).collect()}
+    assert [d for d, _, _ in planted if rows_[d].kept] == []
+    assert sum(not rows_[d].base_failed for d, _, _ in planted) >= 12 and sum(rows_[r.doc_id].kept for r in plain) >= 5
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(11)
     items = [(i, sentence(rng, 18) + ". " + sentence(rng, 9) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "..."), (None, "x"), (3, "short one")]
