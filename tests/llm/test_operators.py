@@ -228,6 +228,15 @@ def test_quality_bands_reject_planted_junk(spark):
     assert sum(not rows_[d].base_failed for d, _, _ in planted) >= 12 and sum(rows_[r.doc_id].kept for r in plain) >= 5
 
 
+def test_quality_judges_the_neighbours_of_a_blank_text(spark):
+    rng = random.Random(8)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(90))
+    data = [(i, text("aeioltnr"), "en") for i in range(60)] + [(99, text("zqxkjv#@0"), "en"), (100, " \n", "en"), (101, "\u00a0", "en")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").coalesce(1)
+    out = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert not out[99].kept and [d for d, r in out.items() if r.log_perplexity is None] == [100, 101]
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(11)
     items = [(i, sentence(rng, 18) + ". " + sentence(rng, 9) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "..."), (None, "x"), (3, "short one")]
