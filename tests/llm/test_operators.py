@@ -237,6 +237,19 @@ def test_quality_judges_the_neighbours_of_a_blank_text(spark):
     assert not out[99].kept and [d for d, r in out.items() if r.log_perplexity is None] == [100, 101]
 
 
+def test_quality_band_join_deals_out_a_language(spark):
+    df = spark.createDataFrame([(i, f"word{i} and more", "en") for i in range(200)], "doc_id long, text string, lang string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = quality.quality_rules(df, least_words=1).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(out) == 200 and len({r.task for r in out}) > 1 and len({(r.lower, r.upper) for r in out}) == 1
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(11)
     items = [(i, sentence(rng, 18) + ". " + sentence(rng, 9) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "..."), (None, "x"), (3, "short one")]
