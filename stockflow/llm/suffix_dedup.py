@@ -23,6 +23,9 @@ share it but differ around it. Its strings are grouped one by one instead, by
 128 bits of hash; a chunk of documents sends a string once, known as repeated
 if the chunk has it twice.
 
+Replies are dealt by a hash of doc_id and text together, so the copies of one
+text are spread like other documents.
+
 Defined cases: null text is empty; shorter texts than ``size`` stay whole;
 overlapping repeats within a document count; repeated rows are places of their
 own (so both lose what they share); a null doc_id is as good as any; an empty
@@ -198,14 +201,40 @@ def _runs(mask: np.ndarray, at: int, size: int) -> list[tuple[int, int]]:
     return [(at + int(a), at + int(b) - 1 + size) for a, b in edge.reshape(-1, 2)]
 
 
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def merge_spans(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte intervals of each owner (a number) in order, touching ones as one."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    wide = np.int64(end.max(initial=0) + 1)
+    reach = np.maximum.accumulate(owner * wide + end)  # owners ascend, so their reaches do
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (owner[1:] * wide + start[1:] > reach[:-1])])[:len(owner)])
+    last = np.append(first[1:], len(owner))[:len(first)] - 1
+    return owner[first], start[first], reach[last] - owner[first] * wide
+
+
+def _owners(ids: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of (doc_id, text_key) pairs, and of each number: doc_id, whether null, text_key."""
+    columns = ids.fill_null(0), ids.is_null().cast(pa.int8()), keys
+    used, owner = np.unique(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1), axis=0, return_inverse=True)
+    return owner.reshape(-1), used[:, 0].copy(), used[:, 1].astype(bool), used[:, 2].copy()
+
+
+def replies(ids: pa.Array, keys: pa.Array, of: np.ndarray, start: np.ndarray, end: np.ndarray, groups: int) -> pa.Table:
+    """Intervals of documents (``of``: places in ``ids`` and ``keys``), merged and
+    dealt by document to ``groups``: a document once a row, its intervals packed."""
+    owner, doc_id, null, text_key = _owners(ids, keys)
+    owner, start, end = merge_spans(owner[of], start, end)
+    bucket = (mix64(doc_id.view(np.uint64) ^ mix64(text_key.view(np.uint64))) % np.uint64(groups)).astype(np.int64)[owner]
+    order = np.lexsort((owner, bucket))
+    owner, start, end, bucket = owner[order], start[order], end[order], bucket[order]
+    used, cuts = np.unique(bucket, return_index=True)
+    out: dict = {name: [] for name in ("bucket", "doc_ids", "text_keys", "counts", "starts", "lengths")}
+    for k, a, b in zip(used.tolist(), cuts, np.append(cuts[1:], len(owner))):
+        docs, n = np.unique(owner[a:b], return_counts=True)
+        for name, v in zip(out, (k, pa.array(doc_id[docs], mask=null[docs]).to_pylist(), text_key[docs], narrow(n), narrow(start[a:b]), narrow((end - start)[a:b]))):
+            out[name].append(v)
+    lists = pa.list_(pa.int64())
+    return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), (pa.int32(), lists, lists, *[pa.binary()] * 3))})
 
 
 def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
@@ -232,7 +261,7 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
     asked = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.of_id) & (texts.text_key == wanted.of_key)).select("doc_id", "text_key", "body", "found")
     total = found.join(often, "anchor").agg(F.sum(F.col("n") + size).alias("bytes"), F.sum(F.when(F.col("places") > HOT, F.col("n"))).alias("hot")).first()
     buckets, hot_parts = max(1, -(-(total.bytes or 0) // BUCKET)), max(1, -(-(total.hot or 0) // STRINGS))
-    groups = max(1, buckets // 4)
+    groups = max(1, buckets // 4 + hot_parts - 1)  # a hot string may be an interval of its own
     out = pa.schema([("part", pa.int32()), ("segment", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())),
                      ("ats", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("doc", "start", "a", "b", "known"))])
 
@@ -272,25 +301,23 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
     sent = asked.mapInArrow(per_batch(send, out), "part int, segment binary, doc_ids array<long>, text_keys array<long>, ats array<long>, "
                                                   "doc binary, start binary, a binary, b binary, known binary")
     sent = materialize(sent, "segments")
-    hit_ddl = "bucket int, doc_ids array<long>, text_keys array<long>, starts array<long>, ends array<long>"
+    hit_ddl = "bucket int, doc_ids array<long>, text_keys array<long>, counts binary, starts binary, lengths binary"
 
     def decide(key, table):
         places: dict = {}
         for segment, *where in zip(*(table.column(c).to_pylist() for c in ("segment", "doc_ids", "text_keys", "ats"))):
             places.setdefault(segment, []).extend(zip(*where))
         marks = repeated_strings(list(places), [len(p) > 1 for p in places.values()], size)
-        hits: dict = {}
+        ids, keys, found = [], [], []
         for mark, where in zip(marks, places.values()):
-            spans = _runs(mark, 0, size)
-            for doc, text_key, at in where if spans else ():
-                row = hits.setdefault(text_key % groups, ([], [], [], []))
-                for a, b in spans:
-                    for column, v in zip(row, (doc, text_key, at + a, at + b)):
-                        column.append(v)
-        columns = [list(x) for x in zip(*hits.values())] or [[], [], [], []]
-        lists = pa.list_(pa.int64())
-        return pa.table({"bucket": pa.array(list(hits), pa.int32()), **{name: pa.array(c, lists) for name, c in
-                                                                       zip(("doc_ids", "text_keys", "starts", "ends"), columns)}})
+            spans = np.array(_runs(mark, 0, size), np.int64).reshape(-1, 2)
+            for doc, text_key, at in where if len(spans) else ():
+                ids.append(doc)
+                keys.append(text_key)
+                found.append(spans + at)
+        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        found = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        return replies(pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), of, found[:, 0], found[:, 1], groups)
 
     hits = sent.filter("part >= 0").select("part", "segment", "doc_ids", "text_keys", "ats").groupBy("part").applyInArrow(decide, hit_ddl)
 
@@ -308,31 +335,23 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
         again[order[1:][same]] = again[order[:-1][same]] = True
         goes = flags >= 2
         goes[np.flatnonzero(flags & 1)] |= again
-        ids, keys = (np.array([x for row in got[k] for x in row]) for k in ("doc_ids", "text_keys"))
+        ids, keys = (pa.array([x for row in got[k] for x in row], pa.int64()) for k in ("doc_ids", "text_keys"))
         order = np.lexsort((start[goes], doc[goes]))
         doc, start = doc[goes][order], start[goes][order]
         first = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(start) > 1)])) if len(doc) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(doc))[:len(first)] - 1
-        owner = doc[first]
-        bucket = keys[owner] % groups if len(owner) else owner
-        lists = pa.list_(pa.int64())
-        used = np.unique(bucket)
-        return pa.table({"bucket": pa.array(used, pa.int32()), "doc_ids": pa.array([ids[owner[bucket == k]].tolist() for k in used], lists),
-                         "text_keys": pa.array([keys[owner[bucket == k]] for k in used], lists),
-                         "starts": pa.array([start[first[bucket == k]] for k in used], lists),
-                         "ends": pa.array([start[last[bucket == k]] + size for k in used], lists)})
+        return replies(ids, keys, doc[first], start[first], start[last] + size, groups)
 
     hot_hits = sent.filter("part < 0").select("part", "doc_ids", "text_keys", "doc", "start", "a", "b", "known").groupBy("part").applyInArrow(decide_hot, hit_ddl)
 
     def by_document(key, table):
-        spans: dict = {}
-        for columns in zip(*(table.column(c).to_pylist() for c in ("doc_ids", "text_keys", "starts", "ends"))):
-            for doc, text_key, a, b in zip(*columns):
-                spans.setdefault((doc, text_key), []).append((a, b))
-        merged = [merge_spans(x) for x in spans.values()]
-        lists = pa.list_(pa.int64())
-        return pa.table({"doc_id": pa.array([d for d, _ in spans], pa.int64()), "text_key": pa.array([k for _, k in spans], pa.int64()),
-                         "starts": pa.array([[a for a, _ in x] for x in merged], lists), "ends": pa.array([[b for _, b in x] for x in merged], lists)})
+        ids, keys = (pa.concat_arrays(table.column(c).chunks).flatten() for c in ("doc_ids", "text_keys"))
+        n, start, length = (np.concatenate([widen(x) for x in table.column(c).to_pylist()]) for c in ("counts", "starts", "lengths"))
+        owner, doc_id, null, text_key = _owners(ids, keys)
+        owner, start, end = merge_spans(np.repeat(owner, n), start, start + length)
+        cuts = pa.array(np.searchsorted(owner, np.arange(len(doc_id) + 1)).astype(np.int32))
+        return pa.table({"doc_id": pa.array(doc_id, mask=null), "text_key": pa.array(text_key),
+                         "starts": pa.ListArray.from_arrays(cuts, pa.array(start)), "ends": pa.ListArray.from_arrays(cuts, pa.array(end))})
 
     return hits.unionByName(hot_hits).groupBy("bucket").applyInArrow(by_document, "doc_id long, text_key long, starts array<long>, ends array<long>")
 

@@ -141,6 +141,25 @@ def test_suffix_dedup(docs, rows, empty, hot, monkeypatch):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_suffix_dedup_deals_out_the_copies_of_a_text(spark, hot, monkeypatch):
+    for name, value in (("HOT", hot), ("BUCKET", 1000), ("STRINGS", 1000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    text = sentence(random.Random(9), 400)
+    data = [(i, text) for i in range(60)] + [(None, text), (60, text[:700]), (61, "short"), (62, text + " a" + text)]
+    df = spark.createDataFrame(data + data[-1:], "doc_id long, text string").repartition(3)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        copies = suffix_dedup.repeated_spans(df).filter("doc_id < 60").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(copies) == 60 and all((r.starts, r.ends) == ([0], [len(text.encode())]) for r in copies)
+    assert len({r.task for r in copies}) > 1
+    out = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(df).collect())
+    assert len(out) == 65 and all(removed == (0 if d == 61 else size) for d, size, removed in out)
+
+
 def test_suffix_order_against_sorting():
     rng = np.random.default_rng(4)
     data = rng.integers(0, 3, 300)
