@@ -19,9 +19,10 @@ their own; the others are clustered by the classes that stand before them,
 ids that begin words apart from those that don't, so P(a word begins) is a sum
 over classes. Class bigrams, ids within classes and words
 are counted over all training documents. The attention part (embeddings, one
-causal head, output) is trained by Adam in every partition on one window in
-``EVERY`` of each training document, chosen by hash, and averaged over the
-partitions, weighted by ids: its data grow with the input, its size not.
+causal head, output) is trained by Adam on every window of every training
+document, in ``ROUNDS`` rounds: a window is in one round, by hash; in a round
+every partition goes on from the last average, with a smaller rate, and the
+weights are averaged again, weighted by ids.
 
 Scoring runs over windows of ``WINDOW`` ids that overlap by ``WINDOW - STEP``;
 each id is scored once, in the window that gives it at least that much past
@@ -53,7 +54,7 @@ FREQUENT = 1 << 20
 OWN, SHARED = 24, 40            # classes of one id, and classes of many (half of them begin words)
 CLASSES = OWN + SHARED
 WINDOW, STEP, WIDTH = 16, 12, 16
-EVERY = 64                      # one training window in so many
+ROUNDS = 4                      # of training and averaging; each training window is in one
 SLICES = 16                     # of the id range, for counts
 PRIOR = 50.0                    # weight of P(id | class) in P(id | class, previous class)
 UNSEEN = 0.02, 0.5              # least and most weight of spelling
@@ -211,18 +212,17 @@ class Attention:
         np.add.at(g["embed"], past, dx)
         return loss, g
 
-    def fit(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray, batch: int = 64, rate: float = 0.01) -> None:
-        """One pass of Adam over the windows."""
-        m, s = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}
-        steps = -(-len(past) // batch)
-        for t in range(steps):
-            rows = slice(t * batch, (t + 1) * batch)
+    def fit(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray, state: dict, rate: float, batch: int = 256) -> None:
+        """One pass of Adam over the windows; ``state`` goes from call to call."""
+        m, s = (state.setdefault(x, {k: np.zeros_like(v) for k, v in self.w.items()}) for x in "ms")
+        for k in range(0, len(past), batch):
+            t = state["t"] = state.get("t", 0) + 1
+            rows = slice(k, k + batch)
             _, g = self.gradients(past[rows], target[rows], weight[rows])
-            slow = rate * (1 - 0.9 * t / steps)
             for name in self.NAMES:
                 m[name] = 0.9 * m[name] + 0.1 * g[name]
                 s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
-                self.w[name] -= slow * (m[name] / (1 - 0.9 ** (t + 1))) / (np.sqrt(s[name] / (1 - 0.99 ** (t + 1))) + 1e-6)
+                self.w[name] -= rate * (m[name] / (1 - 0.9 ** t)) / (np.sqrt(s[name] / (1 - 0.99 ** t)) + 1e-6)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.w[n].ravel() for n in self.NAMES])
@@ -380,26 +380,30 @@ def train(coded: DataFrame, begins: np.ndarray) -> tuple[Model, np.ndarray]:
     model.finish(pairs(model.of, "class_pairs"))
     known = spark.sparkContext.broadcast((model.of, model.bigram))
 
-    def fit(batches):
-        chosen, (of, bigram) = [], known.value
-        for batch in batches:
-            keys = batch.column("text_key").to_numpy().view(np.uint64)
-            for a, b in chunks(coded_ids := batch.column("ids").to_pylist(), CHUNK):
-                ids, key = _ids(coded_ids[a:b]), keys[a:b]
-                past, target, scored, _ = windows(of[np.concatenate(ids)], np.array([len(i) for i in ids]), lambda text, number: mix64(
-                    key[text] + number.astype(np.uint64)) % np.uint64(EVERY) == 0)
-                chosen.append((past.astype(np.int16), target.astype(np.int16), scored))
-        if not sum(len(c[0]) for c in chosen):
-            return
-        past, target, scored = (np.concatenate(x) for x in zip(*chosen))
-        mix = np.random.default_rng(2).permutation(len(past))
-        attention = Attention(bigram)
-        attention.fit(past[mix].astype(np.int64), target[mix].astype(np.int64), scored[mix].astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([attention.vector().astype(np.float32).tobytes()]),
-                                          pa.array([float(scored.sum())])], schema=schema)
-
-    got = _sum_slices(texts.mapInArrow(fit, ddl), "attention_weights")
-    weights = got[0] / got[-1][0] if got else Attention(model.bigram).vector()
+    weights = Attention(model.bigram).vector().astype(np.float32)
+
+    def one_round(turn: int, start: np.ndarray):
+        def fit(batches):
+            of, bigram = known.value
+            attention, state, n, mix = Attention(bigram).load(start), {}, 0.0, np.random.default_rng(2)
+            for batch in batches:
+                keys = batch.column("text_key").to_numpy().view(np.uint64)
+                for a, b in chunks(coded_ids := batch.column("ids").to_pylist(), CHUNK):
+                    ids, key = _ids(coded_ids[a:b]), keys[a:b]
+                    past, target, scored, _ = windows(of[np.concatenate(ids)], np.array([len(i) for i in ids]), lambda text, number: mix64(
+                        key[text] + number.astype(np.uint64)) % np.uint64(ROUNDS) == turn)
+                    order = mix.permutation(len(past))
+                    attention.fit(past[order], target[order], scored[order].astype(np.float32), state, 0.01 * 0.5 ** turn)
+                    n += float(scored.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([attention.vector().astype(np.float32).tobytes()]),
+                                                  pa.array([n])], schema=schema)
+        return fit
+
+    for turn in range(ROUNDS):
+        got = _sum_slices(texts.mapInArrow(one_round(turn, weights), ddl), "attention_weights")
+        if got:
+            weights = (got[0] / got[-1][0]).astype(np.float32)
     return model, weights.astype(np.float32)
 
 

@@ -374,6 +374,21 @@ def test_lm_beats_the_unigram_base_on_held_out_texts(spark, monkeypatch):
         assert math.isclose(joined[r.doc_id].base_score, r.base_score, rel_tol=1e-9)
 
 
+def test_lm_attention_trains_on_every_window(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(i, sentence(random.Random(i), 3 + 9 * i)) for i in range(12)], "doc_id long, text string")
+    coded = common.materialize(lm_scoring.encoded(df, path, 7, 2), "t_ids")
+    seen, add = [], lm_scoring._sum_slices
+
+    def spy(rows, name):
+        got = add(rows, name)
+        seen.extend(got[-1][0] for _ in [0] if name == "attention_weights" and got)
+        return got
+    monkeypatch.setattr(lm_scoring, "_sum_slices", spy)
+    lm_scoring.train(coded, lm_scoring.word_starts(path))
+    assert sum(seen) == coded.filter("not held_out").agg(F.sum(F.length("ids") / 2)).first()[0]
+
+
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(0)
     model = lm_scoring.Attention(rng.normal(size=(lm_scoring.CLASSES + 1, lm_scoring.CLASSES)))
