@@ -74,24 +74,24 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int
     urls = lexical(parsed(pages).withColumns({"rule": rule, "ruled": verdict}))
     named = urls.filter("ruled is not null").select("page_id", "url", "suffix", *FEATURES[:-1], (F.col("ruled") == "block").cast("double").alias("label"))
     # One bounded partition in a fixed order: the fit doesn't depend on the cluster.
-    taken = named.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).drop("page_id", "url").cache()
-    labels = taken.groupBy("label").count().collect()
-    total = sum(r["count"] for r in labels)
+    labels = named.groupBy("label").count().collect()
     if len(labels) < 2:
-        taken.unpersist()
         return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+    taken = named.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).drop("page_id", "url").cache()
+    total = sum(r["count"] for r in labels)
     overall = sum(r["count"] for r in labels if r["label"] == 1.0) / total
-    known = taken.groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("n")).select(
+    known = named.groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("n")).select(
         F.col("suffix").alias("of_suffix"), ((F.col("b") + SMOOTHING * overall) / (F.col("n") + SMOOTHING)).alias("suffix_blocked"))
 
-    def with_suffix(df: DataFrame) -> DataFrame:  # at most ``sample`` suffixes, so broadcast
-        return df.join(F.broadcast(known), F.col("suffix") == F.col("of_suffix"), "left").drop("of_suffix") \
-            .fillna(overall, ["suffix_blocked"])
+    def with_suffix(df: DataFrame, suffixes: DataFrame) -> DataFrame:
+        return df.join(suffixes, F.col("suffix") == F.col("of_suffix"), "left").drop("of_suffix").fillna(overall, ["suffix_blocked"])
 
+    # At most ``sample`` suffixes, so broadcast: the order of the training rows stays.
+    of_taken = F.broadcast(known.join(taken.select(F.col("suffix").alias("of_suffix")).distinct(), "of_suffix", "left_semi"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(
-        assembler.transform(with_suffix(taken)).select("features", "label"))
+        assembler.transform(with_suffix(taken, of_taken)).select("features", "label"))
     taken.unpersist()
-    judged = model.transform(assembler.transform(with_suffix(urls)))
+    judged = model.transform(assembler.transform(with_suffix(urls, known)))
     return judged.select("page_id", "host", "path", "rule",
                          F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow")).alias("verdict"))

@@ -325,6 +325,14 @@ def test_url_filter_learns_from_labelled_urls(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in out) >= 55
 
 
+def test_url_filter_counts_suffixes_of_all_labelled_urls(spark):
+    rules = [(kind, f"b.{letter}{k:02d}", "/") for kind, letter in (("block", "s"), ("allow", "t")) for k in range(30)]
+    data = [(i, f"http://b.{'st'[i % 2]}{i // 2 % 30:02d}/p") for i in range(360)]
+    data += [(1000 + i, f"http://c.{'st'[i % 2]}{i // 2:02d}/p") for i in range(60)]
+    out = url_filter.url_filter(spark.createDataFrame(data, "page_id long, url string"), rules, sample=40).filter("rule is null").collect()
+    assert {(r.page_id, r.verdict) for r in out} == {(1000 + i, ("block", "allow")[i % 2]) for i in range(60)}
+
+
 def test_warc_round_trip(spark):
     big = "é<p>" * 400
     data = [(5, "http://a.com/x", big), (2, "http://b.com/", big), (9, None, big), (1, "http://a.com/x", None), (3, "u://\r\nq", ""), (4, "http://z.org/", "s"),
