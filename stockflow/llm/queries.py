@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import (decontam, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter,
-                           warc)
+from stockflow.llm import (decontam, exact_dedup, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup, suffix_dedup,
+                           url_filter, warc)
 from stockflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op12_exact_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and which of its exact copies stays."""
+    return exact_dedup.exact_groups(documents(spark, sf_dir), all_digests=True).select(
+        "doc_id", "keep_id", "group_size", "kept", F.col("text_digest").alias("text_sha256"))
+
+
 # ---- the same in DuckDB SQL, where it can express it
 
 ORACLE_SQL["op1_line_dedup"] = r"""
@@ -145,3 +152,9 @@ select page_id, n as payload_bytes, digest as payload_digest,
   case when n >= 100 and page_id > first then first end as refers_to
 from r
 """
+
+ORACLE_SQL["op12_exact_dedup"] = """
+with t as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
+from t window w as (partition by t)
+"""
