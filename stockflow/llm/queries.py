@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import (decontam, exact_dedup, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup, suffix_dedup,
-                           url_filter, warc)
+from stockflow.llm import (decontam, exact_dedup, fill_middle, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup,
+                           suffix_dedup, url_filter, warc)
 from stockflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.col("text_digest").alias("text_sha256"))
 
 
+@query("op11_fill_in_middle")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and put in another order, and restored."""
+    df = fill_middle.fill_in_middle(documents(spark, sf_dir))
+    return df.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                     F.sha2(fill_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
 # ---- the same in DuckDB SQL, where it can express it
 
 ORACLE_SQL["op1_line_dedup"] = r"""
@@ -158,3 +166,20 @@ with t as (select doc_id, coalesce(text, '') as t from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
 from t window w as (partition by t)
 """
+
+ORACLE_SQL["op11_fill_in_middle"] = """
+with t as (select doc_id, coalesce(text, '') as t, sha256('1:' || cast(doc_id as varchar)) as h from documents),
+d as (
+  select doc_id, t, cast(length(t) as bigint) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+    cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from t),
+c as (
+  select doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (select *, substring(t, 1, a) as pre, substring(t, a + 1, b - a) as mid, substring(t, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+    else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
