@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import (decontam, exact_dedup, fill_middle, line_dedup, lm_scoring, packing, quality, simhash, substring_dedup,
-                           suffix_dedup, url_filter, warc)
+from stockflow.llm import (decontam, exact_dedup, fill_middle, hard_negatives, line_dedup, lm_scoring, packing, quality, simhash,
+                           substring_dedup, suffix_dedup, url_filter, warc)
 from stockflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
 
 
+@query("op13_hard_negatives")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For one vector in a hundred, hard negatives of its five best positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
 # ---- the same in DuckDB SQL, where it can express it
 
 ORACLE_SQL["op1_line_dedup"] = r"""
@@ -183,3 +190,23 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
   sha256(t) as restored_sha256
 from p
 """
+
+ORACLE_SQL["op13_hard_negatives"] = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+n as (
+  select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as rank,
+    other_id as negative_id, positive_score, score as negative_score
+  from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
