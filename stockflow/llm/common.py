@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from stockflow.session import materialize
 
 __all__ = ["CHUNK_BYTES", "WordHashes", "chunks", "connected_components", "documents", "keyed_texts", "materialize",
-           "mix64", "narrow", "pack_sorted", "per_batch", "unpack_sorted", "widen"]
+           "mix64", "narrow", "pack_sorted", "per_batch", "unpack_sorted", "widen", "with_groups"]
 
+# A group of over one row in so many is hot; there are at most so many hot groups.
+HOT_SHARE = 1024
 # Text bytes that a Python task works on at once; longer texts are a chunk of their own.
 CHUNK_BYTES = 8 << 20
 
@@ -116,6 +118,17 @@ def widen(data: bytes) -> np.ndarray:
     return np.frombuffer(data[:-1], np.uint32 if data[-1] == 4 else np.uint16).astype(np.int64)
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) with the columns of their group, null where there is none.
+    ``groups`` is unique by ``key``, ``size`` its number of rows. Hot groups are at most
+    ``HOT_SHARE`` and joined by broadcast, so no key brings many rows to one task."""
+    limit = total / HOT_SHARE
+    hot, cold = groups.filter(F.col(size) > limit), groups.filter(F.col(size) <= limit)
+    found = rows.join(F.broadcast(hot), key, "left")
+    return found.filter(F.col(size).isNotNull()).unionByName(
+        found.filter(F.col(size).isNull()).select(*rows.columns).join(cold, key, "left"))
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long), root being the smallest
     node of its component. Alternating large-star and small-star rounds: each

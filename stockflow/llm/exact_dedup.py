@@ -13,8 +13,7 @@ of what is broadcast. A filter lets a few keys of single texts pass (most of
 them once some million keys survive); they are only hashed for nothing, as the
 exact counts follow. Nothing is lost.
 
-A group of over one row in ``HOT_SHARE`` is hot: there are at most ``HOT_SHARE``
-of these, so their rows are joined by broadcast and never meet in one task.
+Rows of hot groups are joined by broadcast (``with_groups``) and never meet in one task.
 
 Defined cases: null text is empty, and equal to other empty ones; a null doc_id
 gives way to any other; rows that repeat doc_id and text are copies of each
@@ -29,11 +28,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import materialize
+from stockflow.llm.common import materialize, with_groups
 
 PREFIX = 64
 FILTER_WORDS = 1 << 17
-HOT_SHARE = 1024
 
 
 def _bit(keys: list[Column], words: int) -> tuple[Column, Column]:
@@ -56,15 +54,6 @@ def flagged(df: DataFrame, keys: list[Column], bits: DataFrame, words: int = FIL
         .drop("_at", "_bit", "_word", "_bits")
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` with the columns of their group, null where there is none; groups has ``group_size``."""
-    limit = total / HOT_SHARE
-    hot, cold = groups.filter(F.col("group_size") > limit), groups.filter(F.col("group_size") <= limit)
-    found = rows.join(F.broadcast(hot), key, "left")
-    return found.filter("group_size IS NOT NULL").unionByName(
-        found.filter("group_size IS NULL").select(*rows.columns).join(cold, key, "left"))
-
-
 def exact_groups(docs: DataFrame, normalise: Callable[[Column], Column] = lambda text: text, all_digests: bool = False) -> DataFrame:
     """doc_id, text_digest (SHA-256, hex, of the normalised text), keep_id, group_size,
     kept: one row per input row. Single texts that no longer share a group after
@@ -90,7 +79,7 @@ def exact_groups(docs: DataFrame, normalise: Callable[[Column], Column] = lambda
     # Digests surely in no group are single and stay in place; the others are joined.
     split = flagged(marked, [F.col("text_digest")], key_filter(groups, ["text_digest"])).withColumn("_maybe", F.col("read") & F.col("_maybe"))
     total = marked.agg(F.count("*")).first()[0]
-    joined = with_groups(split.filter("_maybe"), groups, "text_digest", total)
+    joined = with_groups(split.filter("_maybe"), groups, "text_digest", "group_size", total)
     return joined.unionByName(split.filter("NOT _maybe"), allowMissingColumns=True).select(
         "doc_id", "text_digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

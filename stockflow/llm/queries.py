@@ -89,9 +89,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes covered by repeated strings of 400 bytes are removed."""
+    """Bytes covered by repeated strings of 400 bytes are removed; what stays, as text
+    (a character cut in two shows as a replacement character)."""
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir), 400).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 @query("op12_exact_dedup")

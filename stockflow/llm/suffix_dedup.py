@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import keyed_texts, materialize, mix64, narrow, per_batch, widen
+from stockflow.llm.common import keyed_texts, materialize, mix64, narrow, per_batch, widen, with_groups
 
 GRAM = 40
 SYMBOL = 100
@@ -255,11 +255,13 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
 
     ddl = "doc_id long, text_key long, anchor long, at long, n long"
     found = materialize(texts.mapInArrow(per_batch(find, schema), ddl), "anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1")
-    wanted = found.join(often, "anchor").groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(
+    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("places"), F.sum("n").alias("strings")).filter("places > 1"), "often")
+    total = often.agg(F.sum("places").alias("places"), F.sum(F.col("strings") + size * F.col("places")).alias("bytes"),
+                      F.sum(F.when(F.col("places") > HOT, F.col("strings"))).alias("hot")).first()
+    placed = with_groups(found, often.select("anchor", "places"), "anchor", "places", total.places or 0).filter("places IS NOT NULL")
+    wanted = placed.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(
         F.collect_set(F.struct("at", "n", "anchor", (F.col("places") > HOT).alias("hot"))).alias("found"))
     asked = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.of_id) & (texts.text_key == wanted.of_key)).select("doc_id", "text_key", "body", "found")
-    total = found.join(often, "anchor").agg(F.sum(F.col("n") + size).alias("bytes"), F.sum(F.when(F.col("places") > HOT, F.col("n"))).alias("hot")).first()
     buckets, hot_parts = max(1, -(-(total.bytes or 0) // BUCKET)), max(1, -(-(total.hot or 0) // STRINGS))
     groups = max(1, buckets // 4 + hot_parts - 1)  # a hot string may be an interval of its own
     out = pa.schema([("part", pa.int32()), ("segment", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())),

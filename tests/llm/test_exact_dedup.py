@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from stockflow.llm import exact_dedup
+from stockflow.llm import common, exact_dedup
 
 SCHEMA = "doc_id long, text string, row long, kept string, n int"
 
@@ -42,7 +42,7 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     rows = make_rows()
     df = exact_dedup.exact_groups(frame(spark, rows), all_digests=True)
     assert sorted((tuple(r) for r in df.collect()), key=str) == brute(rows)
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 10 ** 9)                  # every group by broadcast
+    monkeypatch.setattr(common, "HOT_SHARE", 10 ** 9)                  # every group by broadcast
     assert sorted((tuple(r) for r in exact_dedup.exact_groups(frame(spark, rows), all_digests=True).collect()), key=str) == brute(rows)
 
 
