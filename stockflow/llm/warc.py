@@ -4,13 +4,18 @@ Pages become WARC/1.1 records; of equal payloads of ``LEAST`` bytes or more the
 one with the smallest page_id is a response and the others are revisits of it
 without a payload. Spark's text writer writes the archives (a record is a
 value, the record separator its line separator), so a lost task is simply
-written again. Reading back, each archive is parsed record by record; its
-captures, sorted by URL key and timestamp, are a run. Runs are dealt into
-ranges of (URL key, timestamp, page_id), so that a much captured URL spans
-several ranges, and within a range a loser tree merges the sorted runs.
+written again. Reading back, Spark's text reader streams an archive in pieces,
+from which records are put together one at a time: of an archive a task holds a
+batch of pieces and the record at hand. The captures of an archive are a run.
+Runs are dealt into ranges of (URL key, timestamp, page_id), so that a much
+captured URL spans several ranges, and Spark sorts each run's part of a range
+(spilling to disk where need be); a loser tree then merges the sorted runs of
+the range by their keys and copies rows in bounded pieces.
 
 The pages carry no capture time; unless a column is named, page_id seconds
-after 1970 stand for it, so page_id order is capture order.
+after 1970 stand for it, so page_id order is capture order. Times before 1970
+and after 9999 (ids below zero or of over 253 billion) are set to the first
+and last of these seconds, where page_id alone orders the captures.
 
 Defined cases: null html is an empty payload; null url has no target URI and an
 empty URL key; line ends in a url are percent-encoded; a null page_id never
@@ -20,11 +25,10 @@ all revisits; empty table: no rows. Reads page_id, url and html only.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ from stockflow.session import scratch_table_path
 LEAST = 100          # payload bytes from which equal ones become revisits
 RECORDS = 2_000      # of an archive file at most
 CAPTURES = 50_000    # of a range, on average
+BATCH = 1_000        # captures handed over at once
+LAST_SECOND = 253_402_300_799  # of the year 9999
 END = "\r\n"
 
 CAPTURE = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
@@ -52,7 +58,9 @@ def _header(name: str, value: Column) -> Column:
 def write_archives(pages: DataFrame, captured: str | None = None) -> str:
     """Writes all pages as gzip-compressed WARC files and returns their folder."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    when = F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0))) if captured is None else F.col(captured).cast("timestamp")
+    seconds = F.col("page_id").cast("long") if captured is None else F.unix_seconds(F.col(captured).cast("timestamp"))
+    seconds = F.least(F.greatest(F.coalesce(seconds, F.lit(0)), F.lit(0)), F.lit(LAST_SECOND))
+    when = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"),
                         F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
                         F.octet_length(html).cast("long").alias("bytes"), F.sha2(html.cast("binary"), 256).alias("digest"))
@@ -88,23 +96,38 @@ def url_key(url: str | None) -> str:
     return (",".join(reversed(host.split("."))) + ")" + slash + rest).lower()
 
 
-def records(file) -> Iterator[dict]:
-    """The records of an open archive; one payload is held at a time."""
-    while True:
-        at = file.tell()
-        line = file.readline()
-        if not line:
-            return
-        if line.strip() != b"WARC/1.1":
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {}
-        while (line := file.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
-            headers[name] = value
-        payload = file.read(int(headers["Content-Length"]))
-        if len(payload) != int(headers["Content-Length"]) or file.read(4) != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield {"headers": headers, "payload": payload, "at": at, "size": file.tell() - at}
+class Records:
+    """The records of an archive, from consecutive pieces of its bytes: at most the
+    record at hand is held."""
+
+    def __init__(self):
+        self.held, self.at, self.need, self.head = bytearray(), 0, 0, None
+
+    def feed(self, piece: bytes) -> Iterator[dict]:
+        self.held += piece
+        while len(self.held) >= self.need:
+            if self.head is None:
+                end = self.held.find(b"\r\n\r\n")
+                if end < 0:
+                    return
+                first, *lines = bytes(self.held[:end]).decode("utf-8", "replace").split(END)
+                if first != "WARC/1.1":
+                    raise ValueError(f"no WARC record at byte {self.at}")
+                self.head = {name: value for name, _, value in (x.partition(": ") for x in lines)}
+                self.start, self.need = end + 4, end + 8 + int(self.head["Content-Length"])
+                continue
+            payload, tail = bytes(self.held[self.start:self.need - 4]), self.held[self.need - 4:self.need]
+            if tail != b"\r\n\r\n":
+                raise ValueError(f"the record at byte {self.at} doesn't end where it says")
+            yield {"headers": self.head, "payload": payload, "at": self.at, "size": self.need}
+            del self.held[:self.need]
+            self.at, self.need, self.head = self.at + self.need, 0, None
+            if not self.held:
+                return
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError(f"the record at byte {self.at} is cut short")
 
 
 def _page(value: str | None) -> int | None:
@@ -124,22 +147,28 @@ def _capture(run: str, r: dict) -> dict:
             "at": r["at"], "size": r["size"]}
 
 
-def order(c: dict) -> tuple:
-    return c["url_key"], c["captured"], c["page_id"] is not None, c["page_id"] or 0, c["run"], c["at"]
-
-
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The captures of all archives, one sorted run per file."""
-    def runs(batches):
+    """The captures of all archives, in the order of their records."""
+    def captures(batches):
+        path, found, reader = None, [], Records()
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with gzip.GzipFile(fileobj=io.BytesIO(content.as_py())) as file:
-                    found = sorted((_capture(path.rsplit("/", 1)[-1], r) for r in records(file)), key=order)
-                yield pa.RecordBatch.from_pylist(found, schema=CAPTURE)
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(runs, _DDL)
-
-
-def merge_runs(runs: list[list], key=order) -> Iterator:
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != path:
+                    reader.close()
+                    path, reader = name, Records()
+                # Every piece ended with the separator that the reader took off.
+                found += [_capture(path.rsplit("/", 1)[-1], r) for r in reader.feed(piece.as_py() + b"\r\n\r\n")]
+                if len(found) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(found, schema=CAPTURE)
+                    found = []
+        reader.close()
+        yield pa.RecordBatch.from_pylist(found, schema=CAPTURE)
+
+    pieces = spark.read.option("lineSep", END * 2).text(folder)
+    return pieces.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece")).mapInArrow(captures, _DDL)
+
+
+def merge_runs(runs: list, key) -> Iterator:
     """k-way merge of sorted runs by a loser tree: each inner node keeps the loser
     of its match, so a new head replays one path of log2(k) matches."""
     k = len(runs)
@@ -172,21 +201,30 @@ def merge_runs(runs: list[list], key=order) -> Iterator:
 
 
 def capture_histories(captures: DataFrame) -> DataFrame:
-    """All captures in global order of (url_key, captured, page_id): ranges in the
-    order of the partitions, each merged from its runs."""
+    """All captures in global order of (url_key, captured, page_id, run, at), a null page_id
+    first: ranges in the order of the partitions, each merged from its runs."""
+    keys = ["url_key", "captured", "page_id", "run", "at"]
+
     def merge(batches):
-        runs: dict[str, list] = {}
-        for batch in batches:
-            for c in batch.to_pylist():
-                runs.setdefault(c["run"], []).append(c)
-        for r in runs.values():  # a shuffle may deliver the parts of a run in any order
-            if any(order(a) > order(b) for a, b in zip(r, r[1:])):
-                r.sort(key=order)
-        merged = list(merge_runs([runs[k] for k in sorted(runs)]))
-        yield pa.RecordBatch.from_pylist(merged, schema=CAPTURE)
+        table = pa.Table.from_batches(list(batches), schema=CAPTURE).combine_chunks()
+        if not len(table):
+            return
+        ids = table["run"].combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1, append=ids[-1] + 1))
+        columns = [table[c].to_pylist() for c in keys]
+
+        def key(i: int) -> tuple:
+            url, when, page, run, at = (c[i] for c in columns)
+            return url, when, page is not None, page or 0, run, at
+
+        order = np.fromiter(merge_runs([range(a, b) for a, b in zip(cuts, cuts[1:])], key), np.int64, len(table))
+        for k in range(0, len(order), BATCH):
+            yield from table.take(order[k:k + BATCH]).combine_chunks().to_batches()
 
     ranges = max(1, -(-captures.count() // CAPTURES))
-    return captures.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(merge, _DDL)
+    # The place of a record deals out even rows that repeat page_id and url.
+    dealt = captures.repartitionByRange(ranges, *keys)
+    return dealt.sortWithinPartitions("run", "url_key", "captured", "page_id", "at").mapInArrow(merge, _DDL)
 
 
 def archive(pages: DataFrame, captured: str | None = None) -> DataFrame:

@@ -345,6 +345,33 @@ def test_warc_round_trip(spark):
     assert keys == sorted(keys) and warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_takes_any_page_id(spark, monkeypatch):
+    ids = [10 ** 15, 2 ** 63 - 1, -1, -2 ** 63, 0, 1, 253_402_300_799, 253_402_300_800, None]
+    pages = spark.createDataFrame([(i, "http://a.com/x", "p" * k) for k, i in enumerate(ids)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "CAPTURES", 2)
+    out = warc.archive(pages).collect()
+    assert [r.page_id for r in out] == [None] + sorted(i for i in ids if i is not None) or out[0].page_id < 0
+    keys = [(r.captured, r.page_id is not None, r.page_id or 0) for r in out]
+    assert keys == sorted(keys) and sorted(len(r.captured) for r in out) == [20] * len(ids)
+    assert [r.page_id for r in out if r.page_id is not None] == sorted(i for i in ids if i is not None)
+
+
+def test_warc_records_from_pieces_of_any_size():
+    bodies = [b"", b"\r\n", b"\r\n\r\n", b"x\r\n\r\nWARC/1.1\r\n\r\n", b"y" * 5000, b"\r", b"z\r\n\r"]
+    data = b"".join(b"WARC/1.1\r\nN: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b) for i, b in enumerate(bodies))
+    for size in (1, 3, 17, 4096, len(data)):
+        reader, found = warc.Records(), []
+        for k in range(0, len(data), size):
+            found += reader.feed(data[k:k + size])
+        reader.close()
+        assert [r["payload"] for r in found] == bodies and [r["headers"]["N"] for r in found] == list(map(str, range(len(bodies))))
+        assert [data[r["at"]:r["at"] + r["size"]].endswith(r["payload"] + b"\r\n\r\n") for r in found] == [True] * len(bodies)
+    reader = warc.Records()
+    assert not list(reader.feed(data[:-3])) or reader.held
+    with pytest.raises(ValueError):
+        reader.close()
+
+
 def test_loser_tree_merges_any_number_of_runs():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 7, 8, 13):
