@@ -25,10 +25,9 @@ def query(name: str):
 
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document, runs of three that stand earlier deleted."""
-    return line_dedup.line_dedup(documents(spark, sf_dir)).select(
-        "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    """Lines of every document; runs of 13 words or more that stand earlier are deleted."""
+    return line_dedup.line_report(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 @query("op2_substring_dedup")
@@ -125,15 +124,19 @@ with lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
   from documents where text is not null),
 worded as (
-  select doc_id, i, line, row_number() over (partition by doc_id order by i) as k
+  select doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w, row_number() over (partition by doc_id order by i) as k
   from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+total as (
+  select doc_id, k, line, sum(w) over (partition by doc_id order by k) as upto, w from worded),
 runs as (
-  select doc_id, k, line as a, lead(line) over w as b, lead(line, 2) over w as c
-  from worded window w as (partition by doc_id order by k)),
+  select a.doc_id, a.k as from_k, b.k as to_k
+  from total a join total b on a.doc_id = b.doc_id and b.k between a.k and a.k + 12 and b.upto - a.upto + a.w >= 13
+    and (b.upto - a.upto + a.w - b.w < 13 or b.upto - a.upto < 13)),
 ranked as (
-  select doc_id, k, row_number() over (partition by a, b, c order by doc_id, k) as place from runs where c is not null),
+  select r.doc_id, from_k, to_k, row_number() over (partition by list(t.line order by t.k) order by r.doc_id, from_k) as place
+  from runs r join total t on t.doc_id = r.doc_id and t.k between from_k and to_k group by r.doc_id, from_k, to_k),
 gone as (
-  select distinct w.doc_id, w.i from ranked r join worded w on w.doc_id = r.doc_id and w.k between r.k and r.k + 2 where r.place > 1),
+  select distinct w.doc_id, w.i from ranked r join worded w on w.doc_id = r.doc_id and w.k between r.from_k and r.to_k where r.place > 1),
 kept as (
   select l.doc_id, count(*) as n_lines, count(g.i) as n_removed,
     coalesce(string_agg(l.line, chr(10) order by l.i) filter (where g.i is null), '') as text

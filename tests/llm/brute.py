@@ -80,19 +80,23 @@ def quality(rows):
     return out
 
 
-def lines(rows, run=3):
-    place = {}
+def lines(rows, size=13):
+    """Every stretch of consecutive worded lines with ``size`` words or more is looked up."""
+    place = set()
     cut = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
         ls = (t or "").split("\n")
         idx = [i for i, x in enumerate(ls) if words(x)]
+        count = [len(words(ls[i])) for i in idx]
         gone = set()
-        for k in range(len(idx) - run + 1):
-            key = tuple(ls[i] for i in idx[k:k + run])
-            if key in place:
-                gone.update(idx[k:k + run])
-            else:
-                place[key] = (d, k)
+        for a in range(len(idx)):
+            for b in range(a, min(len(idx), a + 2 * size)):
+                if sum(count[a:b + 1]) >= size:
+                    key = tuple(ls[i] for i in idx[a:b + 1])
+                    if key in place:
+                        gone.update(idx[a:b + 1])
+                    else:
+                        place.add(key)
         cut[d] = (len(ls) if t is not None else 0, len(gone), None if t is None else sha("\n".join(x for i, x in enumerate(ls) if i not in gone).encode()))
     return {(d, *v) for d, v in cut.items()}
 

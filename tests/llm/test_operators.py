@@ -63,16 +63,49 @@ def got(df, *columns):
 
 
 def test_line_dedup(docs, rows, empty):
+    report = line_dedup.line_report(docs)
+    assert got(report, "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256)) == brute.lines(rows)
     df = line_dedup.line_dedup(docs)
-    assert got(df, "doc_id", "_lines", "_removed", F.sha2(F.col("text").cast("binary"), 256)) == brute.lines(rows)
-    assert df.columns[:7] == docs.columns and line_dedup.line_dedup(empty).count() == 0
+    assert df.columns == docs.columns and got(df, "doc_id", "text") == got(report, "doc_id", "text")
     assert df.filter("n_chars != length(text)").count() == 0
+    assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.line_report(empty).count() == 0
+
+
+def test_line_dedup_measures_runs_by_words(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(n))
+    pool = [line(n) for n in (1, 1, 2, 3, 4, 5, 6, 12, 13, 14, 30)]
+    rows = [(i, "\n".join(rng.choice(pool + ["", " "]) if rng.random() < 0.9 else line(rng.randint(1, 9)) for _ in range(rng.randint(1, 30)))) for i in range(120)]
+    rows += [(900, pool[8]), (901, pool[8]), (902, pool[7]), (903, pool[7])]
+    df = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    out = got(df, "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256))
+    assert out == brute.lines(rows)
+    removed = {r[0]: r[2] for r in out}
+    assert removed[901] == 1 and removed[903] == 0      # 13 words are a run by themselves, 12 aren't
 
 
 def test_line_dedup_repeated_rows_and_null_ids(spark):
-    text = "a b\nc d\ne f"
-    df = line_dedup.line_dedup(spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string"))
-    assert sorted((str(r.doc_id), r._removed) for r in df.collect()) == [("1", 0), ("1", 0), ("2", 3), ("None", 3)]
+    text = "a b c d e\nc d e f g\ne f g h"
+    df = line_dedup.line_report(spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_removed) for r in df.collect()) == [("1", 0), ("1", 0), ("2", 3), ("None", 3)]
+
+
+def test_line_dedup_passes_columns_of_any_name(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    names = ["_lines", "_removed", "_gone", "_doc", "_of_id", "_of_key", "l", "h", "lines", "place", "found", "at"]
+    rows = [(i, text, *range(100, 100 + len(names))) for i in (1, 2)]
+    df = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)))
+    assert df.columns == ["doc_id", "text", *names]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, text, *rows[0][2:]), (2, "", *rows[0][2:])]
+
+
+def test_line_dedup_takes_long_documents_in_linear_time(spark):
+    import time
+    text = "\n".join(f"line {i} of many in one text" for i in range(64_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    began = time.time()
+    assert [(r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.line_report(df).orderBy("doc_id").collect()] == [(1, 64_000, 0), (2, 64_000, 64_000)]
+    assert time.time() - began < 60
 
 
 def test_substring_dedup(docs, rows, empty):
