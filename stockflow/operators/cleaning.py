@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.columns import clip_keep_null, nan_to_null, title_case
+from stockflow.operators.quantiles import keyed_quantiles
 
 SALES_COLS = ["date", "sku_id", "units_sold", "revenue", "unit_price", "promo_flag"]
 INVENTORY_COLS = ["date", "sku_id", "on_hand_units", "on_order_units", "lead_time_days", "reorder_point"]
@@ -116,31 +117,9 @@ def annotate_sales(sales_raw: DataFrame, sku_clean: DataFrame) -> DataFrame:
 
 
 def grouped_quantiles(df: DataFrame, key: str, col: str, probs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles of ``col`` per ``key``.
-
-    The (key, value) histogram is a partial aggregate (copies of a value merge
-    map-side, so a hot key costs its distinct values, not its rows); running
-    counts over each key's sorted distinct values locate the two order
-    statistics around every position. Output: key, ``n``, ``q<i>`` columns.
-    """
-    h = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(key).orderBy(col)
-    h = h.select(key, col, "_c",
-                 F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"),
-                 F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
-    picks = []
-    for i, p in enumerate(probs):
-        k = F.floor(F.lit(p) * (F.col("_n") - 1))
-        start = F.col("_end") - F.col("_c")
-        picks += [F.max(F.when((start <= k) & (k < F.col("_end")), F.col(col))).alias(f"_lo{i}"),
-                  F.max(F.when((start <= k + 1) & (k + 1 < F.col("_end")), F.col(col))).alias(f"_hi{i}"),
-                  F.max(F.lit(p) * (F.col("_n") - 1) - k).alias(f"_f{i}")]
-    a = h.groupBy(key).agg(F.max("_n").alias("n"), *picks)
-    out = [key, "n"]
-    for i in range(len(probs)):
-        lo, hi = F.col(f"_lo{i}"), F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}"))
-        out.append((lo + (hi - lo) * F.col(f"_f{i}")).alias(f"q{i}"))
-    return a.select(*out)
+    """Exact linear-interpolation quantiles of ``col`` per ``key``: key, ``n``, ``q<i>``. A key
+    with very many distinct values is never in one task (``keyed_quantiles``)."""
+    return keyed_quantiles(df, [key], col, probs)
 
 
 def outlier_fences(sales: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
 """Data-quality profile of any set of tables: shape, schema with non-null
 counts, null counts, duplicate rows and a describe() with exact quartiles.
 
-Each table is profiled with one aggregate pass (all columns at once) and the
-results are unpivoted to long tables, so the work is one scan per table.
+Shape, schema and null counts are one aggregate pass a table, all columns at
+once, unpivoted afterwards. describe() unpivots first, so that all columns of
+all tables are groups of the same three passes, however many there are.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockflow.operators.quantiles import keyed_quantiles, sketch
+from stockflow.session import materialize
+
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -29,6 +33,14 @@ def pandas_dtype(dt: T.DataType) -> str:
     return "object"
 
 
+def read_dtype(dt: T.DataType, nulls: Column) -> Column:
+    """``pandas_dtype`` of a column with that many nulls: integers and truth values have no
+    null of their own there."""
+    name = pandas_dtype(dt)
+    other = {"int64": "float64", "bool": "object"}.get(name)
+    return F.when(nulls > 0, other).otherwise(name) if other else F.lit(name)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -45,7 +57,7 @@ def _column_counts(name: str, df: DataFrame) -> DataFrame:
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
     stack = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                                         F.lit(pandas_dtype(df.schema[c].dataType)).alias("dtype"),
+                                         read_dtype(df.schema[c].dataType, F.col("_n") - F.col(f"_c{i}")).alias("dtype"),
                                          F.col(f"_c{i}").alias("non_null")) for i, c in enumerate(cols)]))
     return agg.select(F.lit(name).alias("table_name"), F.col("_n").alias("n_rows"), stack.alias("s")).select(
         "table_name", "s.position", "s.column_name", "s.dtype",
@@ -71,84 +83,96 @@ def profile_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
                    for name, df in tables.items()])
 
 
-ACCURACY = 100_000  # of the approximate percentiles that bracket an exact one
+ACCURACY = 100_000  # of the sketches of describe()
+TIME = "yyyy-MM-dd HH:mm:ss"
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles (pandas / NumPy default) in two scans.
-
-    Approximate percentiles a little below and above each position give a
-    bracket (rank error at most 1 / ACCURACY of the rows). The second scan
-    counts the values below each bracket and keeps a histogram inside it, a few
-    hundred-thousandths of the rows, over which running counts find the two
-    order statistics. One row: ``n`` and ``q_<p>`` columns.
-    """
-    v = df.select(F.col(col).cast("double").alias("v")).dropna()
-    margin = 3.0 / ACCURACY
-    edges = [min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)]
-    bounds = v.agg(F.percentile_approx("v", edges, ACCURACY).alias("e"), F.count("*").alias("n"),
-                   F.min("v").alias("least"), F.max("v").alias("most"))
-
-    def bound(c):  # one row, evaluated once
-        return bounds.select(c).scalar()
-
-    n = bound(F.col("n"))
-    # A bracket at an end of the column is closed by its extreme value.
-    low = [bound(F.col("least") if p <= margin else F.col("e")[2 * i]) for i, p in enumerate(probs)]
-    high = [bound(F.col("most") if p + margin + 2.0 / ACCURACY >= 1 else F.col("e")[2 * i + 1]) for i, p in enumerate(probs)]
-    # Positions floor and floor + 1 may lie one row beyond the bracket in tiny columns, whose whole histogram is kept.
-    small = n <= 10 * ACCURACY
-    inside = [small | F.col("v").between(a, b) for a, b in zip(low, high)]
-    places = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(inside)]))
-    counts = v.groupBy("v").agg(F.count("*").alias("c")).withColumn("places", places)
-    below = v.agg(*[F.coalesce(F.sum(F.when(~small & (F.col("v") < a), 1)), F.lit(0)).alias(f"b{i}") for i, a in enumerate(low)])
-    hist = counts.filter(F.size("places") > 0).select("v", "c", F.explode("places").alias("i"))
-    run = F.sum("c").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    cum = hist.withColumn("end", run)
-    picks = []
-    for i, p in enumerate(probs):
-        k = F.floor(F.lit(p) * (n - 1))
-        end = F.col("end") + below.select(f"b{i}").scalar()
-        mine = F.col("i") == i
-        picks += [F.max(F.when(mine & (end - F.col("c") <= k) & (k < end), F.col("v"))).alias(f"_lo{i}"),
-                  F.max(F.when(mine & (end - F.col("c") <= k + 1) & (k + 1 < end), F.col("v"))).alias(f"_hi{i}")]
-    a = cum.agg(*picks)
-    out = [F.coalesce(n, F.lit(0)).cast("bigint").alias("n")]
-    for i, p in enumerate(probs):
-        lo, hi = F.col(f"_lo{i}"), F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}"))
-        pos = F.lit(p) * (n - 1)
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"q_{int(p * 100)}"))
-    return a.select(*out)
-
-
-def describe_numeric(df: DataFrame, table_name: str, cols: list[str]) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 %, max per numeric column:
-    one aggregate pass for the moments of every column, one histogram pass
-    per column for the exact quartiles."""
-    xs = {c: F.col(c).cast("double") for c in cols}
-    moments = df.agg(*[a for i, c in enumerate(cols) for a in (
-        F.count(xs[c]).cast("bigint").alias(f"count_{i}"), F.avg(xs[c]).alias(f"mean_{i}"),
-        F.stddev_samp(xs[c]).alias(f"std_{i}"), F.min(xs[c]).alias(f"min_{i}"), F.max(xs[c]).alias(f"max_{i}"))])
-    long = moments.select(F.explode(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"count_{i}").alias("count"), F.col(f"mean_{i}").alias("mean"),
-        F.col(f"std_{i}").alias("std"), F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"))
-        for i, c in enumerate(cols)])).alias("m")).select("m.*")
-    qs = _union([exact_quantiles(df, c, QUARTILES).select(F.lit(c).alias("column_name"), "q_25", "q_50", "q_75")
-                 for c in cols])
-    # one row per column on both sides: a small keyed join
-    return long.join(F.broadcast(qs), "column_name").select(
-        F.lit(table_name).alias("table_name"), "column_name", "count", "mean", "std", "min",
-        F.col("q_25").alias("p25"), F.col("q_50").alias("p50"), F.col("q_75").alias("p75"), "max")
-
-
-def describe_categorical(df: DataFrame, table_name: str, cols: list[str]) -> DataFrame:
-    """count, unique, top (most frequent; smallest value on ties), freq."""
-    rows = []
-    for c in cols:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("k")).filter(F.col(c).isNotNull())
-        rows.append(counts.agg(F.sum("k").cast("bigint").alias("count"),
-                               F.count(F.lit(1)).cast("bigint").alias("unique"),
-                               F.min_by(F.col(c).cast("string"), F.struct(-F.col("k"), F.col(c))).alias("top"),
-                               F.max("k").cast("bigint").alias("freq"))
-                          .select(F.lit(table_name).alias("table_name"), F.lit(c).alias("column_name"), "*"))
-    return _union(rows)
+    """Exact linearly interpolated quantiles (pandas / NumPy default) of one column, in two
+    scans. One row: ``n`` and ``q_<p>`` columns."""
+    q = keyed_quantiles(df.select(F.lit(0).alias("all"), col), ["all"], col, probs, ACCURACY)
+    one = q.unionByName(df.sparkSession.range(1).select(F.lit(0).alias("all")), allowMissingColumns=True)
+    return one.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(f"q{i}").alias(f"q_{int(p * 100)}") for i, p in enumerate(probs)])
+
+
+def kind_of(dt: T.DataType) -> str:
+    """How describe() sees a column: number, time, or text for everything else."""
+    if isinstance(dt, T.NumericType):
+        return "number"
+    return "time" if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "text"
+
+
+def _as_number(df: DataFrame, c: str) -> Column:
+    """Numbers as they are, times as seconds."""
+    if kind_of(df.schema[c].dataType) == "number":
+        return F.col(c).cast("double")
+    if isinstance(df.schema[c].dataType, T.DateType):
+        return F.unix_date(F.col(c)).cast("double") * 86400.0
+    return F.unix_micros(F.col(c).cast("timestamp")).cast("double") / 1e6
+
+
+def _unpivot(tables: dict[str, DataFrame], kinds: tuple[str, ...], value) -> DataFrame:
+    """table_name, column_name, kind, v: a row per cell of the columns of these kinds, and a
+    null for each such column, so that a column of an empty table counts as well."""
+    parts, names = [], []
+    for name, df in tables.items():
+        cols = [c for c in df.columns if kind_of(df.schema[c].dataType) in kinds]
+        if not cols:
+            continue
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(kind_of(df.schema[c].dataType)).alias("k"), value(df, c).alias("v")) for c in cols])
+        parts.append(df.select(F.explode(cells).alias("x")).select(
+            F.lit(name).alias("table_name"), F.col("x.c").alias("column_name"), F.col("x.k").alias("kind"), F.col("x.v").alias("v")))
+        names += [F.struct(F.lit(name), F.lit(c), F.lit(kind_of(df.schema[c].dataType))) for c in cols]
+    spark = next(iter(tables.values())).sparkSession
+    if not parts:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(c) for c in ("table_name", "column_name", "kind", "v")])
+    none = spark.range(1).select(F.explode(F.array(*names)).alias("x")).select(
+        F.col("x.col1").alias("table_name"), F.col("x.col2").alias("column_name"), F.col("x.col3").alias("kind"),
+        F.lit(None).cast(parts[0].schema["v"].dataType).alias("v"))
+    return _union([*parts, none])
+
+
+def describe_numeric(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, kind, count, mean, std (ddof 1), min, p25, p50, p75, max of every
+    number and time column (times in seconds), in two passes over all of them: one
+    aggregate with a quantile sketch a column, one exact count around the quartiles."""
+    keys = ["table_name", "column_name", "kind"]
+    cells = _unpivot(tables, ("number", "time"), _as_number)
+    v = F.col("v").cast("double")
+    # At most one row a column; written once, as both the counts and the result read it.
+    stats = materialize(cells.groupBy(*keys).agg(
+        F.count(v).cast("bigint").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+        F.max(v).alias("max"), sketch(v, QUARTILES, ACCURACY).alias("_edges")), "describe")
+    q = keyed_quantiles(cells, keys, "v", QUARTILES, ACCURACY, edges=stats.filter("_edges IS NOT NULL").select(*keys, "_edges"))
+    return stats.join(q.select(*keys, F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")), keys, "left") \
+        .select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def describe_text(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, kind, count, unique, top (most frequent; smallest on ties), freq
+    of all other columns, in one pass. As the distinct values are counted exactly
+    anyway, the most frequent one comes from the same counts."""
+    keys = ["table_name", "column_name", "kind"]
+    cells = _unpivot(tables, ("text",), lambda df, c: F.col(c).cast("string"))
+    counts = cells.groupBy(*keys, "v").agg(F.count("v").alias("k"))
+    return counts.groupBy(*keys).agg(
+        F.sum("k").cast("bigint").alias("count"), F.count("v").cast("bigint").alias("unique"),
+        F.min_by("v", F.when(F.col("v").isNotNull(), F.struct(-F.col("k"), F.col("v")))).alias("top"),
+        F.max(F.when(F.col("v").isNotNull(), F.col("k"))).cast("bigint").alias("freq"))
+
+
+def describe_all(tables: dict[str, DataFrame]) -> DataFrame:
+    """describe(include="all") of every column of every table, a row a column. Numbers fill
+    mean to max, times time_mean to time_max (as text, to the second), other columns unique,
+    top and freq; std is that of numbers. Three passes over each table."""
+    both = describe_numeric(tables).unionByName(describe_text(tables), allowMissingColumns=True)
+    number, time = F.col("kind") == "number", F.col("kind") == "time"
+    shown = ["mean", "min", "p25", "p50", "p75", "max"]
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+
+    def as_time(c: str) -> Column:
+        seconds = F.floor(F.col(c)).cast("decimal(18,6)")
+        return F.date_format(epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds), TIME)
+
+    return both.select("table_name", "column_name", "kind", "count", "unique", "top", "freq", *[F.when(number, F.col(c)).alias(c) for c in
+                       ("mean", "std", "min", "p25", "p50", "p75", "max")], *[F.when(time, as_time(c)).alias(f"time_{c}") for c in shown])

@@ -448,15 +448,11 @@ def _profile_duplicates(w: Workspace) -> DataFrame:
 
 @query("profile_describe")
 def _profile_describe(w: Workspace) -> DataFrame:
-    """describe() of the raw sales: numeric columns (order-dependent mean /
-    std rounded) and the SKU column."""
-    # Profiling is several passes over one table: the scanned raw sales are
-    # written once and every pass reads that table.
-    s = w._layer("raw_sales", lambda: w.raw.sales)
-    num = rounded(profile.describe_numeric(s, "sales_daily", ["units_sold", "revenue", "unit_price", "promo_flag"]),
-                  ["mean", "std", "p25", "p50", "p75"])
-    cat = profile.describe_categorical(s, "sales_daily", ["sku_id"])
-    return num.unionByName(cat, allowMissingColumns=True)
+    """describe(include="all") of every column of the four raw tables
+    (order-dependent mean / std and interpolated quartiles rounded)."""
+    # Three passes over each table: the scanned raw tables are written once and every pass reads these.
+    raw = {name: w._layer(f"raw_{name}", lambda df=df: df) for name, df in _raw_dict(w).items()}
+    return rounded(profile.describe_all(raw), ["mean", "std", "p25", "p50", "p75"])
 
 
 @query("dimension_values")
