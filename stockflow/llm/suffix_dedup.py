@@ -15,7 +15,8 @@ following from the symbol and the rank of that suffix, and the common
 prefixes with both neighbours are updated from range minima of the round
 before. Rounds are at most 2 * size / SYMBOL. Strings whose common prefix with
 a neighbour has ``size`` bytes are repeated. Equal segments are one document of
-the collection with a weight; all strings of a weight over one are repeated.
+the collection with a weight; all strings of a weight over one are repeated, and
+where an anchor has no other segment there is nothing to order.
 A bucket is some MB, so its columns are arrays in a task's memory, not files.
 
 An anchor with more than ``HOT`` places would fill a bucket with segments that
@@ -34,6 +35,8 @@ table gives no rows. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -264,7 +267,7 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
     asked = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.of_id) & (texts.text_key == wanted.of_key)).select("doc_id", "text_key", "body", "found")
     buckets, hot_parts = max(1, -(-(total.bytes or 0) // BUCKET)), max(1, -(-(total.hot or 0) // STRINGS))
     groups = max(1, buckets // 4 + hot_parts - 1)  # a hot string may be an interval of its own
-    out = pa.schema([("part", pa.int32()), ("segment", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())),
+    out = pa.schema([("part", pa.int32()), ("anchor", pa.int64()), ("segment", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())),
                      ("ats", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("doc", "start", "a", "b", "known"))])
 
     def send(cols: dict) -> dict | None:
@@ -282,7 +285,7 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
                 if not x["hot"]:
                     rows.setdefault((x["anchor"], body[x["at"]:x["at"] + x["n"] + size - 1]), []).append((doc, key, x["at"]))
         for (anchor, segment), places in rows.items():
-            for name, v in zip(result, (anchor % (1 << 64) % buckets, segment, *zip(*places), *[None] * 5)):
+            for name, v in zip(result, (anchor % (1 << 64) % buckets, anchor, segment, *zip(*places), *[None] * 5)):
                 result[name].append(v)
         if hot:
             doc, start, a, b = (np.concatenate(x) for x in zip(*hot))
@@ -295,21 +298,26 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 r = slice(cuts[p], cuts[p + 1])
                 used, local = np.unique(doc[r], return_inverse=True)
-                for name, v in zip(result, (-1 - p, None, [cols["doc_id"][d] for d in used], [cols["text_key"][d] for d in used], None, narrow(local),
+                for name, v in zip(result, (-1 - p, None, None, [cols["doc_id"][d] for d in used], [cols["text_key"][d] for d in used], None, narrow(local),
                                             narrow(start[r]), a[r][new[r]].tobytes(), b[r][new[r]].tobytes(), (2 * many[r] + new[r]).astype(np.uint8).tobytes())):
                     result[name].append(v)
         return result if result["part"] else None
 
-    sent = asked.mapInArrow(per_batch(send, out), "part int, segment binary, doc_ids array<long>, text_keys array<long>, ats array<long>, "
+    sent = asked.mapInArrow(per_batch(send, out), "part int, anchor long, segment binary, doc_ids array<long>, text_keys array<long>, ats array<long>, "
                                                   "doc binary, start binary, a binary, b binary, known binary")
     sent = materialize(sent, "segments")
     hit_ddl = "bucket int, doc_ids array<long>, text_keys array<long>, counts binary, starts binary, lengths binary"
 
     def decide(key, table):
         places: dict = {}
-        for segment, *where in zip(*(table.column(c).to_pylist() for c in ("segment", "doc_ids", "text_keys", "ats"))):
+        anchor_of = {}
+        for anchor, segment, *where in zip(*(table.column(c).to_pylist() for c in ("anchor", "segment", "doc_ids", "text_keys", "ats"))):
             places.setdefault(segment, []).extend(zip(*where))
-        marks = repeated_strings(list(places), [len(p) > 1 for p in places.values()], size)
+            anchor_of[segment] = anchor
+        sharing = Counter(anchor_of.values())
+        several = [x for x, anchor in anchor_of.items() if sharing[anchor] > 1]
+        ordered = dict(zip(several, repeated_strings(several, [len(places[x]) > 1 for x in several], size)))
+        marks = [ordered[x] if x in ordered else np.full(len(x) - size + 1, len(p) > 1) for x, p in places.items()]
         ids, keys, found = [], [], []
         for mark, where in zip(marks, places.values()):
             spans = np.array(_runs(mark, 0, size), np.int64).reshape(-1, 2)
@@ -321,7 +329,7 @@ def repeated_spans(docs: DataFrame, size: int = 400) -> DataFrame:
         found = np.concatenate([np.zeros((0, 2), np.int64), *found])
         return replies(pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), of, found[:, 0], found[:, 1], groups)
 
-    hits = sent.filter("part >= 0").select("part", "segment", "doc_ids", "text_keys", "ats").groupBy("part").applyInArrow(decide, hit_ddl)
+    hits = sent.filter("part >= 0").select("part", "anchor", "segment", "doc_ids", "text_keys", "ats").groupBy("part").applyInArrow(decide, hit_ddl)
 
     def decide_hot(key, table):
         got = table.to_pydict()
