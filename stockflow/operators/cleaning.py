@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockflow.functions.columns import clip_keep_null, nan_to_null, title_case
@@ -29,6 +29,10 @@ REV_REL_TOL = 0.01
 REV_ABS_TOL = 1.0
 
 
+COUNTERS = ["raw_sales_rows", "clean_sales_rows", "duplicate_sales_removed", "missing_sales_removed", "invalid_skus_removed",
+            "negative_values_removed", "revenue_consistency_corrected", "outliers_capped", "coercion_removed"]
+
+
 @dataclass
 class CleanTables:
     sku_master: DataFrame
@@ -42,6 +46,23 @@ def _num(c: str):
     return nan_to_null(F.col(c).try_cast("double"))
 
 
+def canonical(df: DataFrame, numbers: list[str]) -> DataFrame:
+    """``df`` with number columns that were read as text in one spelling per value (``1``, ``1.0`` and
+    ``01`` alike), so that rows compare by value; text that is no number stays."""
+    def column(c: str):
+        if c not in numbers or df.schema[c].dataType.typeName() != "string":
+            return F.col(c)
+        value = F.trim(c).try_cast("double")
+        plain = value.isNotNull() & ~F.isnan(value)
+        return F.when(plain, (value + F.lit(0.0)).cast("string")).otherwise(F.col(c)).alias(c)
+    return df.select(*[column(c) for c in df.columns])
+
+
+def _whole(c: str):
+    """A number, given as text or not, without its fraction; null where it is none."""
+    return _num(c).try_cast("int")
+
+
 def keep_first(df: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """One row per ``key``: the first by ``order`` (default: all other columns).
 
@@ -79,8 +100,8 @@ def clean_calendar(cal_raw: DataFrame) -> DataFrame:
     df = keep_first(df, "date").dropna(subset=["date"])
     return df.select(
         *[F.col(c) for c in df.columns if c not in ("week", "month", "is_holiday")],
-        F.col("week").try_cast("int").alias("week"),
-        F.col("month").try_cast("int").alias("month"),
+        _whole("week").alias("week"),
+        _whole("month").alias("month"),
         F.coalesce(_num("is_holiday"), F.lit(0.0)).cast("int").alias("is_holiday"),
     ).select(*df.columns)
 
@@ -89,7 +110,7 @@ def annotate_sales(sales_raw: DataFrame, sku_clean: DataFrame) -> DataFrame:
     """Distinct raw sales rows with ``n_copies`` and ``drop_reason`` (the first
     failing rule, in the reference order), coerced values and the
     revenue-consistency flag."""
-    raw = sales_raw.withColumn("date", parse_date("date"))
+    raw = canonical(sales_raw.withColumn("date", parse_date("date")), ["units_sold", "revenue", "unit_price", "promo_flag"])
     # Whole-row DISTINCT with multiplicity (nulls compare equal, as in pandas);
     # the partial aggregate merges copies before the shuffle.
     d = raw.groupBy(*SALES_COLS).agg(F.count(F.lit(1)).alias("n_copies"))
@@ -165,7 +186,8 @@ def clean_sales(sales_raw: DataFrame, sku_clean: DataFrame) -> DataFrame:
 
 
 def clean_inventory(inv_raw: DataFrame, sku_clean: DataFrame) -> DataFrame:
-    df = inv_raw.withColumn("date", parse_date("date")).dropDuplicates()
+    df = canonical(inv_raw.withColumn("date", parse_date("date")),
+                   ["on_hand_units", "on_order_units", "lead_time_days", "reorder_point"]).dropDuplicates()
     df = df.dropna(subset=["sku_id", "date"])
     df = df.join(sku_clean.select("sku_id").distinct(), "sku_id", "left_semi")
     return df.select(
@@ -180,24 +202,38 @@ def clean_inventory(inv_raw: DataFrame, sku_clean: DataFrame) -> DataFrame:
 def cleaning_audit(annotated: DataFrame, clean: DataFrame) -> DataFrame:
     """Run-log counters as one row (reference counters plus
     ``coercion_removed``, which the reference drops silently)."""
-    a = annotated.agg(
-        F.sum("n_copies").cast("bigint").alias("raw_sales_rows"),
-        (F.sum("n_copies") - F.count(F.lit(1))).cast("bigint").alias("duplicate_sales_removed"),
-        F.count_if(F.col("drop_reason") == "missing").cast("bigint").alias("missing_sales_removed"),
-        F.count_if(F.col("drop_reason") == "coercion").cast("bigint").alias("coercion_removed"),
-        F.count_if(F.col("drop_reason") == "negative").cast("bigint").alias("negative_values_removed"),
-        F.count_if(F.col("drop_reason") == "invalid_sku").cast("bigint").alias("invalid_skus_removed"),
-        F.count_if(F.col("revenue_corrected")).cast("bigint").alias("revenue_consistency_corrected"),
-    )
-    c = clean.agg(F.count(F.lit(1)).cast("bigint").alias("clean_sales_rows"),
-                  F.count_if("outlier_flag").cast("bigint").alias("outliers_capped"))
+    a, c = annotated.agg(*annotated_counters()), clean.agg(*clean_counters())
     # Two one-row aggregates side by side: union them and fold with max.
     out = a.unionByName(c, allowMissingColumns=True)
-    out = out.agg(*[F.max(x).alias(x) for x in out.columns])
+    return audit_row(out.agg(*[F.max(x).alias(x) for x in out.columns]))
+
+
+def annotated_counters() -> list:
+    """Aggregates over ``annotate_sales``."""
+    dropped = {"missing": "missing_sales_removed", "coercion": "coercion_removed", "negative": "negative_values_removed",
+               "invalid_sku": "invalid_skus_removed"}
+    return [F.sum("n_copies").cast("bigint").alias("raw_sales_rows"),
+            (F.sum("n_copies") - F.count(F.lit(1))).cast("bigint").alias("duplicate_sales_removed"),
+            *[F.count_if(F.col("drop_reason") == reason).cast("bigint").alias(name) for reason, name in dropped.items()],
+            F.count_if(F.col("revenue_corrected")).cast("bigint").alias("revenue_consistency_corrected")]
+
+
+def clean_counters() -> list:
+    """Aggregates over the clean sales."""
+    return [F.count(F.lit(1)).cast("bigint").alias("clean_sales_rows"),
+            F.count_if("outlier_flag").cast("bigint").alias("outliers_capped")]
+
+
+def observed_audit(spark: SparkSession, counters: dict) -> DataFrame:
+    """The run-log row from counters that were observed while the tables were written. Of an
+    empty table an observed sum is null, as that of an aggregate."""
+    row = tuple(counters.get(x) for x in COUNTERS)
+    return audit_row(spark.createDataFrame([row], ", ".join(f"{x} long" for x in COUNTERS)))
+
+
+def audit_row(out: DataFrame) -> DataFrame:
     return out.select(
-        "raw_sales_rows", "clean_sales_rows", "duplicate_sales_removed", "missing_sales_removed",
-        "invalid_skus_removed", "negative_values_removed", "revenue_consistency_corrected",
-        "outliers_capped", "coercion_removed",
+        *COUNTERS,
         (F.col("raw_sales_rows") - F.col("clean_sales_rows")).cast("bigint").alias("rows_dropped"),
         F.when(F.col("raw_sales_rows") > 0, F.col("clean_sales_rows") / F.col("raw_sales_rows"))
          .otherwise(F.lit(None).cast("double")).alias("retention_ratio"),

@@ -43,14 +43,14 @@ def daily_grid(sku: DataFrame, sales: DataFrame, calendar: DataFrame,
     calendar side is one row per day of the spine, so it is broadcast.
     """
     d0, d1 = date_spine(sales)
+    n = num_partitions or grid_partitions(sku, sales)
     # The list is dealt out before the explode: the grid itself is never exchanged.
-    skus = sku.select("sku_id").distinct().repartition(num_partitions or grid_partitions(sku.sparkSession), "sku_id")
+    skus = sku.select("sku_id").distinct().repartition(n, "sku_id")
     grid = skus.select("sku_id", F.explode(F.sequence(d0, d1)).alias("date"))
     daily = sales_daily(sales)
     # An explicit partition count: the SKU list is tiny next to its grid, so a
     # size-based (AQE-coalesced) partitioning would put the whole exploded grid
     # and every window over it into one task.
-    n = num_partitions or grid_partitions(sku.sparkSession)
     daily = daily.repartition(n, "sku_id")
     g = grid.join(daily, ["sku_id", "date"], "left")
     cal = F.broadcast(calendar.select("date", "is_holiday"))
@@ -65,10 +65,18 @@ def daily_grid(sku: DataFrame, sales: DataFrame, calendar: DataFrame,
     )
 
 
-def grid_partitions(spark) -> int:
-    """Partitions of the SKU × day grid: the session's shuffle partitions,
-    at least the default parallelism."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+CELLS = 1_000_000   # SKU-days of a partition at most, on average
+
+
+def grid_partitions(sku: DataFrame, sales: DataFrame) -> int:
+    """Partitions of the SKU × day grid: by its number of cells, and at least the session's
+    shuffle partitions and the default parallelism. Two small jobs over the SKU list
+    and the (min, max) of the sales dates."""
+    spark = sku.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    days = sales.select(F.date_diff(F.max("date"), F.min("date"))).first()[0]
+    skus = sku.select(F.approx_count_distinct("sku_id")).first()[0]
+    return max(least, -(-skus * ((days or 0) + 1) // CELLS))
 
 
 def _w(key: str, order: str):

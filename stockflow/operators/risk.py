@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.columns import clip_keep_null, max0
+from stockflow.operators.cleaning import keep_first
 
 # Fixed values of the scoring model.
 DEFAULT_RATE = 0.1            # weekly demand assumed for SKUs with no sale in a window
@@ -38,10 +39,11 @@ class RiskParams:
 
 
 def latest_inventory(inventory: DataFrame) -> DataFrame:
-    """Rows of the newest snapshot date (one global date, not per SKU). The
-    max date is a scalar subquery: evaluated once, then a pushed-down filter."""
+    """Rows of the newest snapshot date (one global date, not per SKU), one per SKU:
+    of several the first in the order of the columns. The max date is a scalar
+    subquery: evaluated once, then a pushed-down filter."""
     last = inventory.select(F.max("date")).scalar()
-    return inventory.filter(F.col("date") == last)
+    return keep_first(inventory.filter(F.col("date") == last), "sku_id")
 
 
 def demand_rates(sales: DataFrame) -> DataFrame:

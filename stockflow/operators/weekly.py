@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.columns import week_end
+from stockflow.session import materialize
 
 SEASON_DAYS = 364
 BACKTEST_WEEKS = 6
@@ -35,13 +36,27 @@ def weekly_rollup(daily: DataFrame) -> DataFrame:
     return d.groupBy("sku_id", "week_end").agg(*aggs).withColumnRenamed("week_end", "date")
 
 
+def value_codes(values: DataFrame, col: str, code: str) -> DataFrame:
+    """``col`` and its 0-based rank (``code``) among the distinct ``values``, without a window over
+    all of them: ranges of values are sorted each by itself and written with their
+    places; a place plus the number of values in the ranges before is the rank.
+    What passes the driver is one count a range."""
+    n = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = values.select(col).repartitionByRange(n, col).sortWithinPartitions(col)
+    placed = materialize(ranges.select(col, F.spark_partition_id().alias("_range"), place.alias("_place")), f"codes_{col}")
+    counts = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    before = F.array(*[F.lit(sum(c for k, c in counts.items() if k < i)).cast("long") for i in range(n)])
+    return placed.select(col, (F.get(before, F.col("_range")) + F.col("_place")).cast("int").alias(code))
+
+
 def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """``<col>_encoded`` = rank of the value among the sorted distinct values
     (0-based, NULL encoded as the text "nan"). Columns absent from ``df`` are
     skipped. Returns the frame and the value → code tables.
 
-    The code table is built over distinct values only (a vocabulary, bounded
-    by the attribute's cardinality), so its global ranking window is small.
+    The ranks are a distributed dense rank (``value_codes``), whatever the number
+    of values; how the codes are joined is left to the planner.
     """
     mapping = {}
     out = df
@@ -49,10 +64,9 @@ def label_encode(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, D
         if c not in df.columns:
             continue
         v = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        vocab = df.select(v.alias("_v")).distinct()
-        codes = vocab.select("_v", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int").alias(f"{c}_encoded"))
+        codes = value_codes(df.select(v.alias("_v")).distinct(), "_v", f"{c}_encoded")
         mapping[c] = codes.withColumnRenamed("_v", c)
-        out = out.withColumn("_v", v).join(F.broadcast(codes), "_v", "left").drop("_v")
+        out = out.withColumn("_v", v).join(codes, "_v", "left").drop("_v")
     return out, mapping
 
 

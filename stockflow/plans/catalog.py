@@ -8,10 +8,11 @@ lazy DataFrame; nothing is collected. Column names match the DuckDB oracle in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stockflow.operators import cleaning, features, forecast, marts, metrics, profile, risk, weekly
@@ -35,6 +36,7 @@ _FORECAST_RUNS: dict = {}
 # Clean-layer tables already written in this application, by input version:
 # later queries read them (load-or-build) instead of cleaning again.
 _CLEAN_LAYER: dict = {}
+_OBSERVED: dict = {}
 SOURCE_TABLES = ["lineitem", "supplier"]
 
 
@@ -46,15 +48,25 @@ class Workspace:
         ensure_checkpoint_dir(spark)
         self._key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir, SOURCE_TABLES))
 
-    def _layer(self, name: str, build) -> DataFrame:
-        """Load-or-build of one clean-layer table for this input version."""
+    def _layer(self, name: str, build, counters=None) -> DataFrame:
+        """Load-or-build of one clean-layer table for this input version. ``counters``
+        (aggregates) are observed by the write and kept for the audit."""
         key = (*self._key, name)
         if key not in _CLEAN_LAYER:
             path = scratch_table_path(self.spark, name)
-            build().write.mode("overwrite").parquet(path)
+            df = build()
+            seen = Observation(f"{name}-{uuid.uuid4().hex}")
+            (df.observe(seen, *counters) if counters else df).write.mode("overwrite").parquet(path)
+            _OBSERVED[key] = seen.get if counters else {}
             _CLEAN_LAYER[key] = path
         return self.spark.read.parquet(_CLEAN_LAYER[key])
 
+    @property
+    def audit_counters(self) -> dict:
+        """What the writes of the annotated and the clean sales have counted."""
+        self.annotated_sales, self.sales  # noqa: B018  written, if not yet
+        return {**_OBSERVED[(*self._key, "annotated_sales")], **_OBSERVED[(*self._key, "clean_sales")]}
+
     @cached_property
     def raw(self):
         return raw_tables(self.spark, self.sf_dir)
@@ -81,11 +93,11 @@ class Workspace:
     def annotated_sales(self) -> DataFrame:
         # Written once: the fence aggregate and the join back both read it
         # (their plans prune differently, so Spark would not share the work).
-        return self._layer("annotated_sales", lambda: cleaning.annotate_sales(self.raw.sales, self.sku))
+        return self._layer("annotated_sales", lambda: cleaning.annotate_sales(self.raw.sales, self.sku), cleaning.annotated_counters())
 
     @cached_property
     def sales(self) -> DataFrame:
-        return self._layer("clean_sales", lambda: cleaning.finish_sales(self.annotated_sales))
+        return self._layer("clean_sales", lambda: cleaning.finish_sales(self.annotated_sales), cleaning.clean_counters())
 
     @cached_property
     def latest_inventory(self) -> DataFrame:
@@ -191,7 +203,8 @@ def _outlier_cap(w: Workspace) -> DataFrame:
 
 @query("cleaning_audit")
 def _cleaning_audit(w: Workspace) -> DataFrame:
-    return cleaning.cleaning_audit(w.annotated_sales, w.sales)
+    """The run log, from counters that came with the writes of the clean layer."""
+    return cleaning.observed_audit(w.spark, w.audit_counters)
 
 
 # ---- risk -----------------------------------------------------------------------

@@ -19,6 +19,8 @@ SESSION_DEFAULTS = {
     # Lets a (sku_id, date) join and sku_id windows reuse one hash partitioning.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
+    # Jobs started at the same time (cross-validation folds) share the executors.
+    "spark.scheduler.mode": "FAIR",
 }
 
 

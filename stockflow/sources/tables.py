@@ -19,13 +19,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def fingerprint(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
-    """(size, modification time) of each table path — a cheap identity of the
-    input version, used to reuse tables derived from it."""
+    """Every file of each table with its size and modification time: the identity of
+    the input version, used to reuse tables derived from it."""
     sc = spark.sparkContext
     out = []
     for n in names:
         p = sc._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, n))
         fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-        st = fs.getContentSummary(p)
-        out.append((n, st.getLength(), fs.getFileStatus(p).getModificationTime()))
+        found, files = fs.listFiles(p, True), []
+        while found.hasNext():
+            f = found.next()
+            files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        out.append((n, tuple(sorted(files))))
     return tuple(out)

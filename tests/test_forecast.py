@@ -59,3 +59,28 @@ def test_train_and_forecast_end_to_end(spark, tmp_dir):
     forecast.save_model(run, tmp_dir + "/model", spark)
     loaded = forecast.load_model(tmp_dir + "/model", spark)
     assert "model" in loaded and loaded["feature_cols"] == forecast.FEATURE_COLS
+
+
+def test_partial_last_week_is_kept_on_request(spark):
+    wk = weekly.with_baseline(_weekly(spark))
+    sku_enc = wk.select("sku_id", "unit_cost", "list_price", "category_encoded", "subcategory_encoded").distinct()
+    flags = spark.createDataFrame([(dt.date(2025, 5, 18), 1, 0)], "date date, holiday_flag int, promo_flag int")
+    last = wk.agg(F.max("date")).first()[0]
+    end = last - dt.timedelta(days=7)
+    split = weekly.Split(start=F.lit(end - dt.timedelta(days=41)), end=F.lit(end), last_week=F.lit(last))
+    for keep in (False, True):
+        p = forecast.ForecastParams(num_trees=2, max_depth=3, keep_partial_week=keep)
+        run = forecast.train_and_forecast(wk, sku_enc, flags, split, p)
+        rows = run.results.filter(F.col("date") == F.lit(last)).collect()
+        assert len(rows) == 3 * keep and all(r.ml_forecast is not None and r.actual_sales is not None for r in rows)
+        assert run.results.count() == run.results.select("sku_id", "date").distinct().count()
+
+
+def test_grid_partitions_follow_its_cells(spark, monkeypatch):
+    from stockflow.operators import features
+    sku = spark.createDataFrame([(f"S{i}",) for i in range(40)], "sku_id string")
+    sales = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 4, 9),)], "date date")
+    least = features.grid_partitions(sku, sales)
+    monkeypatch.setattr(features, "CELLS", 100)
+    assert least <= 8 and 36 <= features.grid_partitions(sku, sales) <= 44
+    assert features.grid_partitions(sku, sales.limit(0)) == least
