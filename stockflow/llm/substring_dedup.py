@@ -10,9 +10,10 @@ at most); beyond it the filter passes more windows and results stay the same.
 Pass 2 hashes all windows again and sends on only those estimated repeated,
 with 96 bits of two independent hashes, grouped exactly. Within a chunk of
 documents a sequence is sent once, with its smallest document: later copies in
-the chunk are already known to go, so a sequence that a third of all
-documents share costs one entry a chunk, not one a document. Removed windows
-return to their documents as gap-coded positions and the whole texts are cut.
+the chunk are already known to go and are sent by their document instead, so a
+sequence that a third of all documents share costs its group one entry a chunk,
+not one a document. Removed windows return to their documents as gap-coded
+positions and the whole texts are cut.
 
 Defined cases: null or empty text has no words and no removals; fewer words than
 a window: unchanged; windows repeated within one document only stay; documents
@@ -115,6 +116,22 @@ def sketch_bits(texts: DataFrame, size: int, log_cells: int) -> DataFrame:
     return texts.mapInArrow(run, "part int, cells binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
 
 
+def _replies(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, at: np.ndarray, groups: int) -> dict[str, list]:
+    """Positions of documents (``doc``: places in ``ids`` and ``keys``), dealt by document: a row for each
+    bucket, its documents with their positions gap-coded."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    used, first = np.unique(doc, return_index=True)
+    packed = [pack_sorted(at[a:b]) for a, b in zip(first, np.append(first[1:], len(doc)))]
+    bucket = (mix64(ids[used].astype(np.uint64) ^ mix64(keys[used].astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
+    out: dict[str, list] = {"bucket": [], "doc_ids": [], "text_keys": [], "starts": []}
+    for k in np.unique(bucket).tolist():
+        mine = np.flatnonzero(bucket == k)
+        for name, v in zip(out, (k, ids[used[mine]], keys[used[mine]], [packed[i] for i in mine])):
+            out[name].append(v)
+    return out
+
+
 def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
     """doc_id, text_key, starts (lists of gap-coded positions of the removed windows),
     one row per document with removals."""
@@ -133,7 +150,7 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
     shared = spark.sparkContext.broadcast(bits.reshape(ROWS, -1))
     schema = pa.schema([("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())),
                         ("doc", pa.binary()), ("start", pa.binary()), ("h", pa.binary()), ("check", pa.binary()),
-                        ("known", pa.bool_())])
+                        ("starts", pa.list_(pa.binary()))])
 
     def candidates(cache: WordHashes, table: np.ndarray):
         def maybe(h: np.ndarray) -> np.ndarray:
@@ -164,18 +181,17 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
             sent = ids[doc] == least  # the rest has a smaller document in this very chunk
             part = (h >> np.uint64(32)).astype(np.int64) * groups >> 32
             out = {x.name: [] for x in schema}
-            for known, rows in ((False, sent), (True, ~sent)):
-                for p in np.unique(part[rows]):
-                    r = np.flatnonzero(rows & (part == p)) if known else rows_of(part, rows, p)
-                    used, local = np.unique(doc[r], return_inverse=True)
-                    out["part"].append(int(p))
-                    out["doc_ids"].append(ids[used])
-                    out["text_keys"].append([cols["text_key"][k] for k in used])
-                    out["doc"].append(narrow(local))
-                    out["start"].append(narrow(at[r]))
-                    out["h"].append(b"" if known else h[r].tobytes())
-                    out["check"].append(b"" if known else check[r].tobytes())
-                    out["known"].append(known)
+            keys = np.array(cols["text_key"], np.int64)
+            for p in np.unique(part[sent]):
+                r = rows_of(part, sent, p)
+                used, local = np.unique(doc[r], return_inverse=True)
+                for name, v in zip(out, (int(p), ids[used], keys[used], narrow(local), narrow(at[r]), h[r].tobytes(), check[r].tobytes(), None)):
+                    out[name].append(v)
+            if not sent.all():  # known to go: past the groups of windows, by document (parts below 0)
+                known = _replies(ids, keys, doc[~sent], at[~sent], groups)
+                for row in zip(*known.values()):
+                    for name, v in zip(out, (-1 - row[0], row[1], row[2], None, None, None, None, row[3])):
+                        out[name].append(v)
             return out
 
         def rows_of(part: np.ndarray, rows: np.ndarray, p: int) -> np.ndarray:
@@ -187,6 +203,9 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
         yield from per_batch(candidates(WordHashes(), shared.value), schema)(batches)
 
     def decide(key, table):
+        part = key[0].as_py()
+        if part < 0:
+            return table.select(["doc_ids", "text_keys", "starts"]).add_column(0, "bucket", pa.array([-1 - part] * len(table), pa.int32()))
         got = table.to_pydict()
         docs_of, starts_of = [widen(x) for x in got["doc"]], [widen(x) for x in got["start"]]
         sizes = [len(x) for x in docs_of]
@@ -195,31 +214,15 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
         keys = np.array([k for x in got["text_keys"] for k in x], np.int64)
         doc = np.concatenate(docs_of) + np.repeat(base[:-1], sizes)
         at = np.concatenate(starts_of)
-        known = np.repeat(np.array(got["known"], bool), sizes)
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in got["h"]])
         check = np.concatenate([np.frombuffer(x, np.uint32) for x in got["check"]])
-        goes = known.copy()
-        if len(h):
-            asked = np.flatnonzero(~known)
-            order = np.lexsort((ids[doc[asked]], check, h))
-            h, check, rows = h[order], check[order], asked[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
-            owner = ids[doc[rows]]
-            goes[rows] = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]
-        doc, at = doc[goes], at[goes]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        used, first = np.unique(doc, return_index=True)
-        packed = [pack_sorted(at[a:b]) for a, b in zip(first, np.append(first[1:], len(doc)))]
-        bucket = (mix64(ids[used].astype(np.uint64) ^ mix64(keys[used].astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
-        out = {"bucket": [], "doc_ids": [], "text_keys": [], "starts": []}
-        for k in np.unique(bucket).tolist():
-            mine = np.flatnonzero(bucket == k)
-            for name, v in zip(out, (k, ids[used[mine]], keys[used[mine]], [packed[i] for i in mine])):
-                out[name].append(v)
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "doc_ids": pa.array(out["doc_ids"], pa.list_(pa.int64())),
-                         "text_keys": pa.array(out["text_keys"], pa.list_(pa.int64())),
-                         "starts": pa.array(out["starts"], pa.list_(pa.binary()))})
+        rows = np.lexsort((ids[doc], check, h))
+        h, check, owner = h[rows], check[rows], ids[doc[rows]]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
+        goes = rows[owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]]
+        out = _replies(ids, keys, doc[goes], at[goes], groups)
+        lists = pa.list_(pa.int64())
+        return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), (pa.int32(), lists, lists, pa.list_(pa.binary())))})
 
     def by_document(key, table):
         got = table.to_pydict()
@@ -230,7 +233,7 @@ def repeated_words(docs: DataFrame, size: int = 13) -> DataFrame:
         return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "text_key": pa.array([k for _, k in found], pa.int64()),
                          "starts": pa.array(list(found.values()), pa.list_(pa.binary()))})
 
-    asked = texts.mapInArrow(run, "part int, doc_ids array<long>, text_keys array<long>, doc binary, start binary, h binary, check binary, known boolean")
+    asked = texts.mapInArrow(run, "part int, doc_ids array<long>, text_keys array<long>, doc binary, start binary, h binary, check binary, starts array<binary>")
     return asked.groupBy("part").applyInArrow(decide, "bucket int, doc_ids array<long>, text_keys array<long>, starts array<binary>") \
         .groupBy("bucket").applyInArrow(by_document, "doc_id long, text_key long, starts array<binary>")
 
