@@ -139,8 +139,9 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> Data
     stay only where no member of the component has one."""
     groups = simhash_groups(docs, shingle_words, max_bits)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]))
-    once = found.filter("kept_rows = 1")
-    more = found.filter("kept_rows > 1").dropDuplicates(["kept_id"])
-    return once.unionAll(more).select(*[docs[c] for c in docs.columns])
+        F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))  # so no column's name can clash
+    found = rows.join(kept, F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
+    once = found.filter("_kept_rows = 1").select("_doc")
+    more = found.filter("_kept_rows > 1").groupBy("_kept_id").agg(F.first("_doc").alias("_doc")).select("_doc")
+    return once.unionAll(more).select("_doc.*")
