@@ -12,9 +12,12 @@ opened items are scored in full. Retrieved pairs are verified: at least
 ``overlap`` of the five-word shingles of the item's question (all but its last
 sentence) and of its answer (the last sentence) must stand in the passage.
 
-Words compare in lower case without punctuation at their edges. The items are
-read in shards of at most ``SHARD`` (by hash of item_id), an index a shard, so
-what is broadcast is bounded; idf is within a shard.
+Words compare in lower case without punctuation at their edges. Items are dealt
+into shards of about ``SHARD`` (by hash of item_id), whose indices are built in
+tasks. Document frequencies, the mean length and the window size are those of
+all items, so scores and matches don't depend on the shards. Up to ``TOGETHER``
+shards are broadcast at once (the bound of what is), and a chunk of passages is
+held against all of these in one pass over the documents.
 
 Defined cases: null or empty texts and items match nothing; items without a
 five-word shingle are matched by their whole word sequence; repeated items and
@@ -25,6 +28,7 @@ item_id are left out; empty tables: no rows. Reads doc_id, text, item_id only.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 
@@ -33,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import keyed_texts, per_batch
+from stockflow.llm.common import keyed_texts, materialize, per_batch
 
 SHARD = 20_000
+TOGETHER = 8        # shards of a pass over the documents
 CHUNK = 1 << 20     # bytes of text searched at once
 DENSE = 1 << 22     # sums of a chunk that are kept in a plain array
 BLOCK = 64          # items whose maxima are kept together
@@ -78,18 +83,19 @@ def held(part: set, passage: list) -> float:
 
 
 class Index:
-    """BM25 impacts of a shard of items, as fractions of an item's own score."""
+    """BM25 impacts of a shard of items, as fractions of an item's own score. ``overall``: the document
+    frequencies (of the shard's words), number, words and greatest length of all items;
+    if None, the shard is all there is."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, overall: tuple[dict, int, int, int] | None = None):
         self.threshold = threshold
         self.items = [(i, question_and_answer(t)) for i, t in items]
         self.items = [(i, qa) for i, qa in self.items if qa[0] or qa[1]]
         bags = [Counter(q + a) for _, (q, a) in self.items]
-        df = Counter(w for b in bags for w in b)
-        self.term = {w: k for k, w in enumerate(sorted(df))}
         size = [sum(b.values()) for b in bags]
-        mean = sum(size) / max(1, len(size))
-        n = len(bags)
+        df, n, words, longest = overall or (Counter(w for b in bags for w in b), len(bags), sum(size), max(size, default=0))
+        self.term = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
+        mean = words / max(1, n)
         rows = []
         for k, b in enumerate(bags):
             weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1)
@@ -102,8 +108,8 @@ class Index:
         self.post_weight = np.array([r[2] for r in rows], np.float64)
         self.questions = [self._ids(q) for _, (q, _) in self.items]
         self.answers = [self._ids(a) for _, (_, a) in self.items]
-        self.half = max([32, *size])  # words between windows; a window has twice as many
-        self._split(len(self.term), n)
+        self.half = max(32, longest)  # words between windows; a window has twice as many
+        self._split(len(self.term), len(bags))
 
     def _ids(self, words: list[str]) -> set:
         return shingles([self.term[w] for w in words])
@@ -185,27 +191,55 @@ class _Terms(dict):
         return t
 
 
+def index_shards(benchmark: DataFrame, threshold: float) -> DataFrame:
+    """shard, index (an ``Index``, pickled): a row for each shard that has an item with words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")) \
+        .filter("item_id is not null and text is not null").distinct()
+    n_shards = max(1, -(-items.count() // SHARD))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(n_shards)).cast("int"))
+    bag = pa.schema([("shard", pa.int32()), ("item_id", pa.int64()), ("text", pa.string()), ("words", pa.list_(pa.string())), ("size", pa.int64())])
+
+    def bags(cols: dict) -> dict:
+        found = [[w for part in question_and_answer(t) for w in part] for t in cols["text"]]
+        return {**{c: cols[c] for c in ("shard", "item_id", "text")}, "words": [sorted(set(w)) for w in found], "size": [len(w) for w in found]}
+
+    made = items.mapInArrow(per_batch(bags, bag), "shard int, item_id long, text string, words array<string>, size long")
+    made = materialize(made.filter("size > 0"), "benchmark_items")
+    total = made.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    words = made.select(F.col("shard").alias("of_shard"), F.explode("words").alias("word"))
+    df = words.groupBy("word").agg(F.count("*").alias("df"))  # a word counts once an item
+    of_shard = words.distinct().join(df, "word").select("of_shard", "word", "df")
+
+    def build(key, rows, frequencies):
+        known = dict(zip(frequencies.column("word").to_pylist(), frequencies.column("df").to_pylist()))
+        index = Index(sorted(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())), threshold,
+                      (known, total[0], total[1], total[2]))
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    built = made.select("shard", "item_id", "text").groupBy("shard").cogroup(of_shard.groupBy("of_shard")).applyInArrow(build, "shard int, index binary")
+    return materialize(built, "benchmark_index")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """doc_id, item_id, score (of the best passage, 1 is the item itself),
     question_overlap, answer_overlap, start_word (of that passage)."""
     spark = docs.sparkSession
     texts = keyed_texts(docs).filter("doc_id is not null and body is not null").select("doc_id", "body")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")) \
-        .filter("item_id is not null and text is not null").distinct()
-    n_shards = max(1, -(-items.count() // SHARD))
     columns = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start_word long"
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
                         ("answer_overlap", pa.float64()), ("start_word", pa.int64())])
+    shards = index_shards(benchmark, threshold)
+    numbers = sorted(r.shard for r in shards.select("shard").collect())
     out = None
-    for k in range(n_shards):
-        shard = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == k).collect()  # about SHARD items
-        index = Index(sorted((r.item_id, r.text) for r in shard), threshold)
-        if not index.items:
-            continue
-        shared = spark.sparkContext.broadcast(index)
+    for k in range(0, len(numbers), TOGETHER):
+        rows = shards.filter(F.col("shard").isin(numbers[k:k + TOGETHER])).orderBy("shard").collect()  # about TOGETHER * SHARD items
+        shared = spark.sparkContext.broadcast([pickle.loads(r["index"]) for r in rows])
 
         def run(batches, shared=shared):
-            yield from per_batch(_searcher(shared.value, overlap), schema, CHUNK)(batches)
+            searchers = [per_batch(_searcher(index, overlap), schema, CHUNK) for index in shared.value]
+            for batch in batches:
+                for search in searchers:
+                    yield from search([batch])
 
         found = texts.mapInArrow(run, columns)
         out = found if out is None else out.unionAll(found)

@@ -129,3 +129,29 @@ def pieces(rows, tokenizer, size=2048):
             part = ids[k:k + size]
             out[d, k // size] = (k, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)))
     return out
+
+
+def contaminated(docs, items, threshold=0.5, overlap=0.8):
+    """Every item held against every window of every document: (doc_id, item_id) -> score, overlaps, start."""
+    import math
+    from stockflow.llm.decontam import K1, LENGTH_WEIGHT, held, question_and_answer, shingles, words_of
+    parts = {(i, t): question_and_answer(t) for i, t in set(items) if i is not None and t is not None}
+    parts = {k: v for k, v in parts.items() if v[0] or v[1]}
+    bags = {k: Counter(q + a) for k, (q, a) in parts.items()}
+    df = Counter(w for b in bags.values() for w in b)
+    n, size = len(bags), {k: sum(b.values()) for k, b in bags.items()}
+    mean, half = sum(size.values()) / max(1, n), max([32, *size.values()])
+    weight = {k: {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * size[k] / mean))
+                  for w, c in b.items()} for k, b in bags.items()}
+    best = {}
+    for d, t in docs:
+        w = words_of(t) if d is not None and t else []
+        for a in range(0, len(w), half):
+            passage = w[a:a + 2 * half]
+            there = set(passage)
+            for k, ws in weight.items():
+                score = sum(v for x, v in ws.items() if x in there) / sum(ws.values())
+                q, r = (held(shingles(p), passage) for p in parts[k])
+                if score >= threshold - 1e-9 and q >= overlap and r >= overlap:
+                    best[d, k[0]] = max(best.get((d, k[0]), ()), (round(score, 9), q, r, -a))
+    return {(*k, v[0], v[1], v[2], -v[3]) for k, v in best.items()}

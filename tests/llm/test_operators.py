@@ -129,6 +129,11 @@ def test_simhash(docs, rows, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute.simhash(rows)}) and kept.columns == docs.columns
 
 
+def test_simhash_keeps_one_whatever_the_columns_are_called(spark):
+    df = spark.createDataFrame([(7, "a b c d", 1, 2, 3), (9, "a b c d", 4, 5, 6)], "doc_id long, text string, kept_rows int, kept_id int, component_id int")
+    assert [tuple(r) for r in simhash.keep_one(df).collect()] == [(7, "a b c d", 1, 2, 3)]
+
+
 def test_simhash_keeps_one_of_repeated_rows(spark):
     df = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (9, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.doc_id for r in simhash.keep_one(df).collect()] == [7]
@@ -316,6 +321,30 @@ def test_decontamination(spark, docs, empty):
     assert decontam.matches(empty, bench).count() == 0 and decontam.matches(found, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force_in_any_shards(spark, monkeypatch):
+    rng = random.Random(21)
+    items = [(i, sentence(rng, rng.randint(3, 25)) + ". " + sentence(rng, rng.randint(1, 12)) + "?") for i in range(60)]
+    items += [(5, items[7][1]), (61, "one single sentence of an item without an end"), (62, "tiny"), (63, "!!"), (None, "x y"), (64, None)]
+    known = [t for _, t in items[:60]]
+    data = []
+    for d in range(70):
+        parts = [sentence(rng, rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(known)
+            parts += [rng.choice([t, t.upper(), " ".join(t.split()[:-2]), " ".join(reversed(t.split())), "tiny"]), sentence(rng, rng.randint(0, 60))]
+        data.append((d, " ".join(parts)))
+    data += [(3, known[9]), (None, known[9]), (200, None), (201, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    want = brute.contaminated(data, items)
+    for shard, together in ((20_000, 8), (7, 3)):
+        monkeypatch.setattr(decontam, "SHARD", shard)
+        monkeypatch.setattr(decontam, "TOGETHER", together)
+        rows = decontam.matches(docs, bench).collect()
+        assert {(r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap, r.start_word) for r in rows} == want and len(rows) == len(want)
+    assert len(want) > 40
+
+
 def test_retrieval_equals_scoring_every_item():
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(60)]
