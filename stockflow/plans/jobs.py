@@ -19,6 +19,7 @@ from stockflow.sources import files
 from stockflow.sources.adapters import RawTables
 
 CLEAN_TABLES = ["sku_master", "sales", "calendar", "inventory"]
+FORECAST_TABLE = "stockflow_forecast_results"
 
 
 def _p(base: str, name: str) -> str:
@@ -58,9 +59,8 @@ def read_clean_tables(spark: SparkSession, clean_dir: str) -> cleaning.CleanTabl
 def run_forecast_job(spark: SparkSession, clean_dir: str, out_dir: str,
                      params: forecast.ForecastParams | None = None, with_cv: bool = True) -> forecast.ForecastRun:
     """Features → weekly → forest → backtest → projection. Writes the result
-    table laid out by SKU range (range-partitioned and sorted on sku_id, date,
-    so a per-SKU read skips files by their min / max statistics), the metrics
-    record and the model artifact."""
+    table in buckets of sku_id, sorted by date (a series is read from one bucket, a
+    join by SKU needs no exchange), the metrics record and the model artifact."""
     c = read_clean_tables(spark, clean_dir)
     daily = features.daily_features(features.daily_grid(c.sku_master, c.sales, c.calendar))
     wk = weekly.with_baseline(weekly.weekly_demand(daily, c.sku_master))
@@ -68,8 +68,9 @@ def run_forecast_job(spark: SparkSession, clean_dir: str, out_dir: str,
     split = weekly.default_split(c.sales, wk)
     run = forecast.train_and_forecast(wk, sku_enc, weekly.week_calendar_flags(c.calendar), split, params, with_cv)
     res = files.check_forecast_contract(run.results)
-    files.write_table(res.repartitionByRange("sku_id").sortWithinPartitions("sku_id", "date"),
-                      _p(out_dir, "forecast_results"))
+    buckets = files.bucket_count(res.count())
+    files.write_bucketed(res, _p(out_dir, "forecast_results"), FORECAST_TABLE, "sku_id", ["sku_id", "date"], buckets)
+    files.write_record(spark.range(1).select(F.lit(buckets).alias("buckets")), _p(out_dir, "logs/forecast_layout"))
     files.write_record(run.metrics, _p(out_dir, "logs/forecast_metrics"))
     if run.cv_metrics is not None:
         files.write_table(run.cv_metrics, _p(out_dir, "logs/cv_metrics"))
@@ -120,6 +121,18 @@ def load_forecast(spark: SparkSession, out_dir: str, results: str = "forecast_re
     return Forecast(table, got["forecast metrics"], got["run log"], got["forecast model"], bad)
 
 
+def open_forecast_table(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The result table of a forecast job as a bucketed table of this session."""
+    layout = spark.read.json(_p(out_dir, "logs/forecast_layout")).first()
+    return files.open_bucketed(spark, _p(out_dir, "forecast_results"), FORECAST_TABLE, "sku_id", ["sku_id", "date"], layout.buckets)
+
+
+def sku_series(results: DataFrame, sku_id: str) -> DataFrame:
+    """The chart series of one SKU, by date; band rows are those without an actual."""
+    one = results.filter(F.col("sku_id") == sku_id)
+    return one.select("*", F.col("actual_sales").isNull().alias("is_band_row")).orderBy("date")
+
+
 def run_reports_job(spark: SparkSession, clean_dir: str, out_dir: str, params: risk.RiskParams | None = None,
                     forecasts: Forecast | None = None) -> dict[str, str]:
     """Risk table once, then it and every decision table exported as header CSV

@@ -97,6 +97,38 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.format(fmt).save(path)
 
 
+BUCKET_ROWS = 2_000_000   # rows of a bucket on average
+
+
+def bucket_count(rows: int) -> int:
+    """A power of two, so that tables of different size still join bucket by bucket."""
+    n = 1
+    while n * BUCKET_ROWS < rows:
+        n *= 2
+    return n
+
+
+def write_bucketed(df: DataFrame, path: str, name: str, key: str, order: list[str], buckets: int) -> DataFrame:
+    """Writes ``df`` at ``path`` in buckets of ``key``, rows of a bucket in ``order``, and registers it as
+    table ``name``. A filter on one key then reads one bucket, and joins and aggregates by
+    the key need no exchange. One file a bucket: the rows are exchanged once for it."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(*order) \
+        .format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, name: str, key: str, order: list[str], buckets: int) -> DataFrame:
+    """A bucketed table that another session has written at ``path``, registered again
+    (the path alone doesn't say that it is bucketed)."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    spark.sql(f"CREATE TABLE `{name}` ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY ({', '.join(order)}) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the materialised table at ``path`` if it was written completely, else
     build it, write it (over what a lost writer left) and read the written copy."""

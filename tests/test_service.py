@@ -175,3 +175,33 @@ def test_folds_fitted_at_once_equal_folds_in_turn(spark):
     train = forecast.training_table(weekly.with_baseline(_weekly(spark, n_skus=4, n_weeks=60)))
     both = [sorted(map(tuple, forecast.cross_validate(train, forecast.ForecastParams(cv_trees=3, max_depth=4, cv_parallel=n)).collect())) for n in (1, 5)]
     assert both[0] == both[1]
+
+
+def test_a_series_reads_one_bucket_and_joins_without_an_exchange(spark, done, tmp_dir, monkeypatch):
+    res = spark.read.parquet(f"{done}/forecast_results")
+    monkeypatch.setattr(files, "BUCKET_ROWS", max(1, res.count() // 7))
+    buckets = files.bucket_count(res.count())
+    assert buckets == 8 and files.bucket_count(0) == files.bucket_count(1) == 1
+    path = f"{tmp_dir}/bucketed"
+    table = files.write_bucketed(res, path, "series_test", "sku_id", ["sku_id", "date"], buckets)
+    assert sorted(map(str, table.collect())) == sorted(map(str, res.collect()))
+    again = files.open_bucketed(spark, path, "series_again", "sku_id", ["sku_id", "date"], buckets)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sku = res.first().sku_id
+    for t in (table, again):
+        one = jobs.sku_series(t, sku)
+        assert "SelectedBucketsCount: 1 out of 8" in plan(one)
+        assert one.count() == res.filter(F.col("sku_id") == sku).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = again.join(table.select("sku_id", "date", F.col("ml_forecast").alias("other")), ["sku_id", "date"])
+        summed = again.groupBy("sku_id").agg(F.sum("ml_forecast"))
+        assert "Exchange" not in plan(joined) and "Exchange" not in plan(summed) and joined.count() == res.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_forecast_job_leaves_a_bucketed_table(spark, done):
+    table = jobs.open_forecast_table(spark, done)
+    assert table.count() == jobs.load_forecast(spark, done).results.count()
+    assert "Bucketed: true" in table.filter("sku_id = 'x'")._jdf.queryExecution().executedPlan().toString()
