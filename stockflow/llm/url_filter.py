@@ -6,8 +6,11 @@ that some rule decides are the labelled ones: the trees learn from them, on
 lexical features (lengths, depth, digit ratio, character entropy, number of
 parameters, hyphens and host labels) and on suffix statistics (how often urls
 of the same last host label are blocked among the labelled, smoothed), and
-judge the urls that no rule fits. Training takes at most ``SAMPLE`` labelled
-urls, those with the smallest hash; everything else is computed for every row.
+judge the urls that no rule fits. Hosts are dealt into ``FOLDS`` folds, and a
+training row's suffix statistics come from the hosts of the other folds, so no
+row is told its own label. Training takes at most ``SAMPLE`` labelled urls, those
+with the smallest hash; everything else is computed for every row. ``held_out``
+measures the trees on hosts that they have not seen.
 
 Defined cases: null url or one without ``://`` has empty host and path and is
 judged by the trees; unless urls of both verdicts are labelled, what no rule
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 20_000     # labelled urls that the trees are fitted on
 TREES, DEPTH = 10, 4
+FOLDS = 5
 SMOOTHING = 5.0     # labelled urls that the overall share of blocked ones counts as
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens",
@@ -67,31 +71,68 @@ def lexical(urls: DataFrame) -> DataFrame:
         "suffix_length": F.length(F.substring_index("host", ".", -1)).cast("double")})
 
 
+def _labelled(urls: DataFrame) -> DataFrame:
+    """The urls that a rule decides: label (1: block), fold of the host, features."""
+    return urls.filter("ruled is not null").select(
+        "page_id", "url", "suffix", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).alias("fold"), *FEATURES[:-1],
+        (F.col("ruled") == "block").cast("double").alias("label"))
+
+
+def _share(b: Column, n: Column, overall: float) -> Column:
+    return ((b + SMOOTHING * overall) / (n + SMOOTHING)).alias("suffix_blocked")
+
+
+class Trees:
+    """Trees fitted on labelled urls, with the suffix statistics to judge others by."""
+
+    def __init__(self, named: DataFrame, sample: int, columns: list[str]):
+        counts = {r["label"]: r["count"] for r in named.groupBy("label").count().collect()}
+        self.fitted = len(counts) == 2
+        if not self.fitted:
+            return
+        self.overall = counts[1.0] / sum(counts.values())
+        by_fold = named.groupBy("suffix", "fold").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+        all_folds = by_fold.groupBy("suffix").agg(F.sum("b").alias("of_b"), F.sum("n").alias("of_n"))
+        self.known = all_folds.select(F.col("suffix").alias("of_suffix"), _share(F.col("of_b"), F.col("of_n"), self.overall))
+        # One bounded partition in a fixed order: the fit doesn't depend on the cluster.
+        taken = named.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).drop("page_id", "url").cache()
+        # At most ``sample`` suffixes and folds, so broadcast: the order of the training rows stays.
+        others = taken.select("suffix", "fold").distinct().join(all_folds, "suffix").join(by_fold, ["suffix", "fold"], "left").select(
+            F.col("suffix").alias("of_suffix"), F.col("fold").alias("of_fold"),
+            _share(F.col("of_b") - F.coalesce("b", F.lit(0.0)), F.col("of_n") - F.coalesce("n", F.lit(0)), self.overall))
+        rows = taken.join(F.broadcast(others), (F.col("suffix") == F.col("of_suffix")) & (F.col("fold") == F.col("of_fold")))
+        self.assembler = VectorAssembler(inputCols=columns, outputCol="features")
+        self.model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(
+            self.assembler.transform(rows).select("features", "label"))
+        taken.unpersist()
+
+    def judge(self, urls: DataFrame) -> DataFrame:
+        """``urls`` with prediction (1: block)."""
+        rows = urls.join(self.known, F.col("suffix") == F.col("of_suffix"), "left").drop("of_suffix").fillna(self.overall, ["suffix_blocked"])
+        return self.model.transform(self.assembler.transform(rows))
+
+
+def _urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    rule, verdict = fitting_rule(rules)
+    return lexical(parsed(pages).withColumns({"rule": rule, "ruled": verdict}))
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, one row per page.
     ``rules``: (allow or block, host, path)."""
-    rule, verdict = fitting_rule(rules)
-    urls = lexical(parsed(pages).withColumns({"rule": rule, "ruled": verdict}))
-    named = urls.filter("ruled is not null").select("page_id", "url", "suffix", *FEATURES[:-1], (F.col("ruled") == "block").cast("double").alias("label"))
-    # One bounded partition in a fixed order: the fit doesn't depend on the cluster.
-    labels = named.groupBy("label").count().collect()
-    if len(labels) < 2:
+    urls = _urls(pages, rules)
+    trees = Trees(_labelled(urls), sample, FEATURES)
+    if not trees.fitted:
         return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    taken = named.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).drop("page_id", "url").cache()
-    total = sum(r["count"] for r in labels)
-    overall = sum(r["count"] for r in labels if r["label"] == 1.0) / total
-    known = named.groupBy("suffix").agg(F.sum("label").alias("b"), F.count("*").alias("n")).select(
-        F.col("suffix").alias("of_suffix"), ((F.col("b") + SMOOTHING * overall) / (F.col("n") + SMOOTHING)).alias("suffix_blocked"))
-
-    def with_suffix(df: DataFrame, suffixes: DataFrame) -> DataFrame:
-        return df.join(suffixes, F.col("suffix") == F.col("of_suffix"), "left").drop("of_suffix").fillna(overall, ["suffix_blocked"])
-
-    # At most ``sample`` suffixes, so broadcast: the order of the training rows stays.
-    of_taken = F.broadcast(known.join(taken.select(F.col("suffix").alias("of_suffix")).distinct(), "of_suffix", "left_semi"))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(
-        assembler.transform(with_suffix(taken, of_taken)).select("features", "label"))
-    taken.unpersist()
-    judged = model.transform(assembler.transform(with_suffix(urls, known)))
-    return judged.select("page_id", "host", "path", "rule",
-                         F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow")).alias("verdict"))
+    return trees.judge(urls).select("page_id", "host", "path", "rule",
+                                    F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow")).alias("verdict"))
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str, str]], columns: list[str] = FEATURES, sample: int = SAMPLE) -> DataFrame:
+    """label, prediction, n: the labelled urls of one fold of hosts, judged by trees that were
+    fitted on the other folds (no rows where these have one verdict only)."""
+    named = _labelled(_urls(pages, rules))
+    trees = Trees(named.filter("fold != 0"), sample, columns)
+    if not trees.fitted:
+        return named.limit(0).select("label", F.col("label").alias("prediction"), F.lit(0).cast("long").alias("n"))
+    return trees.judge(named.filter("fold = 0")).groupBy("label", "prediction").agg(F.count("*").alias("n"))

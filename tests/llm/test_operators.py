@@ -387,6 +387,17 @@ def test_url_filter_learns_from_labelled_urls(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in out) >= 55
 
 
+def test_url_filter_is_measured_on_hosts_it_has_not_seen(spark):
+    rows = [(i, f"http://h{i % 97}.{'bad' if i % 97 < 40 else 'good'}/{'x' * (i % 7)}/{i}") for i in range(1500)]
+    rules = [("block", "bad", "/"), ("allow", "good", "/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = {(r.label, r.prediction): r.n for r in url_filter.held_out(pages, rules).collect()}
+    assert sum(out.values()) > 100 and sum(n for (a, b), n in out.items() if a == b) == sum(out.values())
+    without = {(r.label, r.prediction): r.n for r in url_filter.held_out(pages, rules, ["path_length", "depth"]).collect()}
+    assert sum(n for (a, b), n in without.items() if a == b) < sum(without.values()) == sum(out.values())
+    assert url_filter.held_out(pages, rules[:1]).count() == 0
+
+
 def test_url_filter_counts_suffixes_of_all_labelled_urls(spark):
     rules = [(kind, f"b.{letter}{k:02d}", "/") for kind, letter in (("block", "s"), ("allow", "t")) for k in range(30)]
     data = [(i, f"http://b.{'st'[i % 2]}{i // 2 % 30:02d}/p") for i in range(360)]
