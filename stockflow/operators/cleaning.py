@@ -227,8 +227,7 @@ def clean_counters() -> list:
 def observed_audit(spark: SparkSession, counters: dict) -> DataFrame:
     """The run-log row from counters that were observed while the tables were written. Of an
     empty table an observed sum is null, as that of an aggregate."""
-    row = tuple(counters.get(x) for x in COUNTERS)
-    return audit_row(spark.createDataFrame([row], ", ".join(f"{x} long" for x in COUNTERS)))
+    return audit_row(spark.range(1).select(*[F.lit(counters.get(x)).cast("bigint").alias(x) for x in COUNTERS]))
 
 
 def audit_row(out: DataFrame) -> DataFrame:

@@ -463,9 +463,7 @@ def _profile_duplicates(w: Workspace) -> DataFrame:
 def _profile_describe(w: Workspace) -> DataFrame:
     """describe(include="all") of every column of the four raw tables
     (order-dependent mean / std and interpolated quartiles rounded)."""
-    # Three passes over each table: the scanned raw tables are written once and every pass reads these.
-    raw = {name: w._layer(f"raw_{name}", lambda df=df: df) for name, df in _raw_dict(w).items()}
-    return rounded(profile.describe_all(raw), ["mean", "std", "p25", "p50", "p75"])
+    return rounded(profile.describe_all(_raw_dict(w)), ["mean", "std", "p25", "p50", "p75"])
 
 
 @query("dimension_values")
