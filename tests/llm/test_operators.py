@@ -294,6 +294,47 @@ def test_quality_judges_the_neighbours_of_a_blank_text(spark):
     assert not out[99].kept and [d for d, r in out.items() if r.log_perplexity is None] == [100, 101]
 
 
+def test_quality_back_off_by_search_equals_all_orders_written_out():
+    rng = np.random.default_rng(4)
+    counts = np.zeros(quality.SYMBOLS ** 4, np.int64)
+    np.add.at(counts, rng.integers(0, 32 ** 4, 3000), 1)
+    arrays = quality.kneser_ney(counts)
+    known = [dict(zip(a[0].tolist(), zip(a[1].tolist(), a[2].tolist()))) for a in arrays]
+
+    def plain(code: int, k: int) -> float:
+        if k == 0:
+            return known[0][0][0]
+        code %= 32 ** k
+        return known[k][code][0] if code in known[k] else known[k - 1].get(code // 32, (0, 0.0))[1] + plain(code, k - 1)
+
+    codes = np.concatenate([np.flatnonzero(counts)[:500], rng.integers(0, 32 ** 4, 2000)])
+    assert np.allclose(quality.log_prob(arrays, codes), [plain(int(c), 4) for c in codes])
+
+
+def test_quality_tells_all_letters_of_a_script_apart(spark):
+    rng = random.Random(9)
+    common = [chr(0x4E00 + i) for i in range(300)]
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(120))
+    data = [(i, text(common), "zh") for i in range(80)] + [(99, text([chr(0x7000 + i) for i in range(3000)]), "zh")]
+    out = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert not out[99] and sum(out[i] for i in range(80)) >= 77
+    symbols = quality.Symbols({"zh": [0x4E00], quality.SHARED: []})
+    assert symbols.of("zh", "\u4e00 \u4e01\u9fff".encode()).tolist() == [0, 0, 0, 1, 0, 28, 0, 19, 16, 1, 28, 1, 7, 31, 31, 0]
+
+
+def test_quality_languages_in_parts_score_as_in_one(spark, monkeypatch):
+    rng = random.Random(10)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
+    data = [(10 * k + i, text("abcdefghijklmnopqrst"[k:k + 9]), f"l{k}") for k in range(7) for i in range(6)] + [(900, text("xyz"), "few"), (901, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    monkeypatch.setattr(quality, "OWN", 1000)
+    columns = ["doc_id", "lang", "log_perplexity", "kept"]
+    whole = got(quality.quality_rules(df), *columns)
+    monkeypatch.setattr(quality, "LANGUAGES", 3)
+    assert len(list(quality.language_parts(quality._with_language(df)))) == 3
+    assert got(quality.quality_rules(df), *columns) == whole and len(whole) == len(data)
+
+
 def test_quality_band_join_deals_out_a_language(spark):
     df = spark.createDataFrame([(i, f"word{i} and more", "en") for i in range(200)], "doc_id long, text string, lang string")
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
