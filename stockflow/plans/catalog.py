@@ -31,6 +31,8 @@ FILTER_CATEGORY = "Kitchenware"
 # Forest size of the registered forecast queries: the reference's 100 trees /
 # 50 per CV fold; depth is MLlib-bounded.
 FORECAST_PARAMS = forecast.ForecastParams(num_trees=100, cv_trees=50, max_depth=10)
+# The same chain with a formula in place of the forest; the weeks after the backtest are kept.
+FORMULA_PARAMS = forecast.ForecastParams(formula=forecast.LAG_MEAN, keep_partial_week=True)
 PLOT_WEEKS_BEFORE_BACKTEST = 16
 _FORECAST_RUNS: dict = {}
 # Clean-layer tables already written in this application, by input version:
@@ -131,10 +133,18 @@ class Workspace:
     def forecast_run(self) -> forecast.ForecastRun:
         """One fitted forest per (application, data set), shared by the
         forecast queries — like a saved model artifact, training runs once."""
-        key = (*self._key, "forecast")
+        return self._run("forecast", FORECAST_PARAMS)
+
+    @property
+    def formula_run(self) -> forecast.ForecastRun:
+        """The forecast chain with the formula model, validation included."""
+        return self._run("formula", FORMULA_PARAMS, with_cv=True)
+
+    def _run(self, name: str, params: forecast.ForecastParams, with_cv: bool = False) -> forecast.ForecastRun:
+        key = (*self._key, name)
         if key not in _FORECAST_RUNS:
             _FORECAST_RUNS[key] = forecast.train_and_forecast(self.weekly, self.sku_enc, self.week_flags,
-                                                              self.split, FORECAST_PARAMS)
+                                                              self.split, params, with_cv)
         return _FORECAST_RUNS[key]
 
     @cached_property
@@ -431,6 +441,60 @@ def _forecast_series(w: Workspace) -> DataFrame:
     return r.select("*", F.col("actual_sales").isNull().alias("is_band_row")).orderBy("sku_id", "date")
 
 
+# ---- the forecast chain with a formula model (every step has an oracle) ----------------
+
+METRIC_COLS = ["wape", "mae", "rmse", "bias", "baseline_wape", "ml_wape", "improvement"]
+BAND_COLS = ["lower_bound", "upper_bound", "ml_lower_bound", "ml_upper_bound", "std_error"]
+
+
+@query("formula_forecast")
+def _formula_forecast(w: Workspace) -> DataFrame:
+    """Result table of the formula model: history, backtest, weeks after it, projection."""
+    return rounded(w.formula_run.results, BAND_COLS)
+
+
+@query("formula_recursive_forecast")
+def _formula_recursive_forecast(w: Workspace) -> DataFrame:
+    """The recursive projection alone: six weeks a SKU, each step fed by the one before."""
+    r = w.formula_run.results
+    return rounded(r.filter(F.col("actual_sales").isNull() & F.col("ml_forecast").isNotNull())
+                   .select("date", "sku_id", "baseline_forecast", "ml_forecast", "lower_bound", "upper_bound"), BAND_COLS)
+
+
+@query("formula_metrics_record")
+def _formula_metrics_record(w: Workspace) -> DataFrame:
+    """Errors of model and baseline over the backtest, and the improvement."""
+    return rounded(w.formula_run.metrics.drop("training_date"), METRIC_COLS)
+
+
+@query("formula_cv_metrics")
+def _formula_cv_metrics(w: Workspace) -> DataFrame:
+    """Pooled expanding-window validation of model and baseline."""
+    return rounded(w.formula_run.cv_metrics, METRIC_COLS)
+
+
+@query("formula_series")
+def _formula_series(w: Workspace) -> DataFrame:
+    """Chart series of every SKU from the plot start on."""
+    start = F.date_sub(w.split.start, 7 * PLOT_WEEKS_BEFORE_BACKTEST)
+    r = w.formula_run.results.filter(F.col("date") >= start)
+    return rounded(r.select("*", F.col("actual_sales").isNull().alias("is_band_row")).orderBy("sku_id", "date"), BAND_COLS)
+
+
+@query("formula_kpis")
+def _formula_kpis(w: Workspace) -> DataFrame:
+    """The KPI row with the accuracies of the formula model and the baseline."""
+    return rounded(marts.executive_kpis(w.risk(), w.formula_run.metrics),
+                   ["total_sales_at_risk", "total_capital_locked", "forecast_accuracy", "baseline_accuracy", "improvement"])
+
+
+@query("formula_health")
+def _formula_health(w: Workspace) -> DataFrame:
+    """Pipeline health: counters of the cleaning and the error comparison, a row each."""
+    log = cleaning.observed_audit(w.spark, w.audit_counters)
+    return rounded(marts.pipeline_health(log, w.formula_run.metrics), ["value"])
+
+
 # ---- profiling and dimensions ---------------------------------------------------------
 
 def _raw_dict(w: Workspace) -> dict[str, DataFrame]:

@@ -84,3 +84,30 @@ def test_grid_partitions_follow_its_cells(spark, monkeypatch):
     monkeypatch.setattr(features, "CELLS", 100)
     assert least <= 8 and 36 <= features.grid_partitions(sku, sales) <= 44
     assert features.grid_partitions(sku, sales.limit(0)) == least
+
+
+def test_formula_model_runs_through_the_whole_chain(spark, tmp_dir):
+    wk = weekly.with_baseline(_weekly(spark, n_skus=2))
+    sku_enc = wk.select("sku_id", "unit_cost", "list_price", "category_encoded", "subcategory_encoded").distinct()
+    flags = spark.createDataFrame([(dt.date(2025, 5, 18), 1, 0)], "date date, holiday_flag int, promo_flag int")
+    last = wk.agg(F.max("date")).first()[0]
+    split = weekly.Split(start=F.lit(last - dt.timedelta(days=41)), end=F.lit(last), last_week=F.lit(last))
+    p = forecast.ForecastParams(formula="lag_1 - 1")
+    run = forecast.train_and_forecast(wk, sku_enc, flags, split, p, with_cv=True)
+    # lag_1 of the weekly table is its own column; in the projection it is the week before.
+    back = run.results.filter(F.col("actual_sales").isNotNull() & F.col("ml_forecast").isNotNull()).collect()
+    lag = {(r.sku_id, r.date): r.lag_1 for r in wk.collect()}
+    assert len(back) == 2 * 6 and all(r.ml_forecast == max(0.0, lag[r.sku_id, r.date] - 1) for r in back)
+    actual = {(r.sku_id, r.date): r.actual_sales for r in wk.collect()}
+    for r in run.results.filter(F.col("actual_sales").isNull()).collect():
+        step = (r.date - last).days // 7
+        assert r.ml_forecast == max(0.0, actual[r.sku_id, last] - step)
+        assert math.isclose(r.std_error, run.std_error * step ** 0.5, rel_tol=1e-9)
+    before = [actual[k] - max(0.0, lag[k] - 1) for k in actual if k[1] < last - dt.timedelta(days=41)]
+    mean = sum(before) / len(before)
+    assert math.isclose(run.std_error, (sum((x - mean) ** 2 for x in before) / len(before)) ** 0.5, rel_tol=1e-9)
+    assert run.metrics.first().model == "Formula"
+    assert {r.model for r in run.cv_metrics.collect()} == {"formula", "seasonal_naive"}
+    forecast.save_model(run, tmp_dir + "/model", spark)
+    again = forecast.load_model(tmp_dir + "/model", spark)["model"].transform(wk)
+    assert again.filter(F.col("ml_forecast") != F.greatest(F.col("lag_1") - 1, F.lit(0.0))).count() == 0
