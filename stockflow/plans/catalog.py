@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from stockflow.operators import cleaning, features, forecast, marts, metrics, profile, risk, weekly
 from stockflow.functions.columns import week_end
+from stockflow.plans import jobs
 from stockflow.session import ensure_checkpoint_dir, scratch_table_path
+from stockflow.sources import files
 from stockflow.sources.adapters import raw_tables
 from stockflow.sources.tables import fingerprint
 
@@ -35,6 +37,7 @@ FORECAST_PARAMS = forecast.ForecastParams(num_trees=100, cv_trees=50, max_depth=
 FORMULA_PARAMS = forecast.ForecastParams(formula=forecast.LAG_MEAN, keep_partial_week=True)
 PLOT_WEEKS_BEFORE_BACKTEST = 16
 _FORECAST_RUNS: dict = {}
+_JOB_RUNS: dict = {}
 # Clean-layer tables already written in this application, by input version:
 # later queries read them (load-or-build) instead of cleaning again.
 _CLEAN_LAYER: dict = {}
@@ -147,6 +150,21 @@ class Workspace:
                                                               self.split, params, with_cv)
         return _FORECAST_RUNS[key]
 
+    @property
+    def job_dir(self) -> str:
+        """Where the cleaning, forecast and reports jobs have written, run once over header CSV
+        copies of the raw tables; each job reads what the one before wrote."""
+        key = (*self._key, "jobs")
+        if key not in _JOB_RUNS:
+            out = scratch_table_path(self.spark, "jobs")
+            for name, table in _raw_dict(self).items():
+                files.write_table(table, f"{out}/raw/{name}.csv", "csv")
+            jobs.run_cleaning_job(self.spark, files.read_raw_tables(self.spark, f"{out}/raw"), out)
+            jobs.run_forecast_job(self.spark, out, out, FORMULA_PARAMS)
+            jobs.run_reports_job(self.spark, out, out, forecasts=jobs.load_forecast(self.spark, out))
+            _JOB_RUNS[key] = out
+        return _JOB_RUNS[key]
+
     @cached_property
     def split(self) -> weekly.Split:
         return weekly.default_split(self.sales, self.weekly)
@@ -495,6 +513,75 @@ def _formula_health(w: Workspace) -> DataFrame:
     return rounded(marts.pipeline_health(log, w.formula_run.metrics), ["value"])
 
 
+# ---- the batch jobs, from CSV to the written artefacts, read back -----------------------
+
+def _job_clean(table: str):
+    @query(f"job_clean_{table}")
+    def _job_table(w: Workspace) -> DataFrame:
+        """A clean table that the cleaning job wrote from CSV."""
+        return getattr(jobs.read_clean_tables(w.spark, w.job_dir), table)
+
+
+for _table in jobs.CLEAN_TABLES:
+    _job_clean(_table)
+
+
+@query("job_run_log")
+def _job_run_log(w: Workspace) -> DataFrame:
+    """The cleaning job's run log, read under its contract."""
+    return jobs.load_forecast(w.spark, w.job_dir).run_log
+
+
+@query("job_forecast")
+def _job_forecast(w: Workspace) -> DataFrame:
+    """The forecast job's result table, loaded with all checks."""
+    return rounded(jobs.load_forecast(w.spark, w.job_dir).results, BAND_COLS)
+
+
+@query("job_metrics")
+def _job_metrics(w: Workspace) -> DataFrame:
+    """The forecast job's metrics record, read under its contract."""
+    return rounded(files.read_metrics_record(w.spark, f"{w.job_dir}/logs/forecast_metrics").drop("training_date"), METRIC_COLS)
+
+
+@query("job_model_scores")
+def _job_model_scores(w: Workspace) -> DataFrame:
+    """Weekly demand encoded and scored by the saved model bundle."""
+    bundle = forecast.load_model(f"{w.job_dir}/models/forecast_model", w.spark)
+    wk = forecast.encode_as_trained(w.weekly.drop("category_encoded", "subcategory_encoded"), bundle["encoders"])
+    return bundle["model"].transform(wk).select("sku_id", "date", "category_encoded", "subcategory_encoded", "ml_forecast")
+
+
+def _report(w: Workspace, name: str, like: DataFrame) -> DataFrame:
+    """An exported CSV report with the types of ``like``."""
+    return w.spark.read.schema(like.schema).option("header", True).csv(f"{w.job_dir}/reports/{name}")
+
+
+@query("job_reorder_plan")
+def _job_reorder_plan(w: Workspace) -> DataFrame:
+    """The reorder plan as exported by the reports job."""
+    return _report(w, "reorder_plan", marts.reorder_plan(w.risk()))
+
+
+@query("job_risk")
+def _job_risk(w: Workspace) -> DataFrame:
+    """The risk table as exported by the reports job."""
+    return _report(w, "risk", w.risk())
+
+
+@query("job_health")
+def _job_health(w: Workspace) -> DataFrame:
+    """The health table as exported by the reports job."""
+    f = jobs.load_forecast(w.spark, w.job_dir)
+    return rounded(_report(w, "pipeline_health", marts.pipeline_health(f.run_log, f.metrics)), ["value"])
+
+
+@query("job_preview")
+def _job_preview(w: Workspace) -> DataFrame:
+    """The first five rows of the written risk table by SKU."""
+    return jobs.head_preview(w.spark.read.parquet(f"{w.job_dir}/risk"), ["sku_id"])
+
+
 # ---- profiling and dimensions ---------------------------------------------------------
 
 def _raw_dict(w: Workspace) -> dict[str, DataFrame]:

@@ -23,3 +23,12 @@ def test_jobs_end_to_end(spark, tmp_dir):
     assert spark.read.option("header", True).csv(paths["executive_kpis"]).count() == 1
     prev = jobs.head_preview(res, ["sku_id", "date"]).collect()
     assert len(prev) == 5
+
+
+def test_jobs_from_csv_write_what_the_operators_give(spark):
+    from stockflow.plans.catalog import QUERIES
+    for job, own in (("job_clean_sales", "clean_sales"), ("job_clean_inventory", "clean_inventory"),
+                     ("job_forecast", "formula_forecast"), ("job_risk", "risk_scores")):
+        a, b = QUERIES[job](spark, SF), QUERIES[own](spark, SF)
+        a, b = a.select(sorted(a.columns)), b.select(sorted(b.columns))
+        assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, job
