@@ -62,3 +62,29 @@ def test_seasonal_naive_is_exact_lookup(spark):
     assert out[d0 + dt.timedelta(days=7 * 52)] == 0.0
     assert out[d0 + dt.timedelta(days=7 * 57)] == 0.0          # week 5 is missing → 0
     assert out[d0 + dt.timedelta(days=7 * 58)] == 6.0
+
+
+def test_grid_rows_are_not_exchanged_whatever_the_session_says(spark):
+    sku = spark.createDataFrame([("A",), ("B",), ("C",), ("A",), (None,)], "sku_id string")
+    cal = spark.createDataFrame([(dt.date(2024, 1, 2), 1)], "date date, is_holiday int")
+    sales = spark.createDataFrame(
+        [(dt.date(2024, 1, 1), "A", 2.0, 4.0, 2.0, 0), (dt.date(2024, 1, 1), "A", 3.0, 9.0, 3.0, 1),
+         (dt.date(2024, 1, 3), "A", 1.0, 1.0, 1.0, 0), (dt.date(2024, 1, 4), "B", 7.0, None, 1.0, 1),
+         (dt.date(2024, 1, 2), "X", 5.0, 5.0, 1.0, 0), (None, "A", 9.0, 9.0, 1.0, 0),
+         (dt.date(2024, 1, 2), None, 9.0, 9.0, 1.0, 0), (dt.date(2024, 1, 5), "X", 5.0, 5.0, 1.0, 0)],
+        "date date, sku_id string, units_sold double, revenue double, unit_price double, promo_flag int")
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        g = features.lag_features(features.daily_grid(sku, sales, cal))
+        plan = g._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert "hashpartitioning" not in plan.split("Generate")[0] and "hashpartitioning" in plan
+        rows = {(r.sku_id, r.date.day): (r.units_sold, r.revenue, r.unit_price, r.promo_flag, r.is_holiday) for r in g.collect()}
+    finally:
+        spark.conf.set(key, was)
+    days = [1, 2, 3, 4, 5]
+    want = {(s, d): (0.0, 0.0, 0.0, 0, int(d == 2)) for s in ("A", "B", "C", None) for d in days}
+    want |= {("A", 1): (5.0, 13.0, 2.5, 1, 0), ("A", 3): (1.0, 1.0, 1.0, 0, 0), ("B", 4): (7.0, 0.0, 1.0, 1, 0)}
+    assert rows == want and g.count() == 20
+    assert features.daily_grid(sku, sales.limit(0), cal).count() == 0
