@@ -32,3 +32,13 @@ def test_jobs_from_csv_write_what_the_operators_give(spark):
         a, b = QUERIES[job](spark, SF), QUERIES[own](spark, SF)
         a, b = a.select(sorted(a.columns)), b.select(sorted(b.columns))
         assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, job
+
+
+def test_job_queries_clean_nothing_a_second_time(spark, monkeypatch):
+    from stockflow.plans.catalog import QUERIES, Workspace
+
+    def again(self, name, *rest):
+        raise AssertionError(f"{name} is built outside the jobs")
+    monkeypatch.setattr(Workspace, "_layer", again)
+    n = {q: QUERIES[q](spark, SF).count() for q in ("job_reorder_plan", "job_risk", "job_health", "job_model_scores", "job_forecast")}
+    assert n["job_risk"] > 0 and n["job_model_scores"] > 0 and n["job_forecast"] > n["job_model_scores"]
