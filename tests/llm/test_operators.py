@@ -335,6 +335,23 @@ def test_quality_languages_in_parts_score_as_in_one(spark, monkeypatch):
     assert got(quality.quality_rules(df), *columns) == whole and len(whole) == len(data)
 
 
+def test_quality_counts_every_ngram_of_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(quality, "OWN", 1)
+    rng = random.Random(11)
+    rows = [(i, sentence(rng, 30), f"l{i % 20}") for i in range(200)] + [(200, None, "l0"), (201, "", "l1"), (202, "日本語 Ωmega", "l2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    monkeypatch.setattr(quality, "per_batch", lambda f, schema: common.per_batch(f, schema, 1000))
+    (part, letters), = quality.language_parts(quality._with_language(docs))
+    assert len(letters) == 21   # a model each, more than a task adds up at a time
+    symbols, want = quality.Symbols(letters), Counter()
+    for _, text, lang in rows:
+        if text:
+            s = symbols.of(lang, text.encode()).tolist()
+            want.update((lang, ((a * 32 + b) * 32 + c) * 32 + d) for a, b, c, d in zip(s, s[1:], s[2:], s[3:]))
+    got = {(r.lang, r.code): r.n for r in quality.count_ngrams(part, letters).collect()}
+    assert got == want
+
+
 def test_quality_band_join_deals_out_a_language(spark):
     df = spark.createDataFrame([(i, f"word{i} and more", "en") for i in range(200)], "doc_id long, text string, lang string")
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
