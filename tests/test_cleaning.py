@@ -86,3 +86,16 @@ def test_inventory_fill_and_clip(spark):
     r = cleaning.clean_inventory(raw, sku).collect()
     assert len(r) == 1
     assert (r[0].on_hand_units, r[0].on_order_units, r[0].lead_time_days, r[0].reorder_point) == (0.0, 0.0, 14, 0)
+
+
+def test_sales_text_is_compared_by_value_without_writing_it_again(spark):
+    sku = spark.createDataFrame([("A",)], "sku_id string")
+    rows = [("2025-01-01", "A", u, "6", "2", p) for u, p in (("3", "1"), ("3.0", "1.0"), (" 03 ", "1"), ("-0", "0"), ("0", "0"), ("0", None),
+                                                             ("x", "1"), ("x", "1"), ("y", "1"), ("NaN", "1"), (None, "1"), ("Infinity", "1"))]
+    raw = spark.createDataFrame(rows, "date string, sku_id string, units_sold string, revenue string, unit_price string, promo_flag string")
+    a = cleaning.annotate_sales(raw, sku)
+    assert "as string)" not in a._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.units_sold is None, r.units_sold or 0.0, r.promo_flag, r.n_copies, r.drop_reason or "") for r in a.collect())
+    assert got == sorted([(False, 3.0, 1, 3, ""), (False, 0.0, 0, 2, ""), (False, 0.0, 0, 1, ""), (True, 0.0, 1, 2, "coercion"),
+                          (True, 0.0, 1, 1, "coercion"), (True, 0.0, 1, 1, "coercion"), (True, 0.0, 1, 1, "missing"),
+                          (False, float("inf"), 1, 1, "")])
