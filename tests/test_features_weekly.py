@@ -88,3 +88,25 @@ def test_grid_rows_are_not_exchanged_whatever_the_session_says(spark):
     want |= {("A", 1): (5.0, 13.0, 2.5, 1, 0), ("A", 3): (1.0, 1.0, 1.0, 0, 0), ("B", 4): (7.0, 0.0, 1.0, 1, 0)}
     assert rows == want and g.count() == 20
     assert features.daily_grid(sku, sales.limit(0), cal).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rolling_stats_come_from_offsets_of_one_window(spark):
+    d0 = dt.date(2025, 1, 1)
+    values = [4.0, None, 0.0, -2.5, 7.0, 7.0, 1.0, None, 3.0, 40.0, None, None, None, None, None, None, None, None, 5.0]
+    rows = [(s, d0 + dt.timedelta(days=i), v, 0, 0) for s in ("A", "B") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "sku_id string, date date, units_sold double, promo_flag int, is_holiday int")
+    out = features.daily_features(df)
+    assert "RowFrame, -7, -1)" not in _plan(out)   # no frame that is aggregated anew for every row
+    assert _plan(out).count("Window [") == 1
+    for r in out.collect():
+        i = (r.date - d0).days
+        past = [v for v in values[max(0, i - 7):i] if v is not None]
+        mean = sum(past) / len(past) if past else 0.0
+        std = (sum((v - mean) ** 2 for v in past) / (len(past) - 1)) ** 0.5 if len(past) > 1 else 0.0
+        assert abs(r.rolling_mean - mean) < 1e-12 and abs(r.rolling_std_7 - std) < 1e-9
+        assert (r.rolling_max_7, r.rolling_min) == (max(past, default=0.0), min(past, default=0.0))
+        assert [r.lag_1, r.lag_7, r.lag_14, r.lag_28] == [(values[i - k] if i >= k else None) or 0.0 for k in (1, 7, 14, 28)]
