@@ -111,3 +111,17 @@ def test_formula_model_runs_through_the_whole_chain(spark, tmp_dir):
     forecast.save_model(run, tmp_dir + "/model", spark)
     again = forecast.load_model(tmp_dir + "/model", spark)["model"].transform(wk)
     assert again.filter(F.col("ml_forecast") != F.greatest(F.col("lag_1") - 1, F.lit(0.0))).count() == 0
+
+
+def test_rows_are_dealt_anew_for_a_forest_only(spark, monkeypatch):
+    wk = weekly.with_baseline(_weekly(spark, n_skus=1, n_weeks=20))
+    sku_enc = wk.select("sku_id", "unit_cost", "list_price", "category_encoded", "subcategory_encoded").distinct()
+    flags = spark.createDataFrame([(dt.date(2024, 5, 19), 1, 0)], "date date, holiday_flag int, promo_flag int")
+    last = wk.agg(F.max("date")).first()[0]
+    split = weekly.Split(start=F.lit(last - dt.timedelta(days=41)), end=F.lit(last), last_week=F.lit(last))
+
+    def dealt(weekly_rows):
+        raise AssertionError("the weekly table is written a second time")
+    monkeypatch.setattr(forecast, "training_table", dealt)
+    run = forecast.train_and_forecast(wk, sku_enc, flags, split, forecast.ForecastParams(formula="lag_1"))
+    assert run.results.count() == 20 + 6
