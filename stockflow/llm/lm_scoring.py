@@ -60,6 +60,7 @@ PRIOR = 50.0                    # weight of P(id | class) in P(id | class, previ
 UNSEEN = 0.02, 0.5              # least and most weight of spelling
 SEND = 2_000_000                # words whose counts a task adds up before sending
 CHUNK = 2 << 20                 # bytes of text or ids worked on at once
+BLOCK = 96                      # windows whose logits fit the processor's cache
 
 
 # ---- ids and word counts
@@ -174,42 +175,69 @@ class Attention:
     def log_likelihood(self, past: np.ndarray, target: np.ndarray, scored: np.ndarray, tables: tuple) -> np.ndarray:
         """Natural logs of P(class) and of P(a word begins) at the scored places."""
         qkv, logits, out, sums = tables
-        at = past + np.arange(WINDOW) * (CLASSES + 1)
-        x = qkv[at]
+        at, live = past + np.arange(WINDOW) * (CLASSES + 1), np.flatnonzero(scored)
+        x = qkv.take(at, axis=0)
         a = x[..., :WIDTH] @ x[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
         a += self.mask
         np.exp(a, out=a)  # small logits: no need to shift
-        c = (a @ x[..., 2 * WIDTH:])[scored]
+        c = (a @ x[..., 2 * WIDTH:]).reshape(-1, WIDTH + 1).take(live, axis=0)
         z = (c[:, :WIDTH] / c[:, WIDTH:]) @ out
-        z += logits[at[scored]]
-        got = z[np.arange(len(z)), target[scored]]
+        z += logits.take(at.ravel().take(live), axis=0)
+        got = z[np.arange(len(z)), target.ravel().take(live)]
         np.exp(z, out=z)
         total = np.log(z @ sums)
         return np.stack([got - total[:, 0], total[:, 1] - total[:, 0]])
 
     def gradients(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-        """Mean negative log likelihood of the targets and its gradients."""
-        w = self.w
-        x, q, k, v, a, h = self.hidden(past)
-        p = softmax_rows((h.reshape(-1, 2 * WIDTH) @ w["out"]).reshape(*past.shape, CLASSES) + self.bigram[past])
-        n = max(1.0, float(weight.sum()))
-        picked = np.take_along_axis(p, target[..., None], axis=-1)[..., 0]
-        loss = float(-(np.log(picked + 1e-30) * weight).sum() / n)
-        d = p
-        np.put_along_axis(d, target[..., None], (picked - 1)[..., None], axis=-1)
-        d *= (weight / n)[..., None].astype(np.float32)
-        g = {"out": np.einsum("bti,btc->ic", h, d, optimize=True)}
-        dh = d @ w["out"].T
-        dx, dc = dh[..., :WIDTH], dh[..., WIDTH:]
-        da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(WIDTH ** -0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, dy in (("query", dq), ("key", dk), ("value", dv)):
-            g[name] = np.einsum("bti,btj->ij", x, dy, optimize=True)
-            dx = dx + dy @ w[name].T
-        g["place"] = dx.sum(axis=0)
+        """Mean negative log likelihood of the targets and its gradients, summed over
+        blocks of windows that fit the processor's cache."""
+        each = (weight / max(1.0, float(weight.sum()))).astype(np.float32)
+        loss, g = 0.0, {}
+        for k in range(0, len(past), BLOCK):
+            more, add = self._block_gradients(*(x[k:k + BLOCK] for x in (past, target, each)))
+            loss += more
+            g = {name: g[name] + add[name] for name in add} if g else add
+        return loss, g
+
+    def _block_gradients(self, past: np.ndarray, target: np.ndarray, each: np.ndarray) -> tuple[float, dict]:
+        """Of a block, with each place's share of the mean. Places without one are
+        attended to, but need no logits."""
+        w, shape, scale = self.w, (len(past), WINDOW, WIDTH), np.float32(WIDTH ** -0.5)
+        of, live = past.ravel(), np.flatnonzero(each)
+        each, target, rows = each.ravel()[live], target.ravel()[live], np.arange(len(live))
+        qkv = np.concatenate([w["query"] * scale, w["key"], w["value"]], axis=1)
+        x = (w["embed"].take(past, axis=0) + w["place"]).reshape(-1, WIDTH)
+        q, k, v = np.split((x @ qkv).reshape(*shape[:2], -1), 3, axis=2)
+        a = q @ k.transpose(0, 2, 1)
+        a += self.mask
+        np.exp(a, out=a)  # small logits: no need to shift
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(*shape[:2], 1)
+        c = a @ v
+        h = np.concatenate([x, c.reshape(-1, WIDTH)], axis=1).take(live, axis=0)
+        d = h @ w["out"]
+        d += self.bigram.take(of.take(live), axis=0)
+        picked = d[rows, target]
+        np.exp(d, out=d)
+        total = d @ np.ones(CLASSES, np.float32)
+        loss = float(((np.log(total) - picked) * each).sum())
+        d *= (each / total)[:, None]
+        d[rows, target] -= each
+        g = {"out": h.T @ d}
+        dh = np.zeros((len(x), 2 * WIDTH), np.float32)
+        dh[live] = d @ w["out"].T
+        dc = dh[:, WIDTH:].reshape(shape)
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bti,bti->bt", dc, c)[..., None]  # the weights of a place add up to one
+        ds *= a
+        dy = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=2).reshape(len(x), -1)
+        g["query"], g["key"], g["value"] = np.split(x.T @ dy, 3, axis=1)
+        g["query"] = g["query"] * scale
+        dx = dh[:, :WIDTH] + dy @ qkv.T
+        g["place"] = dx.reshape(shape).sum(axis=0)
+        order = np.argsort(of.astype(np.uint8), kind="stable")
+        first = np.flatnonzero(np.diff(of.take(order), prepend=-1))
         g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], past, dx)
+        g["embed"][of[order[first]]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
         return loss, g
 
     def fit(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray, state: dict, rate: float, batch: int = 256) -> None:
@@ -307,7 +335,7 @@ class Model:
         inside = (pairs + PRIOR * prior) / (onehot[:, self.of] + PRIOR)
         self.inside = np.log(inside).astype(np.float32)
 
-    def score(self, attention: Attention, ids: list[np.ndarray], block: int = 256) -> np.ndarray:
+    def score(self, attention: Attention, ids: list[np.ndarray]) -> np.ndarray:
         """Natural logs of P(id | past) and P(a word begins | past) of each id of some
         texts, one text after the other; blocks of windows fit the processor's cache."""
         flat = np.concatenate(ids)
@@ -317,8 +345,8 @@ class Model:
         before[np.cumsum(n)[:-1]] = CLASSES
         past, target, scored, _ = windows(classes, n)
         tables = attention.tables(self.sums)
-        got = np.concatenate([attention.log_likelihood(*(x[k:k + block] for x in (past, target, scored)), tables)
-                              for k in range(0, len(past), block)], axis=1)  # scored places are in the order of the texts
+        got = np.concatenate([attention.log_likelihood(*(x[k:k + BLOCK] for x in (past, target, scored)), tables)
+                              for k in range(0, len(past), BLOCK)], axis=1)  # scored places are in the order of the texts
         got[0] += self.inside[before, flat]
         return got
 

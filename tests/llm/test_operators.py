@@ -583,6 +583,24 @@ def test_attention_gradients_and_causality():
     assert np.allclose(a[..., :9], model.log_likelihood(past, target, scored, tables).reshape(2, *past.shape)[..., :9], atol=1e-4)
 
 
+def test_attention_gradients_add_up_over_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = lm_scoring.Attention(rng.normal(size=(lm_scoring.CLASSES + 1, lm_scoring.CLASSES)))
+    model.w["out"] = rng.normal(0, 0.3, model.w["out"].shape).astype(np.float32)
+    past = rng.integers(0, lm_scoring.CLASSES + 1, (11, lm_scoring.WINDOW))
+    target, weight = rng.integers(0, lm_scoring.CLASSES, past.shape), (rng.random(past.shape) < 0.7) * 1.0
+    weight[4:6] = 0  # a block without any place to learn from
+    got = []
+    for block in (2, 96):
+        monkeypatch.setattr(lm_scoring, "BLOCK", block)
+        got.append(model.gradients(past, target, weight))
+    (loss, g), (at_once, whole) = got
+    p = lm_scoring.softmax_rows(model.hidden(past)[-1] @ model.w["out"] + model.bigram[past])
+    mean = -(np.log(np.take_along_axis(p, target[..., None], axis=-1)[..., 0]) * weight).sum() / weight.sum()
+    assert math.isclose(loss, mean, rel_tol=1e-5) and math.isclose(at_once, mean, rel_tol=1e-5)
+    assert all(np.allclose(g[name], whole[name], atol=1e-6) and g[name].shape == model.w[name].shape for name in model.NAMES)
+
+
 def test_windows_score_each_id_once():
     for n in (1, 3, 12, 15, 16, 17, 28, 29, 200):
         sizes = np.array([n, 5, 33])
