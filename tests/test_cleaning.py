@@ -99,3 +99,24 @@ def test_sales_text_is_compared_by_value_without_writing_it_again(spark):
     assert got == sorted([(False, 3.0, 1, 3, ""), (False, 0.0, 0, 2, ""), (False, 0.0, 0, 1, ""), (True, 0.0, 1, 2, "coercion"),
                           (True, 0.0, 1, 1, "coercion"), (True, 0.0, 1, 1, "coercion"), (True, 0.0, 1, 1, "missing"),
                           (False, float("inf"), 1, 1, "")])
+
+
+def test_sales_rows_are_dealt_before_they_are_counted(spark):
+    nan = float("nan")
+    d = dt.date(2024, 1, 1)
+    rows = [(d, "A", 0.0, 1.0, nan, 0), (d, "A", -0.0, 1.0, nan, 0), (d, None, None, 1.0, 2.0, 0), (d, None, None, 1.0, 2.0, 0),
+            (d, "A", 3.0, 6.0, 2.0, 1)]
+    sales = spark.createDataFrame(rows, "date date, sku_id string, units_sold double, revenue double, unit_price double, promo_flag int")
+    a = cleaning.annotate_sales(sales, spark.createDataFrame([("A",)], "sku_id string"))
+    assert sorted((r.sku_id or "", r.n_copies, r.drop_reason) for r in a.collect()) == [
+        ("", 2, "missing"), ("A", 1, None), ("A", 2, "coercion")]
+    # No hash map of a whole file split: the rows cross the exchange as they are.
+    plan = a._jdf.queryExecution().sparkPlan().toString().splitlines()
+    dealt = next(i for i, x in enumerate(plan) if "REPARTITION_BY_NUM" in x)
+    depth = len(plan[dealt]) - len(plan[dealt].lstrip(" :+-"))
+    below = []
+    for x in plan[dealt + 1:]:
+        if len(x) - len(x.lstrip(" :+-")) <= depth:
+            break
+        below.append(x)
+    assert below and not any("Aggregate" in x for x in below) and any("Aggregate" in x for x in plan[:dealt])
