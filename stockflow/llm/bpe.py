@@ -176,19 +176,22 @@ class WordEncoder:
         order = np.argsort(piece, kind="stable")
         return sym[order], piece_word[piece[order]].astype(np.int64)
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: list[bytes], codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words of a chunk of texts, each different word encoded once:
-        flat ids, and the number of ids of each word. Keeps at most ``most`` words."""
+        flat ids, and the number of ids of each word. Keeps at most ``most`` words.
+        With ``codes``, ``words`` are the different ones and the chunk is ``words[codes]``."""
         if len(self.known) > self.most:
             self.known, self.ids, self.begin = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         known = self.known
-        fresh = [w for w in set(words) if w not in known]
+        fresh = [w for w in (set(words) if codes is None else words) if w not in known]
         if fresh:
             ids, begin = self.encode(fresh)
             known.update(zip(fresh, range(len(self.begin) - 1, len(self.begin) - 1 + len(fresh))))
             self.begin = np.concatenate([self.begin, begin[1:] + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
         w = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if codes is not None:
+            w = w[codes]
         n = self.begin[w + 1] - self.begin[w]
         end = np.cumsum(n)
         at = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - n, n) + np.repeat(self.begin[w], n)

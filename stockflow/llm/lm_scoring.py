@@ -41,6 +41,7 @@ Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm.bpe import WordEncoder
-from stockflow.llm.common import chunks, keyed_texts, materialize, mix64, per_batch
+from stockflow.llm.common import chunks, keyed_texts, materialize, mix64, per_batch, word_codes
 
 FREQUENT = 1 << 20
 OWN, SHARED = 24, 40            # classes of one id, and classes of many (half of them begin words)
@@ -65,6 +66,12 @@ BLOCK = 96                      # windows whose logits fit the processor's cache
 
 # ---- ids and word counts
 
+@lru_cache(1)
+def word_encoder(tokenizer: str) -> WordEncoder:
+    """A worker's encoder: its next task finds it with the words known by then (at most 2^19)."""
+    return WordEncoder(tokenizer, word_ends=False, most=1 << 19)
+
+
 def encoded(docs: DataFrame, tokenizer: str, modulus: int, remainder: int) -> DataFrame:
     """doc_id, text_key, held_out, n_tokens, ids (two bytes each)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -73,16 +80,18 @@ def encoded(docs: DataFrame, tokenizer: str, modulus: int, remainder: int) -> Da
 
     def encode(encoder: WordEncoder):
         def of(cols: dict) -> dict:
-            words = [(b or b"").lower().split() for b in cols["body"]]
-            flat, n_ids = encoder.of([w for ws in words for w in ws])
-            at = np.concatenate([[0], np.cumsum(n_ids)])[np.cumsum([0] + [len(ws) for ws in words])]
+            words, codes, n_words = word_codes(cols["body"])
+            flat, n_ids = encoder.of(words, codes)
+            flat = flat.astype(np.uint16)
+            at = np.concatenate([[0], np.cumsum(n_ids)])[np.concatenate([[0], np.cumsum(n_words)])]
+            end = np.uint16(encoder.size - 1).tobytes()
             return {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "held_out": cols["held_out"],
-                    "n_tokens": [len(ws) + 1 for ws in words],
-                    "ids": [np.append(flat[a:b], encoder.size - 1).astype(np.uint16).tobytes() for a, b in zip(at[:-1], at[1:])]}
+                    "n_tokens": n_words + 1,
+                    "ids": [flat[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:])]}
         return of
 
     def run(batches):
-        yield from per_batch(encode(WordEncoder(tokenizer, word_ends=False, most=1 << 19)), schema, CHUNK)(batches)
+        yield from per_batch(encode(word_encoder(tokenizer)), schema, CHUNK)(batches)
 
     return texts.mapInArrow(run, "doc_id long, text_key long, held_out boolean, n_tokens long, ids binary")
 
@@ -242,25 +251,30 @@ class Attention:
 
     def fit(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray, state: dict, rate: float, batch: int = 256) -> None:
         """One pass of Adam over the windows; ``state`` goes from call to call."""
-        m, s = (state.setdefault(x, {k: np.zeros_like(v) for k, v in self.w.items()}) for x in "ms")
+        w = self.vector()
+        self.w = self.split(w)  # views, so a step is one over all weights
+        m, s = (state.setdefault(x, np.zeros_like(w)) for x in "ms")
         for k in range(0, len(past), batch):
             t = state["t"] = state.get("t", 0) + 1
             rows = slice(k, k + batch)
             _, g = self.gradients(past[rows], target[rows], weight[rows])
-            for name in self.NAMES:
-                m[name] = 0.9 * m[name] + 0.1 * g[name]
-                s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
-                self.w[name] -= rate * (m[name] / (1 - 0.9 ** t)) / (np.sqrt(s[name] / (1 - 0.99 ** t)) + 1e-6)
+            g = np.concatenate([g[name].ravel() for name in self.NAMES])
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.99
+            s += 0.01 * g ** 2
+            w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-6)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.w[n].ravel() for n in self.NAMES])
 
+    def split(self, vector: np.ndarray) -> dict[str, np.ndarray]:
+        """The weights by name, as views of a vector of all."""
+        ends = np.cumsum([self.w[n].size for n in self.NAMES])
+        return {n: v.reshape(self.w[n].shape) for n, v in zip(self.NAMES, np.split(vector, ends[:-1]))}
+
     def load(self, vector: np.ndarray) -> Attention:
-        at = 0
-        for n in self.NAMES:
-            size = self.w[n].size
-            self.w[n] = vector[at:at + size].reshape(self.w[n].shape).astype(np.float32)
-            at += size
+        self.w = self.split(vector.astype(np.float32))
         return self
 
 
@@ -413,6 +427,7 @@ def train(coded: DataFrame, begins: np.ndarray) -> tuple[Model, np.ndarray]:
     def one_round(turn: int, start: np.ndarray):
         def fit(batches):
             of, bigram = known.value
+            word_encoder.cache_clear()  # no use from here on
             attention, state, n, mix = Attention(bigram).load(start), {}, 0.0, np.random.default_rng(2)
             for batch in batches:
                 keys = batch.column("text_key").to_numpy().view(np.uint64)
@@ -468,7 +483,9 @@ def lm_scores(docs: DataFrame, tokenizer: str, modulus: int = 7, remainder: int
         lead = logs[first] - opens[first]
         by_spelling = np.add.reduceat(logs, first, dtype=np.float64) - opens[first] + ends + spelled
         by_count = lead - np.log(np.maximum(model.counts[flat[first]], 1)) + counted
-        at = np.minimum(np.searchsorted(word, key), max(0, len(word) - 1))
+        order = np.argsort(key)  # neighbours in the table are looked up one after the other
+        at = np.empty(len(key), np.int64)
+        at[order] = np.minimum(np.searchsorted(word, key[order]), max(0, len(word) - 1))
         found = word[at] == key if len(word) else np.zeros(len(key), bool)
         n = np.where(found, c[at], 1.0) if len(word) else np.ones(len(key))
         own = np.where(found, np.log1p(n) - scale, 0.0)

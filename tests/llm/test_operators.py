@@ -620,3 +620,52 @@ def test_pipeline_runs_and_drops_what_it_should(spark):
     near = {c for _, _, c in brute.simhash([(r.doc_id, r.text) for r in line.collect()])}
     bad = {r.doc_id for r in decontam.matches(line, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert set(out.doc_id) == near - bad
+
+
+def test_word_codes_are_the_words_of_each_text():
+    texts = [b"", None, b" \t\n\x0b\x0c\r ", b"One two  one", "cafÉ no break  x\x1c\x85y".encode(), b"two", b"\nA\n", b"tail "]
+    words, codes, n = common.word_codes(texts)
+    split = [(t or b"").lower().split() for t in texts]
+    assert [words[c] for c in codes] == [w for ws in split for w in ws] and n.tolist() == [len(ws) for ws in split]
+    assert len(set(words)) == len(words)
+    words, codes, n = common.word_codes([None, b" "])
+    assert not words and not len(codes) and n.tolist() == [0, 0]
+    words, codes, n = common.word_codes([])
+    assert not words and not len(codes) and not len(n)
+
+
+def test_a_worker_keeps_its_encoder_and_the_words_it_knows():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lm_scoring.word_encoder.cache_clear()
+    kept = lm_scoring.word_encoder(path)
+    words, codes, _ = common.word_codes([b"a's caf\xc3\xa9 the THE banana the", "日本 the".encode()])
+    ids, n = kept.of(words, codes)
+    fresh = bpe.WordEncoder(path, word_ends=False)
+    want, want_n = fresh.of([words[c] for c in codes])
+    assert ids.tolist() == want.tolist() and n.tolist() == want_n.tolist()
+    again = lm_scoring.word_encoder(path)
+    again.encode = None  # known words need no encoding, in whatever task
+    assert again is kept and again.of(words, codes)[0].tolist() == want.tolist()
+    lm_scoring.word_encoder.cache_clear()
+
+
+def test_adam_steps_over_all_weights_at_once_as_by_name():
+    rng = np.random.default_rng(3)
+    bigram = rng.normal(0, 1, (lm_scoring.CLASSES + 1, lm_scoring.CLASSES)).astype(np.float32)
+    past = rng.integers(0, lm_scoring.CLASSES + 1, (40, lm_scoring.WINDOW))
+    target = rng.integers(0, lm_scoring.CLASSES, past.shape)
+    weight = (rng.random(past.shape) < 0.8).astype(np.float32)
+    a, b = lm_scoring.Attention(bigram), lm_scoring.Attention(bigram)
+    start = b.vector()
+    state = {}
+    a.fit(past, target, weight, state, 0.01, batch=16)
+    m, s = ({k: np.zeros_like(v) for k, v in b.w.items()} for _ in "ms")
+    for t, k in enumerate(range(0, 40, 16), 1):
+        _, g = b.gradients(past[k:k + 16], target[k:k + 16], weight[k:k + 16])
+        for name in b.NAMES:
+            m[name] = 0.9 * m[name] + 0.1 * g[name]
+            s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
+            b.w[name] = b.w[name] - 0.01 * (m[name] / (1 - 0.9 ** t)) / (np.sqrt(s[name] / (1 - 0.99 ** t)) + 1e-6)
+    assert np.array_equal(a.vector(), b.vector()) and state["t"] == 3
+    assert not np.array_equal(a.vector(), start)
+    assert np.array_equal(lm_scoring.Attention(bigram).load(a.vector()).vector(), a.vector())
