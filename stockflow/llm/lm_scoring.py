@@ -216,7 +216,8 @@ class Attention:
         each, target, rows = each.ravel()[live], target.ravel()[live], np.arange(len(live))
         qkv = np.concatenate([w["query"] * scale, w["key"], w["value"]], axis=1)
         x = (w["embed"].take(past, axis=0) + w["place"]).reshape(-1, WIDTH)
-        q, k, v = np.split((x @ qkv).reshape(*shape[:2], -1), 3, axis=2)
+        y = (x @ qkv).reshape(*shape[:2], -1)
+        q, k, v = y[..., :WIDTH], y[..., WIDTH:2 * WIDTH], y[..., 2 * WIDTH:]
         a = q @ k.transpose(0, 2, 1)
         a += self.mask
         np.exp(a, out=a)  # small logits: no need to shift
@@ -238,15 +239,20 @@ class Attention:
         ds = dc @ v.transpose(0, 2, 1)
         ds -= np.einsum("bti,bti->bt", dc, c)[..., None]  # the weights of a place add up to one
         ds *= a
-        dy = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=2).reshape(len(x), -1)
-        g["query"], g["key"], g["value"] = np.split(x.T @ dy, 3, axis=1)
-        g["query"] = g["query"] * scale
+        dy = np.empty_like(y)
+        np.matmul(ds, k, out=dy[..., :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dy[..., WIDTH:2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dc, out=dy[..., 2 * WIDTH:])
+        dy = dy.reshape(len(x), -1)
+        dw = x.T @ dy
+        g["query"], g["key"], g["value"] = dw[:, :WIDTH] * scale, dw[:, WIDTH:2 * WIDTH], dw[:, 2 * WIDTH:]
         dx = dh[:, :WIDTH] + dy @ qkv.T
         g["place"] = dx.reshape(shape).sum(axis=0)
         order = np.argsort(of.astype(np.uint8), kind="stable")
-        first = np.flatnonzero(np.diff(of.take(order), prepend=-1))
+        held = of.take(order)
+        first = np.append(0, np.flatnonzero(held[1:] != held[:-1]) + 1)
         g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][of[order[first]]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+        g["embed"][held[first]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
         return loss, g
 
     def fit(self, past: np.ndarray, target: np.ndarray, weight: np.ndarray, state: dict, rate: float, batch: int = 256) -> None:
