@@ -53,6 +53,7 @@ BLOCK_ROWS = 1 << 17    # rows whose codes stay in the processor's cache
 NODES = 1024            # nodes of a tree that a task adds up at once, a multiple of PART
 PART = 64               # nodes of a row of statistics, at most some 1.3 MB
 PARTITIONS = 200        # of the statistics, at most
+PARTITION_BYTES = 64 << 20
 SAMPLE_ROWS = 10_000
 
 
@@ -310,9 +311,10 @@ def _best(width: int, max_bins: int, min_rows: int, last: bool):
     return run
 
 
-def grow_trees(binned: DataFrame, width: int, trees: int, max_depth: int, max_bins: int, min_rows: int, seed: int, bootstrap: bool = True) -> Trees:
-    """All trees over the coded rows, one job a level."""
+def grow_trees(binned: DataFrame, tasks: int, width: int, trees: int, max_depth: int, max_bins: int, min_rows: int, seed: int, bootstrap: bool = True) -> Trees:
+    """All trees over the coded rows (in ``tasks`` partitions), one job a level."""
     forest, first = Trees(trees), 0
+    spark = binned.sparkSession
     for level in range(max_depth):
         end, last = len(forest), level == max_depth - 1
         of_tree = forest.tree[first:end]
@@ -320,10 +322,12 @@ def grow_trees(binned: DataFrame, width: int, trees: int, max_depth: int, max_bi
         spans = [(int(t), first + int(a), first + int(b)) for t, a, b in zip(names, begins, [*begins[1:], len(of_tree)])]
         if not spans:
             break
-        shared = binned.sparkSession.sparkContext.broadcast((forest.feature.astype(np.int64), forest.bin, forest.left.astype(np.int64), spans))
+        shared = spark.sparkContext.broadcast((forest.feature.astype(np.int64), forest.bin, forest.left.astype(np.int64), spans))
         run, ddl = _statistics(shared, width, max_bins, seed, bootstrap, level, last)
         keys = sum(-(-(b - a) // PART) for _, a, b in spans)
-        dealt = binned.mapInArrow(run, ddl).repartition(min(keys, PARTITIONS), "tree", "part")
+        sent = tasks * (end - first) * width * max_bins * (20 if last else 12)
+        n = min(keys, PARTITIONS, max(spark.sparkContext.defaultParallelism, -(-sent // PARTITION_BYTES)))
+        dealt = binned.mapInArrow(run, ddl).repartition(n, "tree", "part")
         found = dealt.groupBy("tree", "part").applyInArrow(_best(width, max_bins, min_rows, last), BEST_DDL).toArrow()  # a row a node
         shared.destroy()
         best = {c: found.column(c).to_numpy() for c in found.column_names}
@@ -373,9 +377,10 @@ class HistogramForest(Estimator):
         binned = materialize(_binned(rows, self.inputs, "_y", cuts, seed), "forest_rows")
         depth = rf.getMaxDepth()
         # Read once a level: dealt evenly, so that all cores are busy to a level's end.
-        dealt = binned.repartition(task_count(total, dataset.sparkSession.sparkContext.defaultParallelism), "key").persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = task_count(total, dataset.sparkSession.sparkContext.defaultParallelism)
+        dealt = binned.repartition(tasks, "key").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            forest = grow_trees(dealt, len(self.inputs), rf.getNumTrees(), max(1, depth), bins, rf.getMinInstancesPerNode(), seed, rf.getBootstrap())
+            forest = grow_trees(dealt, tasks, len(self.inputs), rf.getNumTrees(), max(1, depth), bins, rf.getMinInstancesPerNode(), seed, rf.getBootstrap())
         finally:
             dealt.unpersist()
         if not depth:
